@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctph, langid, packing, secrets, sharding, simhash
+from . import bpe, ctph, html_layout, langid, packing, quality, secrets, sharding, simhash, urlfilter
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -19,6 +23,14 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(table(spark, sf_dir, "documents"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -40,8 +52,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_langid": op3_langid,
+    "op4_urls": op4_urls,
+    "op5_html": op5_html,
     "op6_ctph": op6_ctph,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
