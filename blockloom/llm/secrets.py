@@ -176,24 +176,33 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
-    """doc_id and spans of every document, with redact also its text with the spans replaced.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and spans of every document.
 
-    Null texts count as empty, and stay null where redacted. Rows are independent: repeated rows, null ids and
-    empty tables give what each row alone gives. Other columns are ignored.
+    Null texts count as empty. Rows are independent: repeated rows, null ids and empty tables give what each
+    row alone gives. Other columns are ignored.
     """
 
     def run(batches):
         for batch in sliced(batches):
-            texts = batch.column(1).to_pylist()
-            found = [spans(t or "") for t in texts]
-            columns = [batch.column(0), pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in f] for f in found], SPAN_TYPE)]
-            if redact:
-                columns.append(pa.array([t and redacted(t, f) for t, f in zip(texts, found, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "spans", "redacted"][: len(columns)])
-
-    schema = f"doc_id long, spans {SPANS}" + ", redacted string" * redact
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans(t or "")] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, SPAN_TYPE)], names=["doc_id", "spans"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, spans {SPANS}")
+
+
+def redacted_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs, all columns, with a mark in place of each secret; null texts stay null."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in sliced(batches, at):
+            texts = [t and redacted(t, spans(t)) for t in batch.column(at).to_pylist()]
+            columns = batch.columns
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def listed(found: Column) -> Column:

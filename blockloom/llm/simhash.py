@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, raw_texts, saved, sliced
@@ -56,15 +56,17 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every document."""
+def fingerprints(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
+    """The columns `keep` and `fp` of every document."""
+    n = len(keep)
 
     def run(batches):
-        for batch in sliced(batches):
-            fps = [simhash(shingle_hashes(t)) for t in raw_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        for batch in sliced(batches, n):
+            fps = [simhash(shingle_hashes(t)) for t in raw_texts(batch.column(n))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(fps, pa.int64())], names=[*batch.schema.names[:n], "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, rows.select(*rows.columns[:n], F.lit(0).cast("long").alias("fp")).schema)
 
 
 def ball(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +177,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def groups(fps: DataFrame) -> DataFrame:
-    """fps (doc_id, fp; a saved table) with `root`, the least fingerprint that fp is connected with."""
+    """fps (a saved table with `fp`) with `root`, the least fingerprint that fp is connected with."""
     distinct = saved(fps.select("fp").distinct())
     found = components(links(distinct)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     return fps.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -188,6 +190,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id, the smallest id that isn't null, or null if there is none. Repeated rows stay. An empty table
     gives an empty result. Other columns are ignored.
     """
-    grouped = saved(groups(saved(fingerprints(docs, id_col, text_col))))
+    grouped = saved(groups(saved(fingerprints(docs, [F.col(id_col).cast("long").alias("doc_id")], text_col))))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,9 +2,14 @@
 
 Two variable-order Markov models of characters, one of accepted and one of rejected URLs, are smoothed by
 interpolation from the uniform distribution up to the longest context (Witten-Bell weights). A URL's score is
-the difference of its log-likelihoods under the two, divided by its length; the limit is calibrated on labelled
+the difference of its log-likelihoods under the two, divided by its length; the limit is calibrated on accepted
 URLs that the models were not fitted on.
 
+Accepted are the URLs that a rule allows, rejected those that a rule blocks or whose host has a part on a list of
+unwanted words (also where a rule allows them). The models see only what the rules do not look at: the host
+without its last labels and the path without its first segments, as many as the longest rule has. Else they
+would only learn the rules by heart, and reject whatever shares a top-level domain with a blocked host.
+
 A model is a table of grams. For each gram (a context and a character) it holds by how much the score of a
 character changes when that gram is known in place of its shorter suffix; for an unknown gram whose context is
 known, what the longer context's weight takes away. So a URL's score is a plain sum over the grams it holds: no
@@ -34,6 +39,12 @@ MAX_FALSE_REJECTS = 0.01
 START = "\x02"
 UNIT = 1_000_000
 
+#: Words that mark a host as unwanted wherever one of its parts between dots and hyphens is one (fixed values).
+UNWANTED = (
+    "ads adserver banner bet bets betting bonus casino cheap clickbait free gambling jackpot loan loans lottery malware nude payday "
+    "pharma phishing pills poker porn prize promo replica sex slots spam track tracker viagra warez win xxx"
+).split()
+
 #: The rules: action, host and path (fixed values).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -72,13 +83,14 @@ def grams(rows: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> DataFrame:
-    """The model table (gram, known, unknown: whole millionths) from rows of (text, accepted boolean).
+    """The model table (gram, known, unknown: whole millionths) from rows of (text, a, r): how often
+    the text is accepted and rejected.
 
     `known` is added for each occurrence of the gram; `unknown` for each gram that is not in the table but
     whose context is this one.
     """
     counted = saved(
-        grams(labelled).groupBy("gram").agg(F.sum(F.col("accepted").cast("long")).alias("a"), F.sum((~F.col("accepted")).cast("long")).alias("r"))
+        grams(labelled).groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
     ).withColumn("n", F.length("gram"))
     # no order has more grams in all than that of single characters
     total = counted.where("n = 1").agg(F.sum(F.col("a") + F.col("r"))).first()[0] or 0
@@ -118,11 +130,21 @@ def scored(texts: DataFrame, model: DataFrame) -> DataFrame:
     return sums.select("text", F.floor(F.col("sum") / F.length("text")).cast("long").alias("score"))
 
 
+def seen_part(host: Column, path: Column, rules=RULES) -> Column:
+    """What the rules do not look at: the host without as many last labels, and the path without as many first
+    segments, as the longest rule has."""
+    labels = max((len(h.split(".")) for _, h, _ in rules), default=0)
+    segments = max((p.strip("/").count("/") + 1 if p.strip("/") else 0 for _, _, p in rules), default=0)
+    host = F.regexp_replace(host, rf"(^|\.)[^.]*(\.[^.]*){{0,{labels - 1}}}$", "") if labels else host
+    return F.concat(host, F.regexp_replace(path, rf"^(/[^/]*){{0,{segments}}}", "") if segments else path)
+
+
 def calibrated(accepted: DataFrame) -> int | None:
-    """The limit below which URLs are rejected, from the scores of accepted ones: the highest thousandth that
-    rejects at most MAX_FALSE_REJECTS of them. None without any, then nothing is rejected. Scores lie within a
+    """The limit below which URLs are rejected, from rows of (score, a): the highest thousandth that rejects at
+    most MAX_FALSE_REJECTS of the accepted ones. None without any, then nothing is rejected. Scores lie within a
     few tens, so at most some ten thousand counts reach the driver."""
-    counts = sorted((r["at"], r["count"]) for r in accepted.groupBy(F.floor(F.col("score") / (UNIT // 1000)).alias("at")).count().collect())
+    found = accepted.groupBy(F.floor(F.col("score") / (UNIT // 1000)).alias("at")).agg(F.sum("a").alias("n")).collect()
+    counts = sorted((r["at"], r["n"]) for r in found)
     room = MAX_FALSE_REJECTS * sum(n for _, n in counts)
     for at, n in counts:
         room -= n
@@ -131,24 +153,25 @@ def calibrated(accepted: DataFrame) -> int | None:
     return None
 
 
-def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, unwanted=UNWANTED) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
     A null URL and one without `://` have empty host and path, fit no rule and are allowed, for they hold
-    nothing to judge. The models learn from the URLs that rules decide (host and path); equal URLs share one
-    score, however many rows they have. Null ids are kept. An empty table gives an empty result. Other columns
-    are ignored.
+    nothing to judge, as is a URL of which the models see nothing. Equal URLs count once for the models, however
+    many rows they have. Null ids are kept. An empty table gives an empty result. Other columns are ignored.
     """
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, action = fitting_rule(F.col("host"), F.col("path"), rules)
-    # a path is empty or starts with a slash, and a host has none: the text tells the two apart
-    rows = rows.withColumns({"rule": rule, "action": action, "text": F.concat("host", "path")})
-    texts = saved(rows.groupBy("text").agg(F.first("action").alias("action")).withColumn("fold", F.pmod(F.crc32("text"), F.lit(FOLDS))))
-    labelled = texts.where("action IS NOT NULL").withColumn("accepted", F.col("action") == "allow")
-    model = saved(fit(labelled.where("fold <> 0")))
-    judged_ = texts.where("action IS NULL OR action = 'allow' AND fold = 0")
-    scores = saved(scored(judged_, model).join(texts.select("text", "action"), "text"))
-    limit = calibrated(scores.where("action = 'allow'"))
-    rejected = scores.where(F.col("action").isNull() & (F.col("score") < limit if limit is not None else F.lit(False))).select("text", F.lit("block").alias("rejected"))
-    return rows.join(rejected, "text", "left").select("page_id", "host", "path", "rule", F.coalesce("action", "rejected", F.lit("allow")).alias("verdict"))
+    rows = rows.withColumns({"rule": rule, "action": action, "text": seen_part(F.col("host"), F.col("path"), rules)})
+    bad = F.col("host").rlike(rf"(^|[.-])({'|'.join(unwanted)})([.-]|$)") if unwanted else F.lit(False)
+    rejected = bad | F.coalesce(F.col("action") == "block", F.lit(False))
+    urls = rows.groupBy("host", "path", "text").agg(F.first("action").alias("action")).select(
+        "text", rejected.cast("long").alias("r"), (~rejected & F.col("action").isNotNull()).cast("long").alias("a")
+    )
+    texts = saved(urls.where("text <> ''").groupBy("text").agg(F.sum("a").alias("a"), F.sum("r").alias("r")).withColumn("fold", F.pmod(F.crc32("text"), F.lit(FOLDS))))
+    model = saved(fit(texts.where("fold <> 0 AND a + r > 0")))
+    scores = saved(scored(texts, model).join(texts, "text"))
+    limit = calibrated(scores.where("fold = 0 AND a > 0"))
+    low = scores.where(F.col("score") < limit if limit is not None else F.lit(False)).select("text", F.lit("block").alias("low"))
+    return rows.join(low, "text", "left").select("page_id", "host", "path", "rule", F.coalesce("action", "low", F.lit("allow")).alias("verdict"))
