@@ -1,13 +1,71 @@
-"""Corpus pipeline: quality rules, language ID, near-duplicates, secrets, packing."""
+"""Corpus pipeline: quality rules, language ID, near-duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Stages but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from blockloom.llm import langid, packing, quality, secrets, simhash
+from blockloom.llm.common import saved, table
+
+#: A document goes if it is less like its language than this (0 to 1); prose scores 0.5 to 0.9.
+LEAST_LIKENESS = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the quality rules keep. The measures are written beside the rows, so texts are measured once."""
+    return quality.judged(docs, keep=docs.columns).where("_kept").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those unlike any language."""
+    learned = docs.select("doc_id", "text", "lang").where(~langid.held_out())
+    judged = langid.identify(docs, langid.learn(learned), pred_col="_lang_pred", score_col="_score")
+    return judged.where((F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_LIKENESS)).select(*docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: the one with the smallest id (a null id comes last),
+    of several rows with that id the one with the smallest hash of its text, of equal ones any one."""
+    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)).cast("long"), "_mark": F.xxhash64("text")}
+    found = saved(simhash.groups(saved(simhash.fingerprints(docs, [c.alias(k) for k, c in key.items()]))))
+    first = found.groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    kept = docs.withColumns(key).join(first, list(key))  # one text has one root, so a key is first once at most
+    again = F.row_number().over(Window.partitionBy(*key).orderBy("_mark"))
+    return kept.withColumn("_again", again).where("_again = 1").select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark; n_chars becomes the new length."""
+    redacted = secrets.redacted_texts(docs)
+    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of at most 4096 tokens."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("near_duplicates", dedup_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can't express n-gram profiles, XXH64 shingles or the tokenizer; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
