@@ -12,6 +12,7 @@ space outside ASCII are matched as a whole instead.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -28,7 +29,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: UTF-8 prefixes of white space outside ASCII.
 WIDE_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 CHUNK = re.compile(rb"\s*\S+|\s+")
-CACHE_CHUNKS = 400_000
+#: A worker keeps the chunks, and the words, of its last one or two times so many new ones.
+CACHE_CHUNKS = 60_000
 LONG_CHUNK = 256
 #: Words of one merge batch hold about this many bytes together.
 MERGE_BYTES = 1 << 20
@@ -69,8 +71,10 @@ class BytePairs:
         self.added = {k.encode(): v for k, v in added.items()}
         self.split_added = re.compile(b"(%s)" % b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.pattern = regex.compile(PATTERN)
+        self.ints = list(range(self.width))  # one object for each id, however many lists it is in
         self.cache: dict[bytes, list[int]] = {}
         self.words: dict[str, list[int]] = {}
+        self.old: tuple[dict, dict] = ({}, {})
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair in the merge list, or the length of the list."""
@@ -138,7 +142,8 @@ class BytePairs:
         for i, w in enumerate([*raw, b""]):
             if i == len(raw) or size + len(w) > MERGE_BYTES and i > start:
                 if i > start:
-                    got.update((k, v.tolist()) for k, v in zip(words[start:i], self.merge(raw[start:i]), strict=True))
+                    shared = self.ints.__getitem__
+                    got.update((k, list(map(shared, v.tolist()))) for k, v in zip(words[start:i], self.merge(raw[start:i]), strict=True))
                 start, size = i, 0
             size += len(w)
         return got
@@ -155,13 +160,19 @@ class BytePairs:
 
     def encode(self, texts: list[bytes]) -> list[list[list[int]]]:
         """For each text its chunks' ids, in order."""
-        for kept in (self.cache, self.words):
-            if len(kept) > CACHE_CHUNKS:
-                kept.clear()
+        if max(len(self.cache), len(self.words)) > CACHE_CHUNKS:
+            self.old, self.cache, self.words = (self.cache, self.words), {}, {}
+        old_chunks, old_words = self.old
         chunks = [[t] if any(s in t for s in WIDE_SPACES) else CHUNK.findall(t) for t in texts]
-        new = {c: self.parts(c) for c in set().union(*chunks) if c not in self.cache} if chunks else {}
+        missing = set().union(*chunks) - self.cache.keys()
+        seen = missing & old_chunks.keys()
+        self.cache.update((c, old_chunks[c]) for c in seen)
+        new = {c: self.parts(c) for c in missing - seen}
         words = self.words
-        words |= self.encode_words([w for w in {w for p in new.values() for w in p} if isinstance(w, str) and w not in words])
+        asked = {w for p in new.values() for w in p if isinstance(w, str)} - words.keys()
+        seen = asked & old_words.keys()
+        words.update((w, old_words[w]) for w in seen)
+        words |= self.encode_words(list(asked - seen))
         cache, long = self.cache, []
         for c, p in new.items():
             cache[c] = words[p[0]] if len(p) == 1 and isinstance(p[0], str) else [i for w in p for i in (words[w] if isinstance(w, str) else (w,))]
@@ -179,6 +190,13 @@ class BytePairs:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+
+# One vocabulary for all tasks of a worker.
+@functools.cache
+def pairs_of(path: str) -> BytePairs:
+    return BytePairs(path)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -190,7 +208,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches):
-        pairs = BytePairs(path)
+        pairs = pairs_of(path)
         for batch in sliced(batches):
             ids = [[i for c in chunks for i in c] for chunks in pairs.encode(raw_texts(batch.column(1)))]
             yield pa.RecordBatch.from_arrays(
@@ -204,7 +222,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """As `encoded`, with the number of ids and SHA-256 digests in place of ids and text."""
 
     def run(batches):
-        pairs = BytePairs(path)
+        pairs = pairs_of(path)
         for batch in sliced(batches):
             n, of_ids, of_text = [], [], []
             for chunks in pairs.encode(raw_texts(batch.column(1))):

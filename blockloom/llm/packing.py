@@ -11,6 +11,8 @@ are fixed for good. What remains is packed by best fit, decreasing.
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -23,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import partitions, raw_texts, saved, sliced
 
-#: Words kept in a worker's cache before it starts anew.
-CACHE_WORDS = 600_000
+#: A worker keeps the words of its last one or two times so many new ones.
+CACHE_WORDS = 100_000
 LONG_WORD = 256
 #: How the vocabulary marks a word's last token (fixed value).
 WORD_END = "</w>"
@@ -38,6 +40,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,6 +50,7 @@ class WordTokenizer:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def ids(self, words: list[bytes]) -> list[bytes]:
         """By the library itself, many words to a line; words of letters end in tokens that are told by the
@@ -70,10 +74,13 @@ class WordTokenizer:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # the vocabulary is of lower case; marks of special tokens are told by case, so such texts stay as they are
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.cache) > CACHE_WORDS:
+            self.old, self.cache = self.cache, {}
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
         new = set().union(*words) - cache.keys()
+        seen = new & self.old.keys()
+        cache.update((w, self.old[w]) for w in seen)
+        new -= seen
         # letters before a last stop or comma are a word of their own
         ended = {w for w in new if w[-1:] in b".," and w[:-1].isalpha()}
         plain = [*(new - ended), *({w[:-1] for w in ended} | ({b".", b","} if ended else set())) - cache.keys() - new]
@@ -85,6 +92,13 @@ class WordTokenizer:
         return out
 
 
+
+# One tokenizer for all tasks of a worker.
+@functools.cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
+
+
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -97,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     step = 4 * capacity
 
     def run(batches):
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = tokenizer_of(tokenizer_path)
         for batch in sliced(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(raw_texts(batch.column(1))), strict=True):
