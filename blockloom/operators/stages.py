@@ -77,8 +77,7 @@ def move_to_front(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def zero_run_digits(n: Column) -> Column:
     """Digits of a run of n zeros, least first, RUNA as 0 and RUNB as 1: the bits of n + 1 below the highest."""
-    bits = F.reverse(F.expr("substr(bin(n + 1), 2)")) if isinstance(n, str) else F.reverse(F.substring(F.bin(n + 1), 2, 64))
-    return bits
+    return F.reverse(F.substring(F.bin(n + 1), 2, 64))
 
 
 def zero_run_length(digits: Column) -> Column:
@@ -131,7 +130,7 @@ def symbol_map(rows: DataFrame, key: list[str]) -> DataFrame:
 def symbols_in_map(words: DataFrame, key: list[str]) -> DataFrame:
     """(key, b): the byte values of a symbol map."""
     low = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda i: F.col("word").bitwiseAND(F.call_function("shiftleft", F.lit(1), 15 - i)) > 0)
-    return words.select(*key, (16 * F.col("high") + F.explode(low)).alias("b"))
+    return words.select(*key, "high", F.explode(low).alias("low")).select(*key, (16 * F.col("high") + F.col("low")).alias("b"))
 
 
 def bit_offsets(codes: DataFrame, key: list[str]) -> DataFrame:

@@ -2,5 +2,422 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.checksum import bz2_combined_crc, crc32_bzip2
+from ..functions.kernels import bz2_compress, bz2_decompress, bz2_encode, bz2_error
+from ..operators import stages
+from ..operators.format import CRC_TABLE
+from ..sources import bz2 as source
+from ..streaming import push
+from . import parallel
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly before kernel work: a small file is one partition else."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def utf8(c: Column | str) -> Column:
+    return F.encode(F.col(c) if isinstance(c, str) else c, "UTF-8")
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return table(spark, sf_dir, "orders").select("o_orderkey", line.alias("value"))
+
+
+_LINE = "concat_ws(',', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)"
+
+
+# Sources and sinks
+
+
+@query("SELECT doc_id, text FROM documents")
+def roundtrip_documents(spark, sf_dir):
+    packed = bz2_compress(utf8("text"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(9))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.decode(bz2_decompress(packed), "UTF-8").alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def encode_kernel_roundtrip(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.decode(bz2_decompress(bz2_encode(utf8("text"), F.lit(1))), "UTF-8").alias("text"))
+
+
+def written_lines(spark, sf_dir, level: int = 1) -> str:
+    source.register(spark)
+    folder = source.shared_path(spark)
+    order_lines(spark, sf_dir).select("value").write.format("bz2").option("level", level).mode("append").save(folder)
+    return folder
+
+
+@query(f"SELECT count(*) AS n_rows, CAST(sum(octet_length(encode({_LINE})) + 1) AS BIGINT) AS n_bytes FROM orders")
+def csv_bz2_scan(spark, sf_dir):
+    lines = spark.read.format("bz2").option("lines", "true").load(written_lines(spark, sf_dir))
+    return lines.agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("value") + 1).cast("long").alias("n_bytes"))
+
+
+@query(f"SELECT {_LINE} AS line FROM orders")
+def spark_text_scan(spark, sf_dir):
+    """Spark's own codec: splittable, and lenient with damaged files."""
+    return spark.read.text(written_lines(spark, sf_dir)).select(F.col("value").alias("line"))
+
+
+@query(f"SELECT o_orderkey, substr({_LINE}, 1, 160) AS preview FROM orders ORDER BY o_orderkey LIMIT 3")
+def preview_lines(spark, sf_dir):
+    """A preview of three lines: the limit is the feature."""
+    lines = spark.read.format("bz2").option("lines", "true").load(written_lines(spark, sf_dir, 9))
+    key = F.split("value", ",")[0].cast("long")
+    return lines.select(key.alias("o_orderkey"), F.substring("value", 1, 160).alias("preview")).orderBy("o_orderkey").limit(3)
+
+
+def source_files(spark, sf_dir, level: int = 1) -> DataFrame:
+    """(file_id, content): the documents of each source in the order of doc_id, compressed."""
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    text = F.array_join(F.transform(parts, lambda x: x["text"]), "")
+    docs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("file_id")).agg(text.alias("text"))
+    return docs.select("file_id", bz2_compress(utf8("text"), F.lit(level)).alias("content"))
+
+
+_SOURCES = "SELECT source AS file_id, string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY source"
+
+
+@query(_SOURCES)
+def parallel_equals_serial(spark, sf_dir):
+    whole = parallel.joined_text(parallel.decode(source.materialized(source_files(spark, sf_dir))))
+    return whole.select("file_id", F.decode("out", "UTF-8").alias("text"))
+
+
+@query(f"SELECT file_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS fast FROM ({_SOURCES})")
+def parallel_fast_path(spark, sf_dir):
+    """Every file is decoded by its chain of speculative blocks."""
+    blocks = parallel.decode(source.materialized(source_files(spark, sf_dir)))
+    return blocks.groupBy("file_id").agg(F.sum(F.octet_length("out")).alias("n_bytes"), F.bool_and("fast").alias("fast"))
+
+
+@query(f"SELECT file_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, 'InvalidMagic' AS error FROM ({_SOURCES})")
+def parallel_fallback(spark, sf_dir):
+    """Four bytes after the end break the chain; the strict decoder gives all blocks, then the error."""
+    files = source_files(spark, sf_dir).withColumn("content", F.concat("content", F.lit(b"zzzz")))
+    blocks = parallel.decode(source.materialized(files))
+    return blocks.groupBy("file_id").agg(F.sum(F.octet_length("out")).alias("n_bytes"), F.max("error").alias("error"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, '' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")
+def multi_stream(spark, sf_dir):
+    """Streams of mixed levels, an empty one among them, read as one."""
+    one = bz2_compress(utf8("n_name"), F.col("n_nationkey") % 9 + 1)
+    streams = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", one.alias("packed"), bz2_compress(F.lit(b""), F.lit(9)).alias("none"))
+    parts = F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat(F.hex("packed"), F.hex("none")).alias("h"))))
+    joined = streams.groupBy("n_regionkey").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("packed"))
+    return joined.select("n_regionkey", F.decode(bz2_decompress("packed"), "UTF-8").alias("names"))
+
+
+@query(_SOURCES)
+def push_stream_chunks(spark, sf_dir):
+    """Files cut into chunks of 4096 bytes and decoded by a streaming query."""
+
+    def cut(batches):
+        for batch in batches:
+            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = max(-(-len(data) // 4096), 1)
+                columns = [[name] * n, range(n), [data[4096 * i : 4096 * i + 4096] for i in range(n)], [i == n - 1 for i in range(n)]]
+                kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["stream_id", "seq", "chunk", "last"])
+
+    schema = "stream_id string, seq long, chunk binary, last boolean"
+    folder = source.shared_path(spark)
+    source_files(spark, sf_dir).mapInArrow(cut, schema).write.parquet(f"{folder}/in")
+    chunks = spark.readStream.schema(schema).parquet(f"{folder}/in")
+    stream = push.decoded(chunks).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    stream.awaitTermination()
+    rows = spark.read.schema(push.OUTPUT).parquet(f"{folder}/out")
+    text = F.expr("decode(unhex(array_join(transform(array_sort(collect_list(struct(seq, hex(data) AS h))), x -> x.h), '')), 'UTF-8')")
+    return rows.groupBy(F.col("stream_id").alias("file_id")).agg(text.alias("text"))
+
+
+# Errors
+
+_CASES = {
+    "cut": "Truncated", "magic": "InvalidMagic", "level": "InvalidLevel", "randomized": "RandomizedBlock", "block_crc": "CrcMismatch",
+    "stream_crc": "CrcMismatch", "three_more": "Truncated", "four_more": "InvalidMagic", "next_level": "InvalidLevel",
+}
+
+
+@query("SELECT n_nationkey, c.kind, c.error FROM nation, (VALUES " + ", ".join(f"('{k}', '{e}')" for k, e in _CASES.items()) + ", ('whole', NULL), ('none', NULL)) AS c(kind, error)")
+def error_names(spark, sf_dir):
+    """Each stream damaged in several ways. Names of nations are short, so the first bit of origPtr's nibble is free."""
+    h = F.col("h")
+    other = lambda c: F.translate(c, "0123456789ABCDEF", "1032547698BADCFE")
+    put = lambda at, text: F.overlay(h, text, at, F.lit(1))
+    # the stream's checksum is the 32 bits before at most 7 bits of padding: its top bits are 38 bits from the end
+    damaged = {
+        "cut": F.expr("substr(h, 1, length(h) - 10)"), "magic": put(F.lit(2), F.lit("3")), "level": put(F.lit(8), F.lit("0")),
+        "randomized": put(F.lit(29), F.lit("8")), "block_crc": put(F.lit(21), other(F.substring(h, 21, 1))),
+        "stream_crc": put(F.length(h) - 5, other(F.expr("substr(h, length(h) - 5, 1)"))), "three_more": F.concat(h, F.lit("7A7A7A")),
+        "four_more": F.concat(h, F.lit("7A7A7A7A")), "next_level": F.concat(h, F.lit("425A6830")), "whole": h, "none": F.lit(""),
+    }
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.hex(bz2_compress(utf8("n_name"), F.lit(9))).alias("h"))
+    cases = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("h")) for k, v in damaged.items())))
+    return rows.select("n_nationkey", cases.alias("c")).select("n_nationkey", "c.kind", bz2_error(F.unhex("c.h")).alias("error"))
+
+
+@query("SELECT n_nationkey, 'BlockOverflow' AS error FROM nation")
+def error_relabelled(spark, sf_dir):
+    """A block of a level 9 stream does not fit once its header says level 1."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.concat("n_name", i.cast("string"))), ",")
+    h = F.hex(bz2_compress(F.encode(text, "UTF-8"), F.lit(9)))
+    return table(spark, sf_dir, "nation").select("n_nationkey", bz2_error(F.unhex(F.overlay(h, F.lit("1"), F.lit(8), F.lit(1)))).alias("error"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 9 THEN p_size END AS level FROM part")
+def valid_levels(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size").between(1, 9), F.col("p_size")).alias("level"))
+
+
+# Checksums
+
+_TABLE = "[" + ", ".join(map(str, CRC_TABLE)) + "]"
+_BYTES = "list_transform(range(1, CAST(length({h}) / 2 AS BIGINT) + 1), lambda i: CAST('0x' || substr({h}, 2 * i - 1, 2) AS BIGINT))"
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, "
+    + _BYTES
+    + "), lambda c, b: xor((c * 256) & 4294967295, list_extract("
+    + _TABLE
+    + ", CAST(xor(c >> 24, b) + 1 AS INTEGER)))), 4294967295)"
+)
+
+
+@query(f"SELECT n_nationkey, CAST({_CRC.format(h='h')} AS BIGINT) AS crc FROM (SELECT n_nationkey, hex(encode(n_name)) AS h FROM nation)")
+def crc32_names(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", crc32_bzip2(utf8("n_name")).alias("crc"))
+
+
+@query(
+    f"WITH c AS (SELECT n_regionkey, CAST({_CRC.format(h='h')} AS BIGINT) AS crc, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, "
+    "count(*) OVER (PARTITION BY n_regionkey) AS n FROM (SELECT n_regionkey, n_nationkey, hex(encode(n_name)) AS h FROM nation)) "
+    "SELECT n_regionkey, CAST(bit_xor(((crc << ((n - i) % 32)) & 4294967295) | (crc >> (32 - (n - i) % 32))) AS BIGINT) AS crc FROM c GROUP BY n_regionkey"
+)
+def combined_crc(spark, sf_dir):
+    by = Window.partitionBy("n_regionkey")
+    rows = table(spark, sf_dir, "nation").select(
+        "n_regionkey", crc32_bzip2(utf8("n_name")).alias("crc"), (F.row_number().over(by.orderBy("n_nationkey")) - 1).alias("i"), F.count("*").over(by).alias("n")
+    )
+    return rows.groupBy("n_regionkey").agg(bz2_combined_crc(F.col("crc"), F.col("i"), F.col("n")).alias("crc"))
+
+
+# Stages. Buffers are names: one of them is a block.
+
+
+def name_bytes(spark, sf_dir, name: str = "nation", key: str = "n_nationkey", text: str = "n_name") -> DataFrame:
+    return stages.exploded_bytes(table(spark, sf_dir, name), [key], utf8(text))
+
+
+def _bytes(name: str = "nation", key: str = "n_nationkey", text: str = "n_name") -> str:
+    h = f"hex(encode({text}))"
+    return f"SELECT {key}, p AS pos, CAST('0x' || substr(h, 2 * p + 1, 2) AS INTEGER) AS b FROM (SELECT {key}, {h} AS h, unnest(range(0, CAST(length({h}) / 2 AS BIGINT))) AS p FROM {name})"
+
+
+_CUSTOMER = ("customer", "c_custkey", "c_name")
+
+
+@query(f"SELECT c_custkey, b, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY c_custkey ORDER BY b) - count(*) AS BIGINT) AS start FROM ({_bytes(*_CUSTOMER)}) GROUP BY c_custkey, b")
+def byte_histogram(spark, sf_dir):
+    return stages.byte_histogram(name_bytes(spark, sf_dir, *_CUSTOMER), ["c_custkey"])
+
+
+@query("SELECT CAST('0x' || h AS INTEGER) AS b, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents) GROUP BY h")
+def corpus_histogram(spark, sf_dir):
+    """Bytes of all texts: counted in the kernel batch by batch, summed by Spark."""
+    import numpy as np
+
+    def count(batches):
+        for batch in batches:
+            n = np.bincount(np.frombuffer(b"".join(x or b"" for x in batch.column(0).to_pylist()), np.uint8), minlength=256)
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype("i4")), pa.array(n[used])], names=["b", "n"])
+
+    return table(spark, sf_dir, "documents").select(utf8("text")).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT n_nationkey, array_to_string(list_sort(list(DISTINCT b)), ',') AS in_use FROM ({_bytes()}) GROUP BY n_nationkey")
+def alphabets(spark, sf_dir):
+    return stages.alphabet(name_bytes(spark, sf_dir), ["n_nationkey"]).select("n_nationkey", F.array_join(F.col("in_use").cast("array<string>"), ",").alias("in_use"))
+
+
+_RLE1 = f"""WITH x AS ({_bytes(*_CUSTOMER)}),
+y AS (SELECT *, CASE WHEN lag(b) OVER w = b THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY c_custkey ORDER BY pos)),
+z AS (SELECT *, sum(new) OVER (PARTITION BY c_custkey ORDER BY pos) AS island FROM y),
+p AS (SELECT *, (row_number() OVER (PARTITION BY c_custkey, island ORDER BY pos) - 1) // 259 AS part FROM z),
+g AS (SELECT c_custkey, island, part, b, count(*) AS raw_len FROM p GROUP BY ALL)
+SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY island, part) - 1 AS grp, b, raw_len FROM g"""
+
+
+@query(_RLE1)
+def rle1_groups(spark, sf_dir):
+    return stages.rle1_groups(name_bytes(spark, sf_dir, *_CUSTOMER), ["c_custkey"]).withColumn("grp", F.col("grp").cast("long"))
+
+
+@query(f"SELECT c_custkey, CAST(sum(CASE WHEN raw_len >= 4 THEN 5 ELSE raw_len END) AS BIGINT) AS enc_len FROM ({_RLE1}) GROUP BY c_custkey")
+def rle1_encoded_len(spark, sf_dir):
+    groups = stages.rle1_groups(name_bytes(spark, sf_dir, *_CUSTOMER), ["c_custkey"])
+    return groups.groupBy("c_custkey").agg(F.sum(stages.encoded_length(F.col("raw_len"))).cast("long").alias("enc_len"))
+
+
+_PACK = "SELECT o_orderpriority AS stream, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS grp, CAST(o_custkey % 5 + 1 AS BIGINT) AS enc_len FROM orders"
+
+
+@query(
+    f"""WITH RECURSIVE g AS ({_PACK}), t AS (SELECT *, CAST(sum(enc_len) OVER (PARTITION BY stream ORDER BY grp) AS BIGINT) AS upto FROM g),
+    s AS (SELECT stream, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS before FROM t GROUP BY stream
+          UNION ALL SELECT s.stream, s.block + 1, max(t.upto) FROM s JOIN t ON t.stream = s.stream AND t.upto > s.before AND t.upto <= s.before + 981 GROUP BY ALL)
+    SELECT t.stream, t.grp, s.block FROM t JOIN s ON s.stream = t.stream AND t.upto > s.before AND t.upto <= s.before + 981"""
+)
+def block_packing(spark, sf_dir):
+    by = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
+    groups = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("stream"), (F.row_number().over(by) - 1).alias("grp"), (F.col("o_custkey") % 5 + 1).alias("enc_len"))
+    return stages.block_packing(groups, "stream", 981)
+
+
+_BWT = f"""WITH t AS (SELECT n_nationkey, hex(encode(n_name)) AS h FROM nation),
+r AS (SELECT n_nationkey, p, substr(h, 2 * p + 1) || substr(h, 1, 2 * p) AS rot FROM (SELECT *, unnest(range(0, CAST(length(h) / 2 AS BIGINT))) AS p FROM t))
+SELECT n_nationkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY rot, p DESC) - 1 AS row, CAST('0x' || right(rot, 2) AS INTEGER) AS b, p = 0 AS is_origin FROM r"""
+
+
+def last_columns(spark, sf_dir) -> DataFrame:
+    return stages.bwt(name_bytes(spark, sf_dir), ["n_nationkey"]).withColumn("row", F.col("row").cast("long"))
+
+
+@query(_BWT)
+def bwt_last_column(spark, sf_dir):
+    return last_columns(spark, sf_dir)
+
+
+@query(f'SELECT n_nationkey, "row", b, row_number() OVER (PARTITION BY n_nationkey ORDER BY b, "row") - 1 AS next_row FROM ({_BWT})')
+def lf_mapping(spark, sf_dir):
+    return stages.lf_mapping(last_columns(spark, sf_dir), ["n_nationkey"]).withColumn("next_row", F.col("next_row").cast("long"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def inverse_bwt_names(spark, sf_dir):
+    """The kernel walks the last columns back to the names."""
+    import numpy as np
+
+    from ..operators.decoder import inverse_bwt
+
+    def back(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by("row")
+        out = inverse_bwt(batch["b"].to_numpy().astype(np.uint8), int(np.flatnonzero(batch["is_origin"].to_numpy())[0]))
+        return pa.table({"n_nationkey": batch["n_nationkey"][:1], "n_name": [out.tobytes().decode()]})
+
+    return last_columns(spark, sf_dir).groupBy("n_nationkey").applyInArrow(back, "n_nationkey int, n_name string")
+
+
+@query(
+    f"""WITH x AS ({_bytes()}), l AS (SELECT *, lag(pos) OVER (PARTITION BY n_nationkey, b ORDER BY pos) AS prev FROM x)
+    SELECT l.n_nationkey, l.pos, l.b, CAST((SELECT count(DISTINCT x.b) FROM x WHERE x.n_nationkey = l.n_nationkey AND x.pos < l.pos AND x.pos > coalesce(l.prev, -1))
+    + CASE WHEN l.prev IS NULL THEN (SELECT count(DISTINCT x.b) FROM x WHERE x.n_nationkey = l.n_nationkey AND x.b < l.b
+      AND NOT EXISTS (SELECT 1 FROM x AS y WHERE y.n_nationkey = l.n_nationkey AND y.pos < l.pos AND y.b = x.b)) ELSE 0 END AS BIGINT) AS place FROM l"""
+)
+def mtf_indices(spark, sf_dir):
+    rows = stages.move_to_front(name_bytes(spark, sf_dir), ["n_nationkey"])
+    return rows.select("n_nationkey", F.col("pos").cast("long").alias("pos"), "b", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT p_partkey, reverse(substr(to_binary(p_partkey + 1), strpos(to_binary(p_partkey + 1), '1') + 1)) AS digits FROM part WHERE p_partkey > 0")
+def rle2_digits(spark, sf_dir):
+    return table(spark, sf_dir, "part").where("p_partkey > 0").select("p_partkey", stages.zero_run_digits(F.col("p_partkey")).alias("digits"))
+
+
+@query("SELECT p_partkey, p_partkey AS run FROM part WHERE p_partkey > 0")
+def rle2_runs(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").where("p_partkey > 0").select("p_partkey", stages.zero_run_digits(F.col("p_partkey")).alias("digits"))
+    return rows.select("p_partkey", stages.zero_run_length(F.col("digits")).alias("run"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 200 THEN 2 WHEN n_chars < 600 THEN 3 WHEN n_chars < 1200 THEN 4 WHEN n_chars < 2400 THEN 5 ELSE 6 END AS tables FROM documents")
+def table_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", stages.table_count(F.col("n_chars")).alias("tables"))
+
+
+_LENGTHS = "SELECT n_regionkey, n_nationkey AS sym, 3 + (n_nationkey * 7 + n_regionkey) % 5 AS len FROM nation"
+
+
+def name_lengths(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias("sym"), (3 + (F.col("n_nationkey") * 7 + F.col("n_regionkey")) % 5).alias("len"))
+
+
+@query(
+    f"SELECT n_regionkey, sym, len, CAST(sum(1 << (20 - len)) OVER (PARTITION BY n_regionkey ORDER BY len, sym) - (1 << (20 - len)) AS BIGINT) >> (20 - len) AS code FROM ({_LENGTHS})"
+)
+def canonical_codes(spark, sf_dir):
+    return stages.canonical_codes(name_lengths(spark, sf_dir), ["n_regionkey"])
+
+
+@query(
+    f"SELECT n_regionkey, sym, repeat(CASE WHEN d > 0 THEN '10' ELSE '11' END, abs(d)) || '0' AS bits FROM (SELECT *, len - coalesce(lag(len) OVER (PARTITION BY n_regionkey ORDER BY sym), len) AS d FROM ({_LENGTHS}))"
+)
+def length_deltas(spark, sf_dir):
+    return stages.length_deltas(name_lengths(spark, sf_dir), ["n_regionkey"])
+
+
+@query(f"SELECT n_regionkey, sym, len, CAST(sum(len) OVER (PARTITION BY n_regionkey ORDER BY sym) - len AS BIGINT) AS bit FROM ({_LENGTHS})")
+def bit_offsets(spark, sf_dir):
+    return stages.bit_offsets(name_lengths(spark, sf_dir).withColumnRenamed("sym", "pos"), ["n_regionkey"]).withColumnRenamed("pos", "sym")
+
+
+@query("SELECT l_orderkey, l_linenumber, repeat('1', l_linenumber) || '0' AS bits FROM lineitem")
+def selector_bits(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", stages.unary_place(F.col("l_linenumber")).alias("bits"))
+
+
+_TABLES = "SELECT t.t AS tbl, s.s AS sym, 1 + (t.t * 3 + s.s * 5) % 7 AS len FROM range(4) AS t(t), range(8) AS s(s)"
+
+
+@query(
+    f"""WITH c AS (SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 50 AS grp, user_id % 8 AS sym FROM events),
+    k AS (SELECT event_type, grp, tbl, CAST(sum(len) AS BIGINT) AS cost FROM c JOIN ({_TABLES}) AS l ON l.sym = c.sym GROUP BY ALL)
+    SELECT event_type, grp, tbl, cost FROM (SELECT *, row_number() OVER (PARTITION BY event_type, grp ORDER BY cost, tbl) AS r FROM k) WHERE r = 1"""
+)
+def selector_argmin(spark, sf_dir):
+    symbols = table(spark, sf_dir, "events").select("event_type", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).alias("pos"), (F.col("user_id") % 8).alias("sym"))
+    # four tables of eight lengths, the same in every stream
+    cells = symbols.select("event_type").distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    cells = cells.select("event_type", F.expr("cell div 8").alias("tbl"), (F.col("cell") % 8).alias("sym"))
+    return stages.cheapest_tables(symbols, cells.withColumn("len", 1 + (F.col("tbl") * 3 + F.col("sym") * 5) % 7), ["event_type"])
+
+
+_MAP = f"SELECT n_nationkey, b // 16 AS high, CAST(bit_or(1 << (15 - b % 16)) AS INTEGER) AS word FROM (SELECT DISTINCT n_nationkey, b FROM ({_bytes()})) GROUP BY ALL"
+
+
+@query(_MAP)
+def symbol_map(spark, sf_dir):
+    rows = stages.symbol_map(name_bytes(spark, sf_dir), ["n_nationkey"])
+    return rows.withColumn("high", F.col("high").cast("int"))
+
+
+@query(f"SELECT DISTINCT n_nationkey, b FROM ({_bytes()})")
+def symbol_map_read(spark, sf_dir):
+    rows = stages.symbols_in_map(stages.symbol_map(name_bytes(spark, sf_dir), ["n_nationkey"]), ["n_nationkey"])
+    return rows.withColumn("b", F.col("b").cast("int"))

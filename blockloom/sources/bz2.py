@@ -27,16 +27,20 @@ from ..operators.format import CodecError
 READ_BYTES = 1 << 20
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df written once to the folder that driver and executors share, and read back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="blockloom-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/blockloom-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/blockloom-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, and read back."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def resolve(name: str, base: str) -> str:
@@ -88,7 +92,7 @@ class Bz2Reader(DataSourceReader):
     def partitions(self) -> list[FilePartition]:
         found = []
         for p in self.paths:
-            p = p.removeprefix("file://")
+            p = "/" + p.removeprefix("file:").lstrip("/") if p.startswith("file:") else p
             found += sorted(glob.glob(f"{p}/*.bz2")) if os.path.isdir(p) else sorted(glob.glob(p)) or [p]
         return [FilePartition(p) for p in found]
 
@@ -116,7 +120,8 @@ class Written(WriterCommitMessage):
 
 class Bz2Writer(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.folder = options["path"].removeprefix("file://")
+        self.folder = options["path"].removeprefix("file:")
+        self.folder = "/" + self.folder.lstrip("/") if self.folder.startswith("/") else self.folder
         self.level = int(options.get("level", "9"))
         if not 1 <= self.level <= 9:
             raise ValueError("level must be 1 to 9")
