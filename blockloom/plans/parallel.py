@@ -45,7 +45,7 @@ def candidates(files: DataFrame) -> DataFrame:
                 hits = magic_positions(data, magics=(BLOCK_MAGIC, END_MAGIC)).tolist()
                 few = len(hits) <= len(data) // BYTES_PER_CANDIDATE + FEW
                 level = data[3] - 0x30 if data[:3] == b"BZh" and len(data) > 3 else 0
-                for at, after in zip(hits, [*hits[1:], 8 * len(data)], strict=True):
+                for at, after in zip(hits, [*hits[1:], 8 * len(data)], strict=False):
                     if bits_at(data, at, MAGIC_BITS) == END_MAGIC:
                         head = data[(at + 87) >> 3 : ((at + 87) >> 3) + 4]
                         tail = bits_at(data, at + MAGIC_BITS, 32) if at + 80 <= 8 * len(data) else -1

@@ -51,7 +51,7 @@ class PushDecoder:
         if self.finished:
             return b""
         out = self.pump(True)
-        self.finished = True
+        self.finished, self.kept, self.state.bit = True, b"", 0
         return out
 
     def pump(self, ended: bool) -> bytes:
