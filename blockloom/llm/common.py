@@ -49,6 +49,14 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, even where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -108,10 +108,12 @@ def ssh_key(data: bytes) -> bool:
         return int.from_bytes(data[at - 4 : at], "big") if at <= len(data) else len(data)
 
     for _ in range(3):
-        at += number()
+        size = number()
+        at += size
     n = number()
     for _ in range(min(n, 16) + 1):
-        at += number()
+        size = number()
+        at += size
     return 1 <= n <= 16 and at == len(data)
 
 

@@ -177,10 +177,18 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def groups(fps: DataFrame) -> DataFrame:
-    """fps (a saved table with `fp`) with `root`, the least fingerprint that fp is connected with."""
+    """(fp, root) of each distinct fingerprint of fps: the least fingerprint that it is connected with."""
     distinct = saved(fps.select("fp").distinct())
     found = components(links(distinct)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    return fps.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def least_of_groups(fps: DataFrame, least: Column, name: str) -> DataFrame:
+    """fps (a saved table) with the least value of `least` in each row's group. Rows are first reduced to one for
+    each fingerprint, so copies meet only in a join that adds a column, whose large keys Spark can split."""
+    nodes = saved(fps.groupBy("fp").agg(F.min(least).alias(name)).join(groups(fps), "fp"))
+    of_root = nodes.groupBy("root").agg(F.min(name).alias(name))
+    return fps.join(nodes.select("fp", "root").join(of_root, "root").select("fp", name), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,6 +198,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id, the smallest id that isn't null, or null if there is none. Repeated rows stay. An empty table
     gives an empty result. Other columns are ignored.
     """
-    grouped = saved(groups(saved(fingerprints(docs, [F.col(id_col).cast("long").alias("doc_id")], text_col))))
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = saved(fingerprints(docs, [F.col(id_col).cast("long").alias("doc_id")], text_col))
+    found = least_of_groups(fps, F.col("doc_id"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import langid, packing, quality, secrets, simhash
-from blockloom.llm.common import saved, table
+from blockloom.llm.common import free, saved, table
 
 #: A document goes if it is less like its language than this (0 to 1); prose scores 0.5 to 0.9.
 LEAST_LIKENESS = 0.3
@@ -19,25 +19,30 @@ LEAST_LIKENESS = 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality rules keep. The measures are written beside the rows, so texts are measured once."""
-    return quality.judged(docs, keep=docs.columns).where("_kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text", "lang")
+    return quality.judged(rows, keep=["row"]).where("_kept").select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those unlike any language."""
-    learned = docs.select("doc_id", "text", "lang").where(~langid.held_out())
-    judged = langid.identify(docs, langid.learn(learned), pred_col="_lang_pred", score_col="_score")
-    return judged.where((F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_LIKENESS)).select(*docs.columns)
+    """Drops documents without a letter and those unlike any language; all without a letter if no row has a language."""
+    learned = langid.learn(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
+    if not learned.languages:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    pred, score = free(docs, "lang_pred"), free(docs, "score")
+    judged = langid.identify(docs, learned, pred_col=pred, score_col=score)
+    return judged.where((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LIKENESS)).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one with the smallest id (a null id comes last),
     of several rows with that id the one with the smallest hash of its text, of equal ones any one."""
-    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)).cast("long"), "_mark": F.xxhash64("text")}
-    found = saved(simhash.groups(saved(simhash.fingerprints(docs, [c.alias(k) for k, c in key.items()]))))
-    first = found.groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    none, number, mark, again = (free(docs, c) for c in ("none", "number", "mark", "again"))
+    key = {none: F.col("doc_id").isNull(), number: F.coalesce("doc_id", F.lit(0)).cast("long"), mark: F.xxhash64("text")}
+    fps = saved(simhash.fingerprints(docs, [c.alias(k) for k, c in key.items()]))
+    first = simhash.least_of_groups(fps, F.struct(*key), "first").select("first.*").distinct()
     kept = docs.withColumns(key).join(first, list(key))  # one text has one root, so a key is first once at most
-    again = F.row_number().over(Window.partitionBy(*key).orderBy("_mark"))
-    return kept.withColumn("_again", again).where("_again = 1").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(mark))
+    return kept.withColumn(again, nth).where(F.col(again) == 1).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
