@@ -145,8 +145,10 @@ def distance(counts: Column, reference: list[int]) -> Column:
     q = F.array(*(F.lit(x / total) for x in reference))
 
     def of(size: Column) -> Column:
-        part = lambda x, mean: F.when(x > 0, x * F.log2(x / mean)).otherwise(F.lit(0.0))
-        terms = F.zip_with(counts, q, lambda c, y: part(c / size, (c / size + y) / 2) + part(y, (c / size + y) / 2))
+        # try_divide: a branch that isn't taken may still be evaluated
+        part = lambda x, mean: F.when(x > 0, x * F.log2(F.try_divide(x, mean))).otherwise(F.lit(0.0))
+        share = lambda c: F.try_divide(c, size)
+        terms = F.zip_with(counts, q, lambda c, y: part(share(c), (share(c) + y) / 2) + part(y, (share(c) + y) / 2))
         return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
     size = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -154,7 +156,7 @@ def distance(counts: Column, reference: list[int]) -> Column:
 
 
 def limit(most: tuple[float, float], n: Column) -> Column:
-    return most[0] + most[1] / F.sqrt(n)
+    return most[0] + most[1] / F.sqrt(F.greatest(n, F.lit(1)))
 
 
 def near_language(m: Column, found: dict[str, tuple[list[int], list[int]]]) -> Column:
