@@ -157,7 +157,18 @@ def push_stream_chunks(spark, sf_dir):
     return rows.groupBy(F.col("stream_id").alias("file_id")).agg(text.alias("text"))
 
 
-# Errors
+# Errors and headers
+
+_TABLE = "[" + ", ".join(map(str, CRC_TABLE)) + "]"
+_BYTES = "list_transform(range(1, CAST(length({h}) / 2 AS BIGINT) + 1), lambda i: CAST('0x' || substr({h}, 2 * i - 1, 2) AS BIGINT))"
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, "
+    + _BYTES
+    + "), lambda c, b: xor((c * 256) & 4294967295, list_extract("
+    + _TABLE
+    + ", CAST(xor(c >> 24, b) + 1 AS INTEGER)))), 4294967295)"
+)
+_CRC_OF_NAME = _CRC.format(h="hex(encode(n_name))")
 
 _CASES = {
     "cut": "Truncated", "magic": "InvalidMagic", "level": "InvalidLevel", "randomized": "RandomizedBlock", "block_crc": "CrcMismatch",
@@ -191,22 +202,32 @@ def error_relabelled(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", bz2_error(F.unhex(F.overlay(h, F.lit("1"), F.lit(8), F.lit(1)))).alias("error"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 9 THEN p_size END AS level FROM part")
+@query("SELECT p_partkey, p_size AS level, p_size BETWEEN 1 AND 9 AS packs FROM part")
 def valid_levels(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size").between(1, 9), F.col("p_size")).alias("level"))
+    """Which sizes are levels: the compressor gives null for all others."""
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", F.col("p_size").alias("level"), bz2_compress(utf8("p_name"), F.col("p_size")).isNotNull().alias("packs"))
 
 
-# Checksums
+def bits(h: Column, bit: int, n: int) -> Column:
+    """n (up to 48) bits of hex text from a bit offset, most significant first."""
+    first, last = bit // 8, (bit + n + 7) // 8
+    word = F.conv(F.substring(h, 2 * first + 1, 2 * (last - first)), 16, 10).cast("long")
+    return F.call_function("shiftright", word, F.lit(8 * last - bit - n)).bitwiseAND((1 << n) - 1)
 
-_TABLE = "[" + ", ".join(map(str, CRC_TABLE)) + "]"
-_BYTES = "list_transform(range(1, CAST(length({h}) / 2 AS BIGINT) + 1), lambda i: CAST('0x' || substr({h}, 2 * i - 1, 2) AS BIGINT))"
-_CRC = (
-    "xor(list_reduce(list_prepend(4294967295, "
-    + _BYTES
-    + "), lambda c, b: xor((c * 256) & 4294967295, list_extract("
-    + _TABLE
-    + ", CAST(xor(c >> 24, b) + 1 AS INTEGER)))), 4294967295)"
+
+@query(
+    "WITH s AS (SELECT n_nationkey, n_name, length(n_name) AS n FROM nation) SELECT n_nationkey, 54156738319193 AS magic, CAST(0 AS BIGINT) AS randomized, 9 AS level, "
+    f"CAST({_CRC_OF_NAME} AS BIGINT) AS crc FROM s"
 )
+def block_headers(spark, sf_dir):
+    """Fields of a stream's first block, read from its bits: level, magic number, checksum, randomized bit."""
+    h = F.hex(bz2_compress(utf8("n_name"), F.lit(9)))
+    rows = spread(table(spark, sf_dir, "nation")).select("n_nationkey", h.alias("h"))
+    level = (bits(F.col("h"), 24, 8) - 48).cast("int")
+    return rows.select("n_nationkey", bits(F.col("h"), 32, 48).alias("magic"), bits(F.col("h"), 112, 1).alias("randomized"), level.alias("level"), bits(F.col("h"), 80, 32).alias("crc"))
+
+
+# Checksums
 
 
 @query(f"SELECT n_nationkey, CAST({_CRC.format(h='h')} AS BIGINT) AS crc FROM (SELECT n_nationkey, hex(encode(n_name)) AS h FROM nation)")
