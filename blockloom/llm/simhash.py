@@ -176,17 +176,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_verified, "u long, v long")
 
 
-def groups(fps: DataFrame) -> DataFrame:
-    """(fp, root) of each distinct fingerprint of fps: the least fingerprint that it is connected with."""
+def groups(fps: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """(fp, root) of each distinct fingerprint of fps: the least fingerprint that it is connected with, by the
+    links (u, v) in `linked`, or else those of SimHash."""
     distinct = saved(fps.select("fp").distinct())
-    found = components(links(distinct)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    found = components(links(distinct) if linked is None else linked).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     return distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def least_of_groups(fps: DataFrame, least: Column, name: str) -> DataFrame:
+def least_of_groups(fps: DataFrame, least: Column, name: str, linked: DataFrame | None = None) -> DataFrame:
     """fps (a saved table) with the least value of `least` in each row's group. Rows are first reduced to one for
     each fingerprint, so copies meet only in a join that adds a column, whose large keys Spark can split."""
-    nodes = saved(fps.groupBy("fp").agg(F.min(least).alias(name)).join(groups(fps), "fp"))
+    nodes = saved(fps.groupBy("fp").agg(F.min(least).alias(name)).join(groups(fps, linked), "fp"))
     of_root = nodes.groupBy("root").agg(F.min(name).alias(name))
     return fps.join(nodes.select("fp", "root").join(of_root, "root").select("fp", name), "fp")
 

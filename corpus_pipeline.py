@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm import langid, packing, quality, secrets, simhash
+from blockloom.llm import jaccard, langid, packing, quality, secrets, simhash
 from blockloom.llm.common import free, saved, table
 
 #: A document goes if it is less like its language than this (0 to 1); prose scores 0.5 to 0.9.
@@ -35,11 +35,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one with the smallest id (a null id comes last),
-    of several rows with that id the one with the smallest hash of its text, of equal ones any one."""
+    of several rows with that id the one with the smallest hash of its text, of equal ones any one. Documents link
+    where their sets of five-word shingles have a Jaccard index of 0.8 or more."""
     none, number, mark, again = (free(docs, c) for c in ("none", "number", "mark", "again"))
     key = {none: F.col("doc_id").isNull(), number: F.coalesce("doc_id", F.lit(0)).cast("long"), mark: F.xxhash64("text")}
-    fps = saved(simhash.fingerprints(docs, [c.alias(k) for k, c in key.items()]))
-    first = simhash.least_of_groups(fps, F.struct(*key), "first").select("first.*").distinct()
+    fps = saved(jaccard.fingerprints(docs, [c.alias(k) for k, c in key.items()]))
+    linked = jaccard.links(docs, fps, key)
+    first = simhash.least_of_groups(fps.select(*key, "fp"), F.struct(*key), "first", linked).select("first.*").distinct()
     kept = docs.withColumns(key).join(first, list(key))  # one text has one root, so a key is first once at most
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(mark))
     return kept.withColumn(again, nth).where(F.col(again) == 1).select(*docs.columns)

@@ -1,13 +1,16 @@
 """The pipeline, stage by stage, against brute force; and what holds for all corpus queries."""
 
+import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from blockloom.llm import langid, secrets
+from blockloom.llm import jaccard, langid, secrets
+from blockloom.llm.simhash import shingle_hashes
 
 from .conftest import PROSE, docs_of
 from .test_table_operators import brute_components, brute_verdicts, checked_packing, quality_rows
@@ -70,6 +73,43 @@ def test_dedup_keeps_one_of_repeated_ids(spark):
     kept = corpus_pipeline.dedup_stage(spark, docs_of(spark, rows), "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (1, b), (0, "12 twelve")])
 
+def brute_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_dedup_against_brute_force_jaccard(spark):
+    """Edited copies on both sides of 0.8, chains, and a group whose members mostly link through others."""
+    rng, rows = random.Random(3), []
+    for group in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(40, 160))]
+        for _ in range(8):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.randrange(0, 1 + len(words) // 20)):
+                words[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words), "en", "s"))
+            if group % 3 == 0:
+                base = words
+    rows += [(1000, "one two three", "en", "s"), (1001, "One two  three", "en", "s"), (1002, "one two four", "en", "s")]
+    sets, root = [brute_sets(t) for _, t, *_ in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    kept = corpus_pipeline.dedup_stage(spark, docs_of(spark, rows), "")
+    want = {rows[i][0] for i, r in enumerate(root) if i == r}
+    assert {r.doc_id for r in kept.collect()} == want and 20 < len(want) < len(rows) - 20
+
+
+def test_pairs_apart_survive_the_signature():
+    one = shingle_hashes(" ".join(f"a{i}" for i in range(204)).encode(), 5)
+    for swapped, hit in ((22, True), (23, False)):  # 178 of 222, 177 of 223
+        other = np.unique(np.concatenate([one[swapped:], np.arange(swapped, dtype=np.uint64)]))
+        assert jaccard.linked(np.unique(one), other) is hit
+    signatures = np.stack([(jaccard.minima(x) >> np.uint64(32)).astype(np.uint8) for x in (one, other)])
+    assert [list(map(int, x)) for i, j in jaccard.alike(np.array([1, 2]), signatures) for x in zip(i, j)] == [[1, 0]]
+
 
 def test_stages_on_an_empty_table_and_edges(spark, no_docs, edge_docs):
     for _, stage in corpus_pipeline.STAGES:
