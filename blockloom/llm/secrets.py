@@ -29,6 +29,14 @@ BASE_KINDS = KINDS[:3]
 
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:[^-]|-(?!----))*)-----END \1PRIVATE KEY-----")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Where a key may start, in base64 and hex: at the first digit of a run, with bytes that is_key accepts.
+BASE64_START = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]|b3Blbn)")
+HEX_START = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee])")
+BASE64_DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
+HEX_DIGITS = re.compile(r"[0-9A-Fa-f]+")
+#: Goes on in the next line; a line may be indented.
+LINE_BREAK = re.compile(r"[\x20\t]*(?:\r\n|\r|\n)[\x20\t]*")
+PADDING = re.compile("={0,2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 OPENSSH = b"openssh-key-v1\0"
 #: DER tags (fixed values).
@@ -121,6 +129,51 @@ def is_key(data: bytes) -> bool:
     return len(data) >= 24 and (der_key(data) or ssh_key(data))
 
 
+def der_size(head: bytes) -> int:
+    """Bytes of the DER sequence that starts with these, header included; 0 if no length of one can be read."""
+    if len(head) < 2 or head[0] != SEQUENCE:
+        return 0
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    if head[1] == 0x80 or width > 4 or len(head) < 2 + width:
+        return 0
+    return 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+
+
+def run_keys(text: str, start: re.Pattern, digits: re.Pattern, decode, count) -> list[tuple[int, int]]:
+    """Spans of keys that are written as runs of digits on one or several lines. A key ends where a line's run ends,
+    at the length its first bytes tell (DER), or where its parts add up (OpenSSH). `count` gives the digits of n bytes."""
+    found, behind = [], 0
+    for at in (m.start() for m in start.finditer(text)):
+        if at < behind:
+            continue
+        joined, need, last = "", 0, digits.match(text, at)
+        parts, n, der = [], 0, text[at] in "M3"
+        while last:
+            parts.append(last[0])
+            n += len(last[0])
+            if der and not need and n >= 12:
+                need = count(der_size(decode("".join(parts)[:12])))
+                if not need or need > len(text) - at:
+                    break
+            if not der and n >= 32 and not decode("".join(parts)[:32]).startswith(OPENSSH):
+                break
+            if n == need or not der and is_key(decode("".join(parts))):
+                joined = "".join(parts)
+                break
+            if need and n > need:
+                break
+            line = LINE_BREAK.match(text, last.end())
+            last = line and digits.match(text, line.end())
+        if joined and is_key(decode(joined)):
+            behind = last.end()
+            found.append((at, behind))
+    return found
+
+
+def unhexed(text: str) -> bytes:
+    return b"" if len(text) % 2 else bytes.fromhex(text)
+
+
 def signed_token(header: str, payload: str, signature: str) -> bool:
     try:
         head, body = (json.loads(decoded(x)) for x in (header, payload))
@@ -148,9 +201,13 @@ def confirmed_spans(text: str, hexes: list[tuple[int, int]]) -> list[tuple[str,
                 found.append(("key", *m.span()))
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in TOKEN.finditer(text) if signed_token(*m.groups())]
+    armoured = [(a, b) for kind, a, b in found if kind == "key"]
     for m in BASE64.finditer(text):
         if m[0][0] in "Mb" and is_key(decoded(m[0])):
             found.append(("key", *m.span()))
+    runs = [(a, PADDING.match(text, b).end()) for a, b in run_keys(text, BASE64_START, BASE64_DIGITS, decoded, lambda n: -(-4 * n // 3))]
+    runs += run_keys(text, HEX_START, HEX_DIGITS, unhexed, lambda n: 2 * n)
+    found += [("key", a, b) for a, b in runs if not any(c <= a and b <= d for c, d in armoured)]
     for a, b in hexes:
         if text[a : a + 2] == "30" and not (b - a) % 2 and is_key(bytes.fromhex(text[a:b])):
             found.append(("key", a, b))

@@ -103,6 +103,31 @@ def test_structural_confirmation():
     assert secrets.redacted(f"see {token}!", secrets.spans(f"see {token}!")) == "see [secret]!"
 
 
+@pytest.mark.parametrize("width", [20, 64, 76])
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\n    "])
+def test_keys_in_any_hex_and_over_lines(width, line):
+    rsa, pkcs8, sec1, public, ssh = keys()
+    mixed = lambda b: "".join(c.upper() if i % 3 else c for i, c in enumerate(b.hex()))
+    b64 = lambda b: base64.b64encode(b).decode()
+    url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    for key in (rsa, pkcs8, sec1, ssh):
+        for form in (lambda b: b.hex(), lambda b: b.hex().upper(), mixed, b64, url):
+            whole = form(key)
+            for body in (whole, line.join(re.findall(f".{{1,{width}}}", whole))):
+                for before, after in (("", ""), ("key\n", "\nend of it"), ("x: ", "\nMore\n"), ("Mine\n", "\n" + line.join([form(public)] * 2))):
+                    text = before + body + after
+                    assert ("key", len(before), len(before) + len(body)) in secrets.spans(text)
+                    assert secrets.redacted(text, secrets.spans(text)).startswith(f"{before}[secret]")
+            broken = bytearray(key)
+            broken[18 if key is ssh else 1] ^= 1  # a length
+            wrapped = line.join(re.findall(f".{{1,{width}}}", form(bytes(broken))))
+            assert not [s for s in secrets.spans(wrapped) if s[0] == "key"]
+        both = line.join(re.findall(f".{{1,{width}}}", b64(key))) + "\n\n" + key.hex().upper()
+        assert [k for k, _, _ in secrets.spans(both)].count("key") == 2
+    for form in (lambda b: b.hex().upper(), b64):
+        assert not [s for s in secrets.spans(line.join(re.findall(f".{{1,{width}}}", form(public)))) if s[0] == "key"]
+
+
 def brute_base(text):
     kinds = {
         "assign": r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
