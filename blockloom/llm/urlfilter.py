@@ -25,10 +25,12 @@ from .common import let, saved
 
 #: Longest context in characters.
 ORDER = 4
-#: A gram is kept if it makes up at least one in GRAMS of all of its order, so an order has at most GRAMS grams
-#: of a class and the tables at most 2 * GRAMS * (ORDER + 1) rows (about 10 MB): they are broadcast.
-GRAMS = 20_000
+#: A gram is kept if it occurs as often as this, however large the input.
 MIN_COUNT = 2
+#: Rows up to which the model is broadcast (about 10 MB); it is joined by shuffle beyond.
+BROADCAST = 200_000
+#: The SQL counterpart alone uses this: beyond MIN_COUNT * GRAMS labelled characters it keeps fewer grams.
+GRAMS = 20_000
 #: Characters that a position of a URL may hold, for the uniform distribution.
 ALPHABET = 64
 #: One in FOLDS labelled URLs calibrates, the others are fitted on.
@@ -92,9 +94,7 @@ def fit(labelled: DataFrame) -> DataFrame:
     counted = saved(
         grams(labelled).groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
     ).withColumn("n", F.length("gram"))
-    # no order has more grams in all than that of single characters
-    total = counted.where("n = 1").agg(F.sum(F.col("a") + F.col("r"))).first()[0] or 0
-    kept = saved(counted.where(F.col("a") + F.col("r") >= max(MIN_COUNT, -(-total // GRAMS))))
+    kept = saved(counted.where(F.col("a") + F.col("r") >= MIN_COUNT))
     # of each context: how often it is followed, and by how many different characters
     context = kept.select(F.expr("substr(gram, 1, n - 1)").alias("context"), "a", "r")
     sums = saved(
@@ -124,8 +124,9 @@ def fit(labelled: DataFrame) -> DataFrame:
 def scored(texts: DataFrame, model: DataFrame) -> DataFrame:
     """(text, score) of distinct texts, in millionths a character, rounded down."""
     own = grams(texts.select("text")).withColumn("context", F.expr("substr(gram, 1, length(gram) - 1)"))
-    known = F.broadcast(model.where("known IS NOT NULL").select("gram", "known"))
-    unknown = F.broadcast(model.select(F.col("gram").alias("context"), "unknown"))
+    known, unknown = model.where("known IS NOT NULL").select("gram", "known"), model.select(F.col("gram").alias("context"), "unknown")
+    if model.count() <= BROADCAST:
+        known, unknown = F.broadcast(known), F.broadcast(unknown)
     sums = own.join(known, "gram", "left").join(unknown, "context", "left").groupBy("text").agg(F.sum(F.coalesce("known", "unknown", F.lit(0))).alias("sum"))
     return sums.select("text", F.floor(F.col("sum") / F.length("text")).cast("long").alias("score"))
 

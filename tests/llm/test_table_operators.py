@@ -194,6 +194,18 @@ def test_url_scores_against_recursion(spark):
         assert got[t] == pytest.approx(1e6 * brute_score(t, model), abs=20), t
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_rare_grams_of_many_labelled_urls_stay(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(urlfilter, "BROADCAST", broadcast)
+    texts = [("casino-win/4", 0, 2), ("garden/4", 3, 0), ("zz/9", 100_000, 60_000)]
+    model = urlfilter.fit(spark.createDataFrame(texts, "text string, a long, r long"))
+    assert {r.gram for r in model.where("known IS NOT NULL").collect()} == set(brute_model(texts)[0])
+    asked = [*(t for t, *_ in texts), "casino/77"]
+    got = {r.text: r.score for r in urlfilter.scored(spark.createDataFrame([(t,) for t in asked], "text string"), model).collect()}
+    for t in asked:
+        assert got[t] == pytest.approx(1e6 * brute_score(t, brute_model(texts)), abs=20), t
+
+
 # SimHash
 
 
