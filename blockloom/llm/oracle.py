@@ -75,42 +75,41 @@ FROM b LEFT JOIN v USING (id)"""
 
 def urls() -> str:
     u = urlfilter
-    labels = max(len(h.split(".")) for _, h, _ in u.RULES)
-    segments = max(p.strip("/").count("/") + 1 if p.strip("/") else 0 for _, _, p in u.RULES)
     rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in u.RULES)
-    crc = _CRC32.replace("coalesce(text, '')", "text")
+    words = ", ".join(f"'{w}'" for w in u.UNWANTED)
+    crc = _CRC32.replace("coalesce(text, '')", "host")
     steps, known = [], []
     for n in range(1, u.ORDER + 2):
-        low = f"JOIN t{n - 1} AS s ON s.gram = substr(k.gram, 2)" if n > 1 else ""
+        low = f"JOIN t{n - 1} AS s ON s.fold = k.fold AND s.gram = substr(k.gram, 2)" if n > 1 else ""
         pa, pr = ("s.p_a", "s.p_r") if n > 1 else (f"{1.0 / u.ALPHABET}", f"{1.0 / u.ALPHABET}")
-        steps.append(f"""p{n} AS (SELECT k.gram, {pa} AS low_a, {pr} AS low_r,
+        steps.append(f"""p{n} AS (SELECT k.fold, k.gram, {pa} AS low_a, {pr} AS low_r,
     coalesce((k.a + c.a_kinds * {pa}) / nullif(CAST(c.a_n + c.a_kinds AS DOUBLE), 0), {pa}) AS p_a, coalesce((k.r + c.r_kinds * {pr}) / nullif(CAST(c.r_n + c.r_kinds AS DOUBLE), 0), {pr}) AS p_r
-    FROM kept AS k JOIN sums AS c ON c.context = substr(k.gram, 1, {n - 1}) {low} WHERE length(k.gram) = {n}),
+    FROM kept AS k JOIN sums AS c ON c.fold = k.fold AND c.context = substr(k.gram, 1, {n - 1}) {low} WHERE length(k.gram) = {n}),
 t{n} AS (SELECT *, CAST(round((ln(p_a / p_r) - ln(low_a / low_r)) * {u.UNIT}) AS BIGINT) AS known FROM p{n}),""")
-        known.append(f"SELECT gram, known FROM t{n}")
+        known.append(f"SELECT fold, gram, known FROM t{n}")
     weight = lambda c: f"coalesce(CAST({c}_kinds AS DOUBLE) / nullif({c}_n + {c}_kinds, 0), 1.0)"
-    return f"""
+    return rf"""
 WITH rules(action, rule_host, rule_path) AS (VALUES {rules}),
 x AS (SELECT row_number() OVER () AS id, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-y AS (SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM x),
+h AS (SELECT *, regexp_extract(rest, '^([^/?#]*)', 1) AS found, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM x),
+y AS (SELECT *, translate(found, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM h),
 f AS (SELECT id, arg_max(action, length(rule_host || rule_path)) AS action, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule
     FROM y JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY id),
-z AS (SELECT y.*, action, rule, regexp_replace(host, '(^|\.)[^.]*(\.[^.]*){{0,{labels - 1}}}$', '') || regexp_replace(path, '^(/[^/]*){{0,{segments}}}', '') AS text FROM y LEFT JOIN f USING (id)),
-u AS (SELECT DISTINCT host, path, text, action, regexp_matches(host, '(^|[.-])({"|".join(u.UNWANTED)})([.-]|$)') OR coalesce(action = 'block', false) AS bad FROM z),
-e AS (SELECT text, sum(CAST(NOT bad AND action IS NOT NULL AS INTEGER)) AS a, sum(CAST(bad AS INTEGER)) AS r FROM u WHERE text <> '' GROUP BY text),
-texts AS (SELECT *, {crc} % {u.FOLDS} AS fold FROM e),
-led AS (SELECT *, chr(2) || text AS t FROM texts),
-spots AS (SELECT *, unnest(range(2, length(t) + 1)) AS i FROM led),
-grams AS (SELECT text, a, r, fold, substr(t, i - n + 1, n) AS gram FROM (SELECT *, unnest(range(1, least(i, {u.ORDER + 1}) + 1)) AS n FROM spots)),
-counted AS (SELECT gram, sum(a) AS a, sum(r) AS r FROM grams WHERE fold <> 0 AND a + r > 0 GROUP BY gram),
-kept AS (SELECT * FROM counted WHERE a + r >= greatest({u.MIN_COUNT}, (SELECT CAST(ceil(coalesce(sum(a + r), 0) / {u.GRAMS}.0) AS BIGINT) FROM counted WHERE length(gram) = 1))),
-sums AS (SELECT substr(gram, 1, length(gram) - 1) AS context, sum(a) AS a_n, sum(CAST(a > 0 AS INTEGER)) AS a_kinds, sum(r) AS r_n, sum(CAST(r > 0 AS INTEGER)) AS r_kinds FROM kept GROUP BY 1),
+z AS (SELECT y.*, action, rule, host || substr(rest, length(found) + 1) AS text FROM y LEFT JOIN f USING (id)),
+e AS (SELECT DISTINCT text, host, CAST(regexp_matches(host, '(^|[.-])({"|".join(u.UNWANTED)})([.-]|$)') OR coalesce(action = 'block', false) AS INTEGER) AS r FROM z WHERE text <> ''),
+texts AS (SELECT text, r, 1 - r AS a, {crc} % 2 AS fold FROM e),
+learned AS (SELECT text, 1 - fold AS fold, a, r FROM texts UNION ALL SELECT unnest([{words}]), f.f, 0, {u.WORD_COUNT} FROM range(2) AS f(f)),
+cut AS (SELECT *, chr(2) || text AS t FROM learned),
+learned_grams AS (SELECT fold, a, r, substr(t, i - n + 1, n) AS gram FROM (SELECT *, unnest(range(1, least(i, {u.ORDER + 1}) + 1)) AS n FROM (SELECT *, unnest(range(2, length(t) + 1)) AS i FROM cut))),
+kept AS (SELECT fold, gram, sum(a) AS a, sum(r) AS r FROM learned_grams GROUP BY ALL HAVING sum(a + r) >= {u.MIN_COUNT}),
+sums AS (SELECT fold, substr(gram, 1, length(gram) - 1) AS context, sum(a) AS a_n, sum(CAST(a > 0 AS INTEGER)) AS a_kinds, sum(r) AS r_n, sum(CAST(r > 0 AS INTEGER)) AS r_kinds FROM kept GROUP BY ALL),
 {"".join(steps)}
 known AS ({" UNION ALL ".join(known)}),
-lost AS (SELECT context, CAST(round(ln({weight("a")} / {weight("r")}) * {u.UNIT}) AS BIGINT) AS unknown FROM sums),
-scores AS (SELECT text, any_value(g.a) AS a, any_value(fold) AS fold, CAST(floor(CAST(sum(coalesce(known, unknown, 0)) AS DOUBLE) / length(text)) AS BIGINT) AS score
-    FROM grams AS g LEFT JOIN known ON known.gram = g.gram LEFT JOIN lost ON lost.context = substr(g.gram, 1, length(g.gram) - 1) GROUP BY text),
-hist AS (SELECT CAST(floor(score / {u.UNIT // 1000}.0) AS BIGINT) AS cell, sum(a) AS n FROM scores WHERE fold = 0 AND a > 0 GROUP BY 1),
+lost AS (SELECT fold, context, CAST(round(ln({weight("a")} / {weight("r")}) * {u.UNIT}) AS BIGINT) AS unknown FROM sums),
+grams AS (SELECT text, a, fold, substr(t, i - n + 1, n) AS gram FROM (SELECT *, unnest(range(1, least(i, {u.ORDER + 1}) + 1)) AS n FROM (SELECT *, unnest(range(2, length(t) + 1)) AS i FROM (SELECT *, chr(2) || text AS t FROM texts)))),
+scores AS (SELECT text, any_value(g.a) AS a, CAST(floor(CAST(sum(coalesce(known, unknown, 0)) AS DOUBLE) / length(text)) AS BIGINT) AS score
+    FROM grams AS g LEFT JOIN known ON known.fold = g.fold AND known.gram = g.gram LEFT JOIN lost ON lost.fold = g.fold AND lost.context = substr(g.gram, 1, length(g.gram) - 1) GROUP BY text),
+hist AS (SELECT CAST(floor(score / {u.UNIT // 1000}.0) AS BIGINT) AS cell, count(*) AS n FROM scores WHERE a > 0 GROUP BY 1),
 lim AS (SELECT min(cell) * {u.UNIT // 1000} AS least FROM (SELECT cell, sum(n) OVER (ORDER BY cell) AS upto, sum(n) OVER () AS total FROM hist) WHERE upto > {u.MAX_FALSE_REJECTS} * total)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN score < (SELECT least FROM lim) THEN 'block' END, 'allow') AS verdict FROM z LEFT JOIN scores USING (text)"""
 

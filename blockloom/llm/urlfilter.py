@@ -2,13 +2,16 @@
 
 Two variable-order Markov models of characters, one of accepted and one of rejected URLs, are smoothed by
 interpolation from the uniform distribution up to the longest context (Witten-Bell weights). A URL's score is
-the difference of its log-likelihoods under the two, divided by its length; the limit is calibrated on accepted
-URLs that the models were not fitted on.
+the difference of its log-likelihoods under the two, divided by its length; below a calibrated limit it is blocked.
 
-Accepted are the URLs that a rule allows, rejected those that a rule blocks or whose host has a part on a list of
-unwanted words (also where a rule allows them). The models see only what the rules do not look at: the host
-without its last labels and the path without its first segments, as many as the longest rule has. Else they
-would only learn the rules by heart, and reject whatever shares a top-level domain with a blocked host.
+The models read whole URLs from the host on, query and fragment included. Rejected are URLs that a rule blocks or
+whose host has a part on a list of unwanted words (also where a rule allows them); accepted are all others. The
+rules alone tell nothing about what is unwanted, only about top-level domains and languages, so the list says what
+rejection is for; the rejected models read its words, too. It is a parameter, as the rules are.
+
+Hosts are dealt to two folds, and a URL is judged by the models of the other fold, which have seen nothing of its
+host. Else they would know every host by heart, and reject all pages of one that a rule blocks in part. So the
+scores of all accepted URLs are held out, and the limit is set on them.
 
 A model is a table of grams. For each gram (a context and a character) it holds by how much the score of a
 character changes when that gram is known in place of its shorter suffix; for an unknown gram whose context is
@@ -21,21 +24,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, saved
+from .common import dropped, let, partitions, saved
 
 #: Longest context in characters.
 ORDER = 4
 #: A gram is kept if it occurs as often as this, however large the input.
 MIN_COUNT = 2
-#: Rows up to which the model is broadcast (about 10 MB); it is joined by shuffle beyond.
+#: Rows up to which the models are broadcast (about 10 MB); they are joined by shuffle beyond.
 BROADCAST = 200_000
-#: The SQL counterpart alone uses this: beyond MIN_COUNT * GRAMS labelled characters it keeps fewer grams.
-GRAMS = 20_000
 #: Characters that a position of a URL may hold, for the uniform distribution.
 ALPHABET = 64
-#: One in FOLDS labelled URLs calibrates, the others are fitted on.
-FOLDS = 5
-#: Share of accepted calibration URLs that the limit may reject.
+#: How often the rejected models read each unwanted word.
+WORD_COUNT = 5
+#: Share of accepted URLs that the limit may reject.
 MAX_FALSE_REJECTS = 0.01
 #: Stands before the first character of a URL.
 START = "\x02"
@@ -43,7 +44,7 @@ UNIT = 1_000_000
 
 #: Words that mark a host as unwanted wherever one of its parts between dots and hyphens is one (fixed values).
 UNWANTED = (
-    "ads adserver banner bet bets betting bonus casino cheap clickbait free gambling jackpot loan loans lottery malware nude payday "
+    "ads adserver adult banner bet bets betting bonus casino cheap clickbait free gambling jackpot loan loans lottery malware nude payday "
     "pharma phishing pills poker porn prize promo replica sex slots spam track tracker viagra warez win xxx"
 ).split()
 
@@ -51,14 +52,15 @@ UNWANTED = (
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
-def parts(url: Column) -> tuple[Column, Column]:
-    """Host (A-Z lower-cased) and path; both empty if there is no `://`."""
+def parts(url: Column) -> tuple[Column, Column, Column]:
+    """Host (A-Z lower-cased), path, and all from the host on; empty if there is no `://`."""
     has = F.coalesce(url.contains("://"), F.lit(False))
     rest = F.substring(url, F.locate("://", url) + 3, F.length(url))
-    host = F.regexp_extract(rest, "^([^/?#]*)", 1)
+    found = F.regexp_extract(rest, "^([^/?#]*)", 1)
     path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
-    low = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(has, low).otherwise(""), F.when(has, path).otherwise("")
+    host = F.translate(found, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    whole = F.concat(host, F.substr(rest, F.length(found) + 1))
+    return tuple(F.when(has, x).otherwise("") for x in (host, path, whole))
 
 
 def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -85,66 +87,60 @@ def grams(rows: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
 
 
 def fit(labelled: DataFrame) -> DataFrame:
-    """The model table (gram, known, unknown: whole millionths) from rows of (text, a, r): how often
-    the text is accepted and rejected.
+    """The models (fold, gram, known, unknown: whole millionths) from rows of (fold, text, a, r): how often the text
+    is accepted and rejected, one model for each fold.
 
     `known` is added for each occurrence of the gram; `unknown` for each gram that is not in the table but
     whose context is this one.
     """
-    counted = saved(
-        grams(labelled).groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-    ).withColumn("n", F.length("gram"))
-    kept = saved(counted.where(F.col("a") + F.col("r") >= MIN_COUNT))
+    counted = grams(labelled).groupBy("fold", "gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    kept = saved(counted.where(F.col("a") + F.col("r") >= MIN_COUNT).withColumn("n", F.length("gram")))
     # of each context: how often it is followed, and by how many different characters
-    context = kept.select(F.expr("substr(gram, 1, n - 1)").alias("context"), "a", "r")
+    context = kept.select("fold", F.expr("substr(gram, 1, n - 1)").alias("context"), "a", "r")
     sums = saved(
-        context.groupBy("context").agg(*(f for c in "ar" for f in (F.sum(c).alias(f"{c}_n"), F.sum((F.col(c) > 0).cast("int")).alias(f"{c}_kinds"))))
+        context.groupBy("fold", "context").agg(*(f for c in "ar" for f in (F.sum(c).alias(f"{c}_n"), F.sum((F.col(c) > 0).cast("int")).alias(f"{c}_kinds"))))
     )
     # probabilities, from single characters to the longest grams
-    shorter, known = None, None
+    steps = []
     for n in range(1, ORDER + 2):
-        own = kept.where(F.col("n") == n).join(sums, F.expr("substr(gram, 1, n - 1)") == F.col("context"))
-        if shorter is None:
+        own = kept.where(F.col("n") == n).withColumn("context", F.expr("substr(gram, 1, n - 1)")).join(sums, ["fold", "context"])
+        if not steps:
             own = own.withColumns({"low_a": F.lit(1.0 / ALPHABET), "low_r": F.lit(1.0 / ALPHABET)})
         else:
-            low = shorter.select(F.col("gram").alias("suffix"), F.col("p_a").alias("low_a"), F.col("p_r").alias("low_r"))
-            own = own.join(low, F.expr("substr(gram, 2)") == F.col("suffix"))
+            low = steps[-1].select("fold", F.col("gram").alias("suffix"), F.col("p_a").alias("low_a"), F.col("p_r").alias("low_r"))
+            own = own.withColumn("suffix", F.expr("substr(gram, 2)")).join(low, ["fold", "suffix"])
         p = {c: (F.col(c) + F.col(f"{c}_kinds") * F.col(f"low_{c}")) / F.nullif(F.col(f"{c}_n") + F.col(f"{c}_kinds"), F.lit(0)) for c in "ar"}
         own = own.withColumns({f"p_{c}": F.coalesce(v, F.col(f"low_{c}")) for c, v in p.items()})
         gain = F.log(F.col("p_a") / F.col("p_r")) - F.log(F.col("low_a") / F.col("low_r"))
-        shorter = saved(own.select("gram", "p_a", "p_r", F.round(gain * UNIT).cast("long").alias("known")))
-        step = shorter.select("gram", "known")
-        known = step if known is None else known.unionByName(step)
+        steps.append(saved(own.select("fold", "gram", "p_a", "p_r", F.round(gain * UNIT).cast("long").alias("known"))))
+    known = steps[0].select("fold", "gram", "known")
+    for step in steps[1:]:
+        known = known.unionByName(step.select("fold", "gram", "known"))
     weight = lambda c: F.coalesce(F.col(f"{c}_kinds") / F.nullif(F.col(f"{c}_n") + F.col(f"{c}_kinds"), F.lit(0)), F.lit(1.0))
     # a class that never saw the context passes all weight on; kinds is at least 1 where it did
-    lost = sums.select(F.col("context").alias("gram"), F.round(F.log(weight("a") / weight("r")) * UNIT).cast("long").alias("unknown"))
-    return known.join(lost, "gram", "full").select("gram", "known", F.coalesce("unknown", F.lit(0)).alias("unknown"))
+    lost = sums.select("fold", F.col("context").alias("gram"), F.round(F.log(weight("a") / weight("r")) * UNIT).cast("long").alias("unknown"))
+    model = saved(known.join(lost, ["fold", "gram"], "full").select("fold", "gram", "known", F.coalesce("unknown", F.lit(0)).alias("unknown")))
+    for df in (kept, sums, *steps):
+        dropped(df)
+    return model
 
 
 def scored(texts: DataFrame, model: DataFrame) -> DataFrame:
-    """(text, score) of distinct texts, in millionths a character, rounded down."""
-    own = grams(texts.select("text")).withColumn("context", F.expr("substr(gram, 1, length(gram) - 1)"))
-    known, unknown = model.where("known IS NOT NULL").select("gram", "known"), model.select(F.col("gram").alias("context"), "unknown")
+    """(text, score) of distinct (text, fold), in millionths a character, rounded down, by the model of that fold."""
+    own = grams(texts.select("text", "fold")).withColumn("context", F.expr("substr(gram, 1, length(gram) - 1)"))
+    known, unknown = model.where("known IS NOT NULL").select("fold", "gram", "known"), model.select("fold", F.col("gram").alias("context"), "unknown")
     if model.count() <= BROADCAST:
         known, unknown = F.broadcast(known), F.broadcast(unknown)
-    sums = own.join(known, "gram", "left").join(unknown, "context", "left").groupBy("text").agg(F.sum(F.coalesce("known", "unknown", F.lit(0))).alias("sum"))
+    found = own.join(known, ["fold", "gram"], "left").join(unknown, ["fold", "context"], "left")
+    sums = found.groupBy("text").agg(F.sum(F.coalesce("known", "unknown", F.lit(0))).alias("sum"))
     return sums.select("text", F.floor(F.col("sum") / F.length("text")).cast("long").alias("score"))
 
 
-def seen_part(host: Column, path: Column, rules=RULES) -> Column:
-    """What the rules do not look at: the host without as many last labels, and the path without as many first
-    segments, as the longest rule has."""
-    labels = max((len(h.split(".")) for _, h, _ in rules), default=0)
-    segments = max((p.strip("/").count("/") + 1 if p.strip("/") else 0 for _, _, p in rules), default=0)
-    host = F.regexp_replace(host, rf"(^|\.)[^.]*(\.[^.]*){{0,{labels - 1}}}$", "") if labels else host
-    return F.concat(host, F.regexp_replace(path, rf"^(/[^/]*){{0,{segments}}}", "") if segments else path)
-
-
 def calibrated(accepted: DataFrame) -> int | None:
-    """The limit below which URLs are rejected, from rows of (score, a): the highest thousandth that rejects at
-    most MAX_FALSE_REJECTS of the accepted ones. None without any, then nothing is rejected. Scores lie within a
+    """The limit below which URLs are rejected, from rows of (score): the highest thousandth that rejects at
+    most MAX_FALSE_REJECTS of them. None without any, then nothing is rejected. Scores lie within a
     few tens, so at most some ten thousand counts reach the driver."""
-    found = accepted.groupBy(F.floor(F.col("score") / (UNIT // 1000)).alias("at")).agg(F.sum("a").alias("n")).collect()
+    found = accepted.groupBy(F.floor(F.col("score") / (UNIT // 1000)).alias("at")).agg(F.count("*").alias("n")).collect()
     counts = sorted((r["at"], r["n"]) for r in found)
     room = MAX_FALSE_REJECTS * sum(n for _, n in counts)
     for at, n in counts:
@@ -154,25 +150,33 @@ def calibrated(accepted: DataFrame) -> int | None:
     return None
 
 
+def has_word(host: Column, words: list[str]) -> Column:
+    """Whether a part of the host between dots and hyphens is one of the words."""
+    return host.rlike(rf"(^|[.-])({'|'.join(words)})([.-]|$)") if words else F.lit(False)
+
+
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, unwanted=UNWANTED) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
     A null URL and one without `://` have empty host and path, fit no rule and are allowed, for they hold
-    nothing to judge, as is a URL of which the models see nothing. Equal URLs count once for the models, however
-    many rows they have. Null ids are kept. An empty table gives an empty result. Other columns are ignored.
+    nothing to judge. Equal URLs count once for the models, however many rows they have, and get equal verdicts; a
+    URL may have any length. Null ids are kept. An empty table gives an empty result. Other columns are ignored,
+    whatever their names.
     """
-    host, path = parts(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    spark = pages.sparkSession
+    host, path, whole = parts(F.col(url_col))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), whole.alias("text"))
     rule, action = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "action": action, "text": seen_part(F.col("host"), F.col("path"), rules)})
-    bad = F.col("host").rlike(rf"(^|[.-])({'|'.join(unwanted)})([.-]|$)") if unwanted else F.lit(False)
-    rejected = bad | F.coalesce(F.col("action") == "block", F.lit(False))
-    urls = rows.groupBy("host", "path", "text").agg(F.first("action").alias("action")).select(
-        "text", rejected.cast("long").alias("r"), (~rejected & F.col("action").isNotNull()).cast("long").alias("a")
-    )
-    texts = saved(urls.where("text <> ''").groupBy("text").agg(F.sum("a").alias("a"), F.sum("r").alias("r")).withColumn("fold", F.pmod(F.crc32("text"), F.lit(FOLDS))))
-    model = saved(fit(texts.where("fold <> 0 AND a + r > 0")))
-    scores = saved(scored(texts, model).join(texts, "text"))
-    limit = calibrated(scores.where("fold = 0 AND a > 0"))
+    rows = rows.withColumns({"rule": rule, "action": action})
+    rejected = has_word(F.col("host"), unwanted) | F.coalesce(F.col("action") == "block", F.lit(False))
+    urls = rows.where("text <> ''").groupBy("text").agg(F.first("host").alias("host"), F.first("action").alias("action"))
+    texts = urls.select("text", F.pmod(F.crc32("host"), F.lit(2)).cast("int").alias("fold"), rejected.cast("long").alias("r"))
+    texts = saved(texts.withColumn("a", 1 - F.col("r")).repartition(partitions(spark)))  # a small file is one task else
+    other = texts.select((1 - F.col("fold")).alias("fold"), "text", "a", "r")
+    if unwanted:
+        words = spark.range(2).select(F.col("id").cast("int").alias("fold"), F.explode(F.array(*map(F.lit, unwanted))).alias("text"))
+        other = other.unionByName(words.withColumns({"a": F.lit(0).cast("long"), "r": F.lit(WORD_COUNT).cast("long")}))
+    scores = saved(scored(texts, fit(other)).join(texts, "text"))
+    limit = calibrated(scores.where("a > 0"))
     low = scores.where(F.col("score") < limit if limit is not None else F.lit(False)).select("text", F.lit("block").alias("low"))
     return rows.join(low, "text", "left").select("page_id", "host", "path", "rule", F.coalesce("action", "low", F.lit("allow")).alias("verdict"))

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from blockloom.llm import components, packing, quality, sharding, simhash, urlfilter
@@ -184,24 +185,74 @@ def test_urls(spark):
     assert {r.verdict for r in urlfilter.judged(pages.where("page_id >= 2000")).collect()} == {"allow", "block"}
 
 
+def test_url_verdicts_against_recursion(spark):
+    """Models by fold, scores and limit over whole URLs, by the definition."""
+    rows = url_rows()[:250] + [(2002, "no scheme.net/en/"), (2003, "http://"), (None, "http://cheap.org/a?q=1#x"), (3, None)]
+    whole, action, rejected = {}, {}, {}
+    for _, u in rows:
+        host, path = brute_parts(u)
+        if u and "://" in u and (text := host + u.split("://", 1)[1][len(host) :]):
+            whole[u], action[text] = text, brute_rule(host, path)[1]
+            rejected[text] = action[text] == "block" or bool(set(re.split("[.-]", host)) & set(urlfilter.UNWANTED))
+    fold = {t: zlib.crc32(re.match("[^/?#]*", t)[0].encode()) % 2 for t in rejected}
+    words = [(w, 0, urlfilter.WORD_COUNT) for w in urlfilter.UNWANTED]
+    models = [brute_model([(t, int(not bad), int(bad)) for t, bad in rejected.items() if fold[t] != f] + words) for f in (0, 1)]
+    score = {t: np.floor(1e6 * brute_score(t, models[fold[t]])) for t in rejected}
+    accepted = sorted(np.floor(score[t] / 1000) for t, bad in rejected.items() if not bad)
+    limit = 1000 * accepted[int(urlfilter.MAX_FALSE_REJECTS * len(accepted))]
+    got = urlfilter.judged(spark.createDataFrame(rows, "page_id long, url string").withColumn("u", F.col("url"))).count()
+    assert got == len(rows)
+    found = {r.host + "|" + r.path: r.verdict for r in urlfilter.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    seen = set()
+    for u, t in whole.items():
+        if abs(score[t] - limit) > 100:  # not decided by rounding
+            want = action[t] or ("block" if score[t] < limit else "allow")
+            seen.add((action[t], want))
+            assert found["|".join(brute_parts(u))] == want or "?" in t or "#" in t, u
+    assert {(None, "allow"), (None, "block"), ("block", "block"), ("allow", "allow")} <= seen
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_urls_fare_alike_under_all_domains(spark, sf):
+    """No rule decides, no unwanted word: nearly all pass, under each top-level domain; with such a word, nearly none."""
+    pages = spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet")
+    word = re.compile(rf"(^|[.-])({'|'.join(urlfilter.UNWANTED)})([.-]|$)")
+    shares, bad = {}, []
+    for r in urlfilter.judged(pages).where("rule IS NULL").collect():
+        blocked = r.verdict == "block"
+        bad.append(blocked) if word.search(r.host) else shares.setdefault(r.host.rpartition(".")[2], []).append(blocked)
+    assert len(shares) == 2
+    assert max(map(np.mean, shares.values())) - min(map(np.mean, shares.values())) < 0.05
+    assert max(map(np.mean, shares.values())) < 0.05 and np.mean(bad) > 0.95
+
+
+def test_url_of_a_partly_blocked_host_is_not_judged_by_its_host(spark):
+    hosts = [f"h{i}x{i * i}.example.com" for i in range(60)]
+    rows = [(i * 10 + k, f"http://{h}/{'de' if k < 8 else 'en'}/{i * 7 + k}") for i, h in enumerate(hosts) for k in range(10)]
+    got = urlfilter.judged(spark.createDataFrame(rows, "page_id long, url string")).where("rule IS NULL").collect()
+    assert len(got) == 120 and sum(r.verdict == "block" for r in got) <= 4
+
+
 def test_url_scores_against_recursion(spark):
     texts = [("ab/1", 3, 0), ("abc", 2, 1), ("bca", 0, 4), ("zz", 0, 2), ("abab/2", 1, 1)]
     model = brute_model(texts)
-    table = urlfilter.fit(spark.createDataFrame(texts, "text string, a long, r long"))
+    other = [("q/1", 2, 0), ("q/2", 0, 3)]
+    table = urlfilter.fit(spark.createDataFrame([(0, *t) for t in texts] + [(1, *t) for t in other], "fold int, text string, a long, r long"))
     asked = [t for t, _, _ in texts] + ["abzz", "q", "bcabca/12"]
-    got = {r.text: r.score for r in urlfilter.scored(spark.createDataFrame([(t,) for t in asked], "text string"), table).collect()}
+    got = {r.text: r.score for r in urlfilter.scored(spark.createDataFrame([(t, 0) for t in asked] + [("q/1q", 1)], "text string, fold int"), table).collect()}
     for t in asked:
         assert got[t] == pytest.approx(1e6 * brute_score(t, model), abs=20), t
+    assert got["q/1q"] == pytest.approx(1e6 * brute_score("q/1q", brute_model(other)), abs=20)
 
 
 @pytest.mark.parametrize("broadcast", [0, 200_000])
 def test_rare_grams_of_many_labelled_urls_stay(spark, monkeypatch, broadcast):
     monkeypatch.setattr(urlfilter, "BROADCAST", broadcast)
     texts = [("casino-win/4", 0, 2), ("garden/4", 3, 0), ("zz/9", 100_000, 60_000)]
-    model = urlfilter.fit(spark.createDataFrame(texts, "text string, a long, r long"))
+    model = urlfilter.fit(spark.createDataFrame([(0, *t) for t in texts], "fold int, text string, a long, r long"))
     assert {r.gram for r in model.where("known IS NOT NULL").collect()} == set(brute_model(texts)[0])
     asked = [*(t for t, *_ in texts), "casino/77"]
-    got = {r.text: r.score for r in urlfilter.scored(spark.createDataFrame([(t,) for t in asked], "text string"), model).collect()}
+    got = {r.text: r.score for r in urlfilter.scored(spark.createDataFrame([(t, 0) for t in asked], "text string, fold int"), model).collect()}
     for t in asked:
         assert got[t] == pytest.approx(1e6 * brute_score(t, brute_model(texts)), abs=20), t
 
