@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -120,6 +121,8 @@ def test_keys_in_any_hex_and_over_lines(width, line):
                     assert secrets.redacted(text, secrets.spans(text)).startswith(f"{before}[secret]")
             broken = bytearray(key)
             broken[18 if key is ssh else 1] ^= 1  # a length
+            if key is pkcs8:  # and one of the key that it holds
+                broken[key.index(rsa) + 3] ^= 1
             wrapped = line.join(re.findall(f".{{1,{width}}}", form(bytes(broken))))
             assert not [s for s in secrets.spans(wrapped) if s[0] == "key"]
         both = line.join(re.findall(f".{{1,{width}}}", b64(key))) + "\n\n" + key.hex().upper()
@@ -128,6 +131,52 @@ def test_keys_in_any_hex_and_over_lines(width, line):
         assert not [s for s in secrets.spans(line.join(re.findall(f".{{1,{width}}}", form(public)))) if s[0] == "key"]
 
 
+def string(b):
+    return len(b).to_bytes(4, "big") + b
+
+
+def test_keys_need_more_than_words():
+    """Only what decodes is reported; caps on labels, numbers of keys or depth there are none."""
+    rsa, pkcs8, sec1, public, ssh = keys()
+    b64 = lambda b: base64.b64encode(b).decode()
+    found = lambda t: [s for s in secrets.spans(t) if s[0] == "key"]
+    pem = lambda body, label="RSA ": f"-----BEGIN {label}PRIVATE KEY-----\n{body}\n-----END {label}PRIVATE KEY-----"
+    assert not found(pem("the word ENCRYPTED, no key at all"))
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    cipher = b64(random.Random(1).randbytes(16 * 40))
+    lines = "\n".join(re.findall(".{1,64}", cipher))
+    assert found(pem(headers + lines)) == [("key", 0, len(pem(headers + lines)))]
+    for bad in (headers + "no key at all", headers + b64(b"x" * 33), headers.replace("0011", "zz11") + lines, headers.replace("DEK", "KED") + lines, lines):
+        assert not found(pem(bad))
+    long = "A" * 60 + " "
+    assert found(pem(b64(rsa), long)) == [("key", 0, len(pem(b64(rsa), long)))]
+    # behind a path, before more digits, with escaped line breaks
+    for good in (rsa, pkcs8, sec1, ssh):
+        d = b64(good).rstrip("=")
+        for before in ("path/to/", "a+b_", "/x"):
+            for after in ("", " end", "/more/Digits00"):
+                assert found(before + d + after) == [("key", len(before), len(before) + len(d))]
+        escaped = "\\n".join(re.findall(".{1,64}", d))
+        assert found(f'{{"k": "{escaped}\\n"}}') == [("key", 7, 7 + len(escaped))]
+        assert found(f"abc{good.hex()}00")[0] == ("key", 3, 3 + 2 * len(good))
+    many = secrets.OPENSSH + string(b"none") * 2 + string(b"") + (40).to_bytes(4, "big") + 40 * string(b"k" * 51) + string(b"p" * 144)
+    assert found(b64(many)) == [("key", 0, len(b64(many)))]
+    deep = der(5)
+    for _ in range(200):
+        deep = der(0x30, deep)
+    attributed = der(0x30, der(2, b"\0"), der(0x30, der(6, bytes.fromhex("2a864886f70d010101")), der(5)), der(4, b"k" * 40), der(0xA0, deep))
+    assert found(b64(attributed)) == [("key", 0, len(b64(attributed)))]
+    scheme = lambda oid: der(0x30, der(0x30, der(6, bytes.fromhex(oid)), der(5)), der(4, b"c" * 48))
+    assert found(b64(scheme("2a864886f70d01050d"))) and not found(b64(scheme("608648016503040201")))  # a scheme, a digest
+
+
+def test_false_starts_are_cheap():
+    began = time.process_time()
+    for unit in ("MIIB", "MIIEAgEA", "30820200", "M", "b3BlbnNzaC1rZXktdjEA", "-----BEGIN PRIVATE KEY-----", "eyJ", "MIIB\n"):
+        assert not [s for s in secrets.spans(unit * (400_000 // len(unit))) if s[0] != "hex"]
+    assert time.process_time() - began < 30
+
+
 def brute_base(text):
     kinds = {
         "assign": r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
