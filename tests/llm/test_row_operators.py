@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -277,8 +278,6 @@ def test_long_texts_give_the_same_triggers(monkeypatch):
 
 
 def test_language_profiles(spark, edge_docs, no_docs, monkeypatch):
-    from collections import Counter
-
     text = "Los niños   comen, 2 los!\n"
     want = Counter()
     for word in ("los", "niños", "comen", "los"):
@@ -288,7 +287,9 @@ def test_language_profiles(spark, edge_docs, no_docs, monkeypatch):
     doc, gram, n = langid.gram_counts(["", text, "x"])
     assert {name(g): k for d, g, k in zip(doc.tolist(), gram.tolist(), n.tolist(), strict=True) if d == 1} == dict(want)
     whole = langid.gram_counts([text * 50, "a b"])
-    monkeypatch.setattr(langid, "PIECE", 100)
+    for piece in (100, 7, 3):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(whole, langid.gram_counts([text * 50, "a b"]), strict=True))
     assert all((a == b).all() for a, b in zip(whole, langid.gram_counts([text * 50, "a b"]), strict=True))
     got = {(r.doc_id, r.lang_pred) for r in langid.predicted(edge_docs).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (9, "und"), (None, "und")} <= got
@@ -297,6 +298,63 @@ def test_language_profiles(spark, edge_docs, no_docs, monkeypatch):
     assert {r.lang_pred for r in langid.predicted(edge_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def brute_grams(text):
+    low = f" {(text or '').lower()} "
+    low = "".join(c if c.isalpha() else " " for c in low)
+    return Counter(w[i : i + n] for w in (f" {x} " for x in low.split()) for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n].strip())
+
+
+def brute_predictions(rows):
+    """(doc_id, held_out, lang_pred, score) by the definition, a row at a time."""
+    order = lambda grams: {g: i for i, (g, _) in enumerate(sorted(grams.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE])}
+    held = [d is not None and zlib.crc32(str(d).encode()) % 3 == 1 for d, *_ in rows]
+    counts = {}
+    for (_, text, lang, *_), out in zip(rows, held, strict=True):
+        if not out and text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(brute_grams(text))
+    profiles = {lang: order(c) for lang, c in counts.items()}
+    found = []
+    for (doc, text, *_), out in zip(rows, held, strict=True):
+        own = order(brute_grams(text))
+        far = {lang: sum(abs(p[g] - i) if g in p else langid.PROFILE for g, i in own.items()) for lang, p in profiles.items()}
+        if not own or not far:
+            found.append((doc, out, "und", 0.0))
+        else:
+            best = min(far, key=lambda x: (far[x], x))
+            found.append((doc, out, best, 1 - far[best] / (len(own) * langid.PROFILE)))
+    return found
+
+
+@pytest.mark.parametrize("languages", [langid.LANGUAGES, 2])
+def test_languages_against_brute_force(spark, edge_rows, edge_docs, monkeypatch, languages):
+    learn = langid.learn
+    monkeypatch.setattr(langid, "learn", lambda rows: learn(rows, languages=languages))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    for rows, df in ((list(map(tuple, docs.collect())), docs), (edge_rows, edge_docs)):
+        got = sorted(map(tuple, langid.predicted(df).collect()), key=repr)
+        want = sorted(brute_predictions(rows), key=repr)
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert [r[3] for r in got] == pytest.approx([r[3] for r in want])
+
+
+def test_equal_languages_and_many_letters(spark):
+    rows = [(i, "one two three", lang) for i, lang in enumerate(("yy", "xx", "zz") * 4)]
+    kinds = "".join(chr(c) for c in range(0x110000) if chr(c).isalpha() and chr(c).lower() == chr(c))[:70_000]
+    rows += [(100, kinds, "cc"), (101, kinds[::-1] + " x", None), (102, kinds[:9] + "1" + kinds[-9:], "dd")]
+    assert len(set(kinds)) == 70_000
+    got = sorted(map(tuple, langid.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()))
+    want = sorted(brute_predictions(rows))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and {r[2] for r in got} >= {"xx", "cc"}
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want])
+
+
+def test_counts_beyond_a_million_keep_their_order():
+    text = "a " * 1_100_000 + "b " * 1_200_000 + "c "
+    doc, gram, n = langid.gram_counts(["x", text])
+    row, rank = langid.top(doc, n, 3)
+    assert [(int(gram[r]) >> 42, int(n[r])) for r, k in zip(row, rank, strict=True) if doc[r] == 1] == [(32, 1_200_000), (32, 1_200_000), (98, 1_200_000)]
+
+
 def test_language_accuracy_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.predicted(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
