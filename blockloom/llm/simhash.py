@@ -6,9 +6,9 @@ its own value, and looks up the Hamming ball of radius one: the values with one
 half of the ball is covered by the partner's look-up). Rows that meet under a key are verified over all 64 bits.
 
 Only distinct fingerprints take part. Under a key, at most a spanning forest of the links is reported, so a
-group of thousands of near copies gives as many links, not their square. A key that many fingerprints share is
-dealt out once more by the 16-bit quarters of the other segment, again with balls of radius one; what then
-still meets has 48 bits in common but for two.
+group of thousands of near copies gives as many links, not their square. A key under which many fingerprints meet,
+be it their own value or one of their ball, is dealt out once more by the 16-bit quarters of the other segment, again
+with balls of radius one; what then still meets has 48 bits in common but for two.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from .components import components
 
 BITS = 3
 SEED = 42
-#: Fingerprints under one key from which the key is dealt out once more.
+SEGMENT = 32
+#: Rows under one key from which the key is dealt out once more.
 HOT_KEY = 4_096
 #: Broadcast the hot keys up to this number (16 MB), join by shuffle beyond.
 HOT_BROADCAST = 1_000_000
@@ -84,7 +85,7 @@ def _keys(batches):
         for segment in (0, 1):
             for at in range(0, len(fp), 50_000):
                 own = fp[at : at + 50_000]
-                row, value = ball(own >> 32 * segment & 0xFFFFFFFF, 32)
+                row, value = ball(own >> 32 * segment & 0xFFFFFFFF, SEGMENT)
                 yield pa.RecordBatch.from_arrays([pa.array(value | segment << 32), pa.array(own[row]), pa.nulls(len(row), pa.int64())], names=["key", "fp", "sub"])
 
 
@@ -98,6 +99,14 @@ def _subkeys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(fps[row]), pa.array(value | quarter << 16)], names=["key", "fp", "sub"])
 
 
+def _ball_keys(batches):
+    """Each key, and those that a fingerprint with that value in the key's segment enters besides."""
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        row, value = ball(keys & 0xFFFFFFFF, SEGMENT)
+        yield pa.RecordBatch.from_arrays([pa.array(value | (keys[row] >> 32 << 32))], names=["key"])
+
+
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= BITS
 
@@ -162,17 +171,31 @@ def _verified(batches):
         yield linked(np.concatenate(keys), np.concatenate(fps))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(u, v) with u > v: links that connect all distinct fingerprints `fp` that are to be connected."""
-    spark = distinct.sparkSession
+def held(df: DataFrame) -> DataFrame:
+    """A saved table of keys, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= HOT_BROADCAST else df
+
+
+def dealt(distinct: DataFrame) -> DataFrame:
+    """(key, fp, sub): all fingerprints under all their keys, those of hot keys by the other segment, too."""
     rows = distinct.select("fp").mapInArrow(_keys, "key long, fp long, sub long")
     own = distinct.select(F.explode(F.array(F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32).bitwiseOR(1 << 32))).alias("key"))
-    hot = saved(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("key"))
-    n_hot = hot.count()
-    if n_hot:
-        hot = F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot
-        rows = rows.join(hot, "key", "left_anti").unionByName(rows.join(hot, "key", "left_semi").select("key", "fp", "sub").mapInArrow(_subkeys, "key long, fp long, sub long"))
-    met = rows.repartition(partitions(spark), "key", "sub").sortWithinPartitions("key", "sub")
+    # of the values that enter a hot key, itself and those one bit short of it, one at least has its share
+    heavy = saved(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY // (SEGMENT + 1)).select("key"))
+    if not heavy.count():
+        return rows
+    near_heavy = saved(heavy.mapInArrow(_ball_keys, "key long").distinct())
+    counts = rows.select("key").join(held(near_heavy), "key").groupBy("key").agg(F.count("*").alias("n"))
+    hot = saved(counts.where(F.col("n") > HOT_KEY).select("key"))
+    if not hot.count():
+        return rows
+    split = rows.join(held(hot), "key", "left_semi").select("key", "fp", "sub").mapInArrow(_subkeys, "key long, fp long, sub long")
+    return rows.join(held(hot), "key", "left_anti").unionByName(split)
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """(u, v) with u > v: links that connect all distinct fingerprints `fp` that are to be connected."""
+    met = dealt(distinct).repartition(partitions(distinct.sparkSession), "key", "sub").sortWithinPartitions("key", "sub")
     return met.mapInArrow(_verified, "u long, v long")
 
 
@@ -196,8 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that is reachable by links.
 
     Null texts and texts without a word have fingerprint zero, which links like any other. Null ids get a
-    component_id, the smallest id that isn't null, or null if there is none. Repeated rows stay. An empty table
-    gives an empty result. Other columns are ignored.
+    component_id, the smallest id that isn't null, or null if there is none. Repeated rows stay. Texts of any length
+    are read whole. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     fps = saved(fingerprints(docs, [F.col(id_col).cast("long").alias("doc_id")], text_col))
     found = least_of_groups(fps, F.col("doc_id"), "component_id")

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -13,7 +14,7 @@ from blockloom.llm import jaccard, langid, secrets
 from blockloom.llm.simhash import shingle_hashes
 
 from .conftest import PROSE, docs_of
-from .test_table_operators import brute_components, brute_verdicts, checked_packing, quality_rows
+from .test_table_operators import brute_verdicts, checked_packing, quality_rows
 
 REPO = Path(__file__).parent.parent.parent
 
@@ -44,8 +45,7 @@ def test_stages_against_brute_force(spark, rows):
     assert kept.columns == docs.columns and rows_of(kept) == key(want)
     assert {r[0] for r in rows} - {r[0] for r in want} >= {None, 401, 402, 403}
     kept = stages[2](spark, docs, "")
-    found = brute_components(rows, min)
-    want = [r for r, (doc, _, root) in zip(rows, found, strict=True) if doc == root]  # a null id is kept where its group has no other
+    want = [rows[i] for i in brute_kept(rows)]
     assert kept.columns == docs.columns and rows_of(kept) == key(want) and len(want) < len(rows)
     clean = stages[3](spark, docs, "")
     want = [(d, t and secrets.redacted(t, secrets.spans(t)), *rest) for d, t, *rest in rows]
@@ -73,42 +73,80 @@ def test_dedup_keeps_one_of_repeated_ids(spark):
     kept = corpus_pipeline.dedup_stage(spark, docs_of(spark, rows), "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (1, b), (0, "12 twelve")])
 
+
 def brute_sets(text):
     words = (text or "").lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_dedup_against_brute_force_jaccard(spark):
-    """Edited copies on both sides of 0.8, chains, and a group whose members mostly link through others."""
-    rng, rows = random.Random(3), []
-    for group in range(12):
+def brute_roots(sets):
+    """For each set the first one that links of 0.8 or more lead to."""
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and (5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def brute_kept(rows):
+    """Places of the rows that stay: of each group the smallest id, null last, then the smallest hash of the text."""
+    root = brute_roots([brute_sets(t) for _, t, *_ in rows])
+    best = {}
+    for i, g in enumerate(root):
+        rank = (rows[i][0] is None, rows[i][0] or 0, rows[i][1] or "")
+        if g not in best or rank < best[g][0]:
+            best[g] = (rank, i)
+    return sorted(i for _, i in best.values())
+
+
+def edited_rows(rng, groups, copies, most):
+    rows = []
+    for group in range(groups):
         base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(40, 160))]
-        for _ in range(8):
+        for _ in range(copies):
             words = list(base)
-            for at in rng.sample(range(len(words)), rng.randrange(0, 1 + len(words) // 20)):
+            for at in rng.sample(range(len(words)), rng.randrange(0, 1 + len(words) // most)):
                 words[at] = f"x{rng.randrange(10**6)}"
             rows.append((len(rows), " ".join(words), "en", "s"))
             if group % 3 == 0:
                 base = words
+    return rows
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 5])
+def test_dedup_against_brute_force_jaccard(spark, monkeypatch, block):
+    """Edited copies on both sides of 0.8, chains, and groups whose members mostly link through others or don't."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(3)
+    rows = edited_rows(rng, 12, 8, 20)
+    rows += [(r[0] + 500, *r[1:]) for r in edited_rows(rng, 2, 60, 12)]
     rows += [(1000, "one two three", "en", "s"), (1001, "One two  three", "en", "s"), (1002, "one two four", "en", "s")]
-    sets, root = [brute_sets(t) for _, t, *_ in rows], list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-                a, b = sorted((root[i], root[j]))
-                root = [a if r == b else r for r in root]
     kept = corpus_pipeline.dedup_stage(spark, docs_of(spark, rows), "")
-    want = {rows[i][0] for i, r in enumerate(root) if i == r}
+    want = {rows[i][0] for i in brute_kept(rows)}
     assert {r.doc_id for r in kept.collect()} == want and 20 < len(want) < len(rows) - 20
 
 
+def test_links_are_given_out_once_for_a_group(spark):
+    """Hundreds of texts that are alike under all keys: as many links as join them, not all pairs."""
+    rows = edited_rows(random.Random(5), 1, 300, 10)
+    docs = docs_of(spark, rows)
+    key = {"number": F.col("doc_id")}
+    fps = jaccard.fingerprints(docs, [c.alias(k) for k, c in key.items()])
+    links = {tuple(r) for r in jaccard.links(docs, fps, key).collect()}
+    assert len(links) < 3 * len(rows)
+    groups = len(set(brute_roots([brute_sets(t) for _, t, *_ in rows])))
+    assert corpus_pipeline.dedup_stage(spark, docs, "").count() == groups < len(rows)
+
+
 def test_pairs_apart_survive_the_signature():
     one = shingle_hashes(" ".join(f"a{i}" for i in range(204)).encode(), 5)
     for swapped, hit in ((22, True), (23, False)):  # 178 of 222, 177 of 223
         other = np.unique(np.concatenate([one[swapped:], np.arange(swapped, dtype=np.uint64)]))
         assert jaccard.linked(np.unique(one), other) is hit
     signatures = np.stack([(jaccard.minima(x) >> np.uint64(32)).astype(np.uint8) for x in (one, other)])
-    assert [list(map(int, x)) for i, j in jaccard.alike(np.array([1, 2]), signatures) for x in zip(i, j)] == [[1, 0]]
+    assert [list(map(int, x)) for x in zip(*jaccard.alike(np.ones((2, 2), bool), signatures), strict=True)] == [[1, 0]]
 
 
 def test_stages_on_an_empty_table_and_edges(spark, no_docs, edge_docs):

@@ -331,6 +331,21 @@ def test_links_lose_nothing(spark, monkeypatch, hot):
     assert simhash.links(rows).count() < 20 * len(fps)
 
 
+def test_hot_keys_are_dealt_out_with_their_balls(spark, monkeypatch):
+    """One value in the lower half of all fingerprints: the keys of its ball are as hot as its own."""
+    monkeypatch.setattr(simhash, "HOT_KEY", 300)
+    r = random.Random(14)
+    fps = {r.getrandbits(32) << 32 | 0xF0F0 for _ in range(2500)}
+    fps |= {f ^ 1 << 32 + r.randrange(32) for f in list(fps)[:600]} | {f ^ 0x10 for f in list(fps)[600:700]}
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    rows = spark.createDataFrame(signed, "fp long")
+    assert simhash.dealt(rows).groupBy("key", "sub").count().where("count > 300").count() == 0
+    found = {r.fp & (1 << 64) - 1: r.root for r in simhash.groups(rows).collect()}
+    ordered = sorted(fps)
+    group = dict(zip(ordered, brute_groups(ordered), strict=True))
+    assert {frozenset(f for f in fps if found[f] == x) for x in set(found.values())} == {frozenset(f for f in fps if group[f] == x) for x in set(group.values())}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(100)] + [(5000, 5000), (3000, 2999)]
     random.Random(5).shuffle(links)
