@@ -18,13 +18,21 @@ LEAST_LIKENESS = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the quality rules keep. The measures are written beside the rows, so texts are measured once."""
+    """Keeps what the quality rules keep. The measures are written beside the rows, so texts are measured once.
+
+    Null and empty texts fail the base rules and go. A null or unknown language only keeps a row out of the
+    references. Equal rows fare alike and all stay or go. An empty table stays empty. Columns may have any names.
+    """
     rows = docs.select(F.struct("*").alias("row"), "text", "lang")
     return quality.judged(rows, keep=["row"]).where("_kept").select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those unlike any language; all without a letter if no row has a language."""
+    """Drops documents without a letter and those unlike any language; all without a letter if no row has a language.
+
+    A null text has no letter. `lang` and `source` may be null; a null id counts as not held out. Equal rows fare
+    alike. An empty table stays empty. The prediction's columns take names that docs doesn't have.
+    """
     learned = langid.learn(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
     if not learned.parts:
         return docs.where(F.col("text").rlike("\\p{L}"))
@@ -36,7 +44,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one with the smallest id (a null id comes last),
     of several rows with that id the one with the smallest hash of its text, of equal ones any one. Documents link
-    where their sets of five-word shingles have a Jaccard index of 0.8 or more."""
+    where their sets of five-word shingles have a Jaccard index of 0.8 or more: the SimHash operator with that rule
+    in place of a number of bits (see `jaccard`).
+
+    Null texts and those without a word are one group; a shorter text than a shingle is one shingle. An empty table
+    stays empty. Columns may have any names.
+    """
     none, number, mark, again = (free(docs, c) for c in ("none", "number", "mark", "again"))
     key = {none: F.col("doc_id").isNull(), number: F.coalesce("doc_id", F.lit(0)).cast("long"), mark: F.xxhash64("text")}
     fps = saved(jaccard.fingerprints(docs, [c.alias(k) for k, c in key.items()]))
@@ -48,13 +61,21 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by a mark; n_chars becomes the new length."""
+    """Replaces secrets by a mark; n_chars becomes the new length.
+
+    Null texts stay null, with n_chars null; empty ones stay empty. Each row is handled by itself, so equal rows stay
+    equal. An empty table stays empty. Columns may have any names.
+    """
     redacted = secrets.redacted_texts(docs)
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 4096 tokens."""
+    """Packs what is left into sequences of at most 4096 tokens; columns as those of op8.
+
+    A null text is empty, an empty one a document of the end mark alone; null ids stay null. Equal rows are packed each
+    on its own. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    """
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
