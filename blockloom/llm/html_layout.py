@@ -3,12 +3,18 @@
 A tree builder reads tags, closes what the next tag implies to be closed and opens table rows that are implied.
 A renderer walks the tree: it leaves out what is not visible and emits all other text with its layout: lines
 for blocks, blank lines around paragraphs and the like, markers and indents for lists, columns for tables.
-Neither recurses, so depth is limited by memory alone.
+
+The work grows with the length of a page, whatever its tags: neither part recurses or searches the open elements,
+cells that span rows are kept as runs of columns, and what would make the layout larger than the text without end
+(indents of deep lists, columns within columns, padding of a long table with one very wide cell) is bounded. No
+text is left out for that.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left, bisect_right, insort
 from html import unescape
 
 import pyarrow as pa
@@ -23,13 +29,24 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLANK = re.compile(r"[ \t\n\r\f]+")
-STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
 
 # Elements by what HTML says of them (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNESCAPED = frozenset("textarea title".split())
-INVISIBLE = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist".split())
+INVISIBLE = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist".split())
+#: What svg and math hold besides what they show.
+INVISIBLE |= frozenset("defs desc metadata symbol clippath annotation annotation-xml".split())
+FOREIGN = frozenset("svg math".split())
+#: Values of the properties that decide on visibility; a declaration with another one doesn't count.
+STYLES = {
+    "display": frozenset(
+        "none block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-row-group table-header-group "
+        "table-footer-group table-column table-column-group table-caption list-item contents flow-root run-in ruby inherit initial unset revert".split()
+    ),
+    "visibility": frozenset("visible hidden collapse inherit initial unset revert".split()),
+}
 #: Blocks that close an open paragraph.
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
@@ -44,6 +61,9 @@ LISTS = frozenset("ul ol menu dir".split())
 BARRIERS = frozenset("table td th caption button object template html".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
 CELLS = frozenset("td th".split())
+#: What an end tag closes within its own table only.
+PARTS = CELLS | SECTIONS | {"tr", "caption"}
+HEAD, PARAGRAPH, ROW, TABLE, NONE = (frozenset(x.split()) for x in ("head", "p", "tr", "table", ""))
 #: What the start of a tag closes, and where the search for it stops.
 IMPLIED = {
     "li": (frozenset(["li"]), LISTS | BARRIERS),
@@ -63,9 +83,14 @@ IMPLIED = {
 IN_HEAD = frozenset("base link meta title style script noscript template html head".split())
 
 INDENT = "  "
-#: Columns are aligned up to this width; wider cells keep their whole text and push the next ones aside.
-CELL_WIDTH = 80
-MAX_SPAN = 1000
+#: Lists and quotes indent up to this column; deeper ones stay there.
+MAX_INDENT = 120
+#: Tables within tables have columns up to this depth; deeper ones have a line for each row.
+MAX_TABLES = 8
+#: A table is as wide as its widest cells, unless the padding would be this many times its text (and a few pages of
+#: it): then wide cells push the next ones aside.
+MAX_PADDING, FREE_PADDING = 32, 100_000
+MAX_COLUMNS, MAX_ROWS = 1000, 65534
 
 
 class Node:
@@ -90,62 +115,49 @@ class Builder:
     def __init__(self) -> None:
         self.root = Node("")
         self.stack = [self.root]
-        self.open: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
 
     def push(self, tag: str, attributes: str = "") -> None:
-        node = Node(tag, attributes)
-        self.stack[-1].children.append(node)
+        node, stack = Node(tag, attributes), self.stack
+        stack[-1].children.append(node)
         if tag not in VOID:
-            self.stack.append(node)
-            self.open[tag] = self.open.get(tag, 0) + 1
+            self.places.setdefault(tag, []).append(len(stack))
+            stack.append(node)
 
     def pop(self) -> None:
-        self.open[self.stack.pop().tag] -= 1
+        self.places[self.stack.pop().tag].pop()
+
+    def last(self, tags: frozenset[str]) -> int:
+        """Place of the innermost open element of `tags`, 0 if there is none."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
 
     def close(self, tags: frozenset[str], barriers: frozenset[str]) -> None:
-        """Closes the nearest open element of `tags` and all in it, unless one of `barriers` comes first."""
-        if not any(self.open.get(t) for t in tags):
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag in tags:
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if tag in barriers:
-                return
+        """Closes the innermost open element of `tags` and all in it, unless one of `barriers` lies further in."""
+        at = self.last(tags)
+        if at and at >= self.last(barriers):
+            while len(self.stack) > at:
+                self.pop()
 
     def start(self, tag: str, attributes: str) -> None:
-        if self.open.get("head") and tag not in IN_HEAD:
-            self.close(frozenset(["head"]), frozenset())
-        if tag in CLOSES_P:
-            self.close(frozenset(["p"]), BARRIERS)
+        if self.places.get("head") and tag not in IN_HEAD:
+            self.close(HEAD, NONE)
+        if tag in CLOSES_P and self.places.get("p"):
+            self.close(PARAGRAPH, BARRIERS)
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
             self.pop()
         if tag in IMPLIED:
             self.close(*IMPLIED[tag])
-        if tag in CELLS and self.open.get("table") and not self.within("tr"):
+        if tag in CELLS and self.last(ROW) < self.last(TABLE):
             self.push("tr")
         self.push(tag, attributes)
-
-    def within(self, tag: str) -> bool:
-        """Whether `tag` is open in the innermost table."""
-        if not self.open.get(tag):
-            return False
-        for node in reversed(self.stack):
-            if node.tag == tag:
-                return True
-            if node.tag == "table":
-                return False
-        return False
+        if tag not in VOID and attributes.endswith("/") and self.last(FOREIGN):
+            self.pop()
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.push("br")
-        elif tag == "table":
-            self.close(frozenset([tag]), frozenset())
-        else:
-            self.close(frozenset([tag]), frozenset(["table"]) if tag in CELLS | SECTIONS | {"tr", "caption"} else BARRIERS)
+        elif self.places.get(tag):
+            self.close(frozenset([tag]), NONE if tag == "table" else TABLE if tag in PARTS else BARRIERS)
 
     def feed(self, html: str) -> Node:
         at = 0
@@ -160,7 +172,7 @@ class Builder:
                 self.end(tag)
                 continue
             self.start(tag, m[3])
-            if tag in RAW:
+            if tag in RAW and self.stack[-1].tag == tag:
                 end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.IGNORECASE).search(html, at)
                 text = html[at : end.start() if end else len(html)]
                 self.stack[-1].children.append(unescape(text) if tag in UNESCAPED else text)
@@ -194,13 +206,16 @@ class Flow:
         self.parts.append(body)
         self.space = words[-1] == " "
 
+    def indented(self, by: int) -> None:
+        self.indent = " " * min(len(self.indent) + by, max(MAX_INDENT, len(self.indent)))
+
     def put(self, line: str) -> None:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
         lead = self.indent
         if self.marker:
-            lead = lead[: len(lead) - len(self.marker)] + self.marker
+            lead = lead[: max(len(lead) - len(self.marker), 0)] + self.marker
             self.marker = ""
         self.lines.append((lead + line).rstrip())
 
@@ -234,60 +249,135 @@ class Flow:
         return self.lines
 
 
+class Taken:
+    """Columns that cells of earlier rows take: runs that don't touch, and when each cell's part of them ends."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: list[tuple[int, int, int]] = []  # heap of (row, start, end)
+
+    def free(self, column: int) -> tuple[int, int]:
+        """The first free column from `column` on, and how many are free from there (MAX_COLUMNS stands for all)."""
+        i = bisect_right(self.starts, column)
+        if i and self.ends[i - 1] > column:
+            column = self.ends[i - 1]
+        return column, self.starts[i] - column if i < len(self.starts) else MAX_COLUMNS
+
+    def take(self, start: int, end: int, row: int) -> None:
+        """Free columns from start to end are taken before `row`."""
+        heapq.heappush(self.until, (row, start, end))
+        i = bisect_left(self.starts, end)
+        if i < len(self.starts) and self.starts[i] == end:
+            end = self.ends[i]
+            del self.starts[i], self.ends[i]
+        if i and self.ends[i - 1] == start:
+            self.ends[i - 1] = end
+        else:
+            insort(self.starts, start)
+            self.ends.insert(i, end)
+
+    def begin(self, row: int) -> None:
+        """Frees what ends before `row`."""
+        while self.until and self.until[0][0] <= row:
+            _, start, end = heapq.heappop(self.until)
+            i = bisect_right(self.starts, start) - 1
+            first, last = self.starts[i], self.ends[i]
+            rest = [x for x in ((first, start), (end, last)) if x[0] < x[1]]
+            self.starts[i : i + 1], self.ends[i : i + 1] = [x for x, _ in rest], [y for _, y in rest]
+
+
 class Table:
     """Cells of a table, rendered in columns."""
 
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.below: dict[int, int] = {}  # columns taken by cells from above: rows still to go, this one included
-        self.begun: dict[int, int] = {}  # the same for cells of this row
+        self.taken = Taken()
+        self.begun: list[tuple[int, int, int]] = []  # cells of this row that reach into the next
         self.captions: list[str] = []
 
     def row(self) -> None:
-        self.below = {c: n - 1 for c, n in (self.below | self.begun).items() if n > 1}
-        self.begun = {}
+        n = len(self.rows)
+        self.taken.begin(n)
+        for start, end, until in self.begun:
+            self.taken.take(start, end, until)
+        self.begun = []
         self.rows.append([])
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
+        """A cell goes to the next free column and ends where one from above begins."""
         if not self.rows:
             self.row()
         row = self.rows[-1]
-        column = row[-1][0] + row[-1][1] if row else 0
-        while self.below.get(column):
-            column += 1
+        column, room = self.taken.free(row[-1][0] + row[-1][1] if row else 0)
+        across = min(across, room)
         row.append((column, across, lines))
         if down > 1:
-            self.begun |= dict.fromkeys(range(column, column + across), down)
+            self.begun.append((column, column + across, len(self.rows) - 1 + down))
 
     def lines(self) -> list[str]:
         width: dict[int, int] = {}
+        text = 0
+        rows: list[list[tuple[int, str]]] = []  # lines of (column, text)
         for row in self.rows:
+            own: list[list[tuple[int, str]]] = [[] for _ in range(max((len(lines) for _, _, lines in row), default=0))]
             for column, across, lines in row:
                 if across == 1:
-                    width[column] = max(width.get(column, 0), min(CELL_WIDTH, max(map(len, lines), default=0)))
-        starts, at = {}, 0
-        for column in range(max(width, default=-1) + 2):
-            starts[column] = at
-            at += width.get(column, 0) + 2 * (width.get(column, 0) > 0)
+                    width[column] = max(width.get(column, 0), max(map(len, lines), default=0))
+                for parts, line in zip(own, lines, strict=False):
+                    if line:
+                        parts.append((column, line))
+                        text += len(line)
+            rows += own
+        columns = sorted(c for c, w in width.items() if w)
+        most = max(width.values(), default=0)
+        while True:
+            starts = [0]  # of the columns, and where all end
+            for c in columns:
+                starts.append(starts[-1] + min(width[c], most) + 2)
+            at = [[starts[bisect_left(columns, c)] for c, _ in parts] for parts in rows]
+            if sum(x[-1] for x in at if x) <= MAX_PADDING * text + FREE_PADDING:
+                break
+            if not most:  # too many columns to align any
+                at = [[0] * len(parts) for parts in rows]
+                break
+            most //= 2
         out = list(self.captions)
-        for row in self.rows:
-            for i in range(max((len(lines) for _, _, lines in row), default=0)):
-                line = ""
-                for column, _, lines in row:
-                    if i < len(lines) and lines[i]:
-                        lead = starts.get(column, at)
-                        line = line.ljust(lead) if len(line) + 2 <= lead or not line else f"{line}  "
-                        line += lines[i]
-                out.append(line.rstrip())
+        for parts, leads in zip(rows, at, strict=True):
+            line, size = [], 0
+            for (_, x), lead in zip(parts, leads, strict=True):
+                gap = lead - size if size + 2 <= lead or not size else 2
+                line += [" " * gap, x]
+                size += gap + len(x)
+            out.append("".join(line).rstrip())
         return out
 
 
-def hidden(node: Node, attributes: dict[str, str]) -> bool:
-    if node.tag in INVISIBLE or "hidden" in attributes and attributes["hidden"].lower() != "until-found":
-        return True
-    if node.tag == "dialog" and "open" not in attributes:
+class Rows(Table):
+    """A table that is too deep for columns."""
+
+    def lines(self) -> list[str]:
+        return [*self.captions, *(" ".join(filter(None, (x for _, _, lines in row for x in lines))) for row in self.rows)]
+
+
+def styled(attributes: dict[str, str]) -> dict[str, str]:
+    """Values of STYLES in a style attribute: of several the last one, an important one before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for declaration in COMMENT.sub("", attributes.get("style", "")).split(";"):
+        name, _, value = declaration.partition(":")
+        name = name.strip().lower()
+        if name in STYLES:
+            value, _, mark = value.strip().lower().partition("!")
+            value, important = value.strip(), mark.strip() == "important"
+            if value in STYLES[name] and (important or not found.get(name, (False,))[0]):
+                found[name] = (important, value)
+    return {k: v for k, (_, v) in found.items()}
+
+
+def hidden(node: Node, attributes: dict[str, str], style: dict[str, str]) -> bool:
+    if node.tag in INVISIBLE or "hidden" in attributes and attributes["hidden"].lower() != "until-found" and style.get("display", "none") == "none":
         return True
-    return any(k.lower() == "display" and v.lower() == "none" for k, v in STYLE.findall(attributes.get("style", "")))
+    return node.tag == "dialog" and "open" not in attributes or style.get("display") == "none"
 
 
 def number(text: str | None, least: int, most: int, default: int) -> int:
@@ -318,10 +408,12 @@ def render(root: Node) -> str:
                 flow.kept(node) if pre else flow.text(node)
             continue
         attributes = node.get()
-        if hidden(node, attributes):
+        style = styled(attributes) if "style" in attributes else {}
+        if hidden(node, attributes, style):
             continue
         tag = node.tag
-        shown = next((v.lower() for k, v in reversed(STYLE.findall(attributes.get("style", ""))) if k.lower() == "visibility"), None)
+        shown = style.get("visibility")
+        shown = "visible" if shown == "initial" else None if shown in ("inherit", "unset", "revert") else shown
         children: list[Node | str] = node.children
         if tag == "details" and "open" not in attributes:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
@@ -335,7 +427,7 @@ def render(root: Node) -> str:
             flow.line(True)
         elif tag == "table":
             flow.line(True)
-            tables.append(Table())
+            tables.append(Table() if len(tables) < MAX_TABLES else Rows())
 
             def end_table(flow=flow) -> None:
                 for line in tables.pop().lines():
@@ -353,7 +445,7 @@ def render(root: Node) -> str:
                 if tag == "caption":
                     tables[-1].captions += lines
                 else:
-                    tables[-1].cell(lines, number(attributes.get("colspan"), 1, MAX_SPAN, 1), number(attributes.get("rowspan"), 1, 65534, 1))
+                    tables[-1].cell(lines, number(attributes.get("colspan"), 1, MAX_COLUMNS, 1), number(attributes.get("rowspan"), 0, MAX_ROWS, 1) or MAX_ROWS)
 
             after.append(("call", end_cell, ()))
         elif tag in BLOCKS:
@@ -367,9 +459,9 @@ def render(root: Node) -> str:
                 flow.marker = f"{n}. " if ordered else "* "
                 if lists:
                     lists[-1][1] += 1
-                flow.indent += " " * len(flow.marker)
+                flow.indented(len(flow.marker))
             elif tag in ("blockquote", "dd"):
-                flow.indent += INDENT
+                flow.indented(len(INDENT))
 
             def end_block(flow=flow, tag=tag, nested=nested, indent=indent, marker=marker) -> None:
                 flow.line(tag in SPACED and not nested)
@@ -397,8 +489,9 @@ def text_of(html: str) -> str:
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id and visible text of every page.
 
-    A null page has null text, an empty one empty text. Rows are independent: repeated rows, null ids and empty
-    tables give what each row alone gives. Other columns are ignored.
+    A null page has null text, an empty one empty text. A page of any length and depth is read whole. Rows are
+    independent: repeated rows, null ids and empty tables give what each row alone gives. Other columns are ignored,
+    whatever their names.
     """
 
     def run(batches):
