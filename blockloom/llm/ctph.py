@@ -106,7 +106,11 @@ def common(pairs: list[tuple[str, str]]) -> np.ndarray:
 
 
 def likeness(pairs: list[tuple[str, str]]) -> list[float]:
-    """0 to 1 for each pair of fingerprints; 1 for equal ones, 0 for block sizes that are not equal or double."""
+    """0 to 1 for each pair of fingerprints; 1 for equal ones, 0 for block sizes that are not equal or double.
+
+    Signatures of the same block size are compared (see `common`: from SURE characters on they must share a run of RUN
+    characters, or the likeness is 0). With equal block sizes the signatures of the double size are compared, too, if
+    both have COARSE characters or more, and the higher likeness counts."""
     out = [0.0] * len(pairs)
     todo: list[tuple[int, str, str]] = []
     for i, (p, q) in enumerate(pairs):
@@ -183,14 +187,16 @@ def _at_edges(batches):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every document and of its text edited with the next document's, with both likenesses.
 
-    The next document is the one with the next lower id (null ids come last, equal ids by text), the first one
-    after the last. Null texts count as empty; equal texts, empty ones included, have equal fingerprints and
-    likeness 1. A lone document is its own next. An empty table gives an empty result. Other columns are
-    ignored. Texts are shuffled once, by range; one row a partition is left over and joined to its neighbour.
+    The next document is the one with the next lower id (null ids come last, equal ids by a hash of the text), the
+    first one after the last. Null texts count as empty; equal texts, empty ones included, have equal fingerprints and
+    likeness 1. A lone document is its own next. Texts of any length are read whole. An empty table gives an empty
+    result. Other columns are ignored, whatever their names. Texts are shuffled once, by range, in which null and
+    repeated ids are told apart by the hash and by place; one row a partition is left over and joined to its neighbour.
     """
-    order = F.col("doc_id").desc_nulls_last()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), order).sortWithinPartitions(order, "text")
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    order = (F.col("doc_id").desc_nulls_last(), "hash", "place")
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
     done = saved(ranged.mapInArrow(_in_order, f"{ROW}, part int, first_text string, last_text string"))
     edges = done.where("part IS NOT NULL")  # one row a partition
     by_part = Window.orderBy("part")

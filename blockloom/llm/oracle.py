@@ -23,8 +23,8 @@ _CRC32 = (
 
 def shards(n: int = 24, seed: str = "interleave") -> str:
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 8 AS size, {_CRC32} AS text_crc32,
-    CAST('0x' || substr(md5('{seed}:' || doc_id), 1, 15) AS BIGINT) AS h FROM documents),
+WITH t AS (SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 8 AS size, {_CRC32} AS text_crc32 FROM documents),
+d AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', '{seed}', doc_id, text_crc32)), 1, 15) AS BIGINT) AS h FROM t),
 r AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1 AS DOUBLE) / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM d),
 p AS (SELECT *, row_number() OVER (ORDER BY fraction, h, doc_id, text_crc32, size) - 1 AS position, count(*) OVER () AS total FROM r),
 s AS (SELECT *, position * {n} // total AS shard FROM p)

@@ -5,8 +5,11 @@ the capacity. So the driver gets a histogram of at most `capacity` numbers, what
 and makes a plan of patterns: a pattern is a set of lengths and the number of sequences filled that way.
 Pieces then look up their place by (length, rank among pieces of that length).
 
-The plan begins with Martello and Toth's reduction: sets that dominate every other use of their largest piece
-are fixed for good. What remains is packed by best fit, decreasing.
+The plan begins with Martello and Toth's reduction: sets of up to three pieces that dominate every other use of one
+of them are fixed for good. What remains is packed by best fit, decreasing: each piece goes to the sequence with the
+least room that takes it. Pieces of one length and sequences with one room are placed together, which gives what
+placing them one by one would. A second packing of the remainder, which fills one sequence after the other, is
+taken where it needs fewer sequences.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from dataclasses import dataclass
 
@@ -103,15 +107,18 @@ PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
 ])
+#: A number besides that is different in the rows of a task: it deals out rows that are alike in all else.
+SALTED = T.StructType([*PIECES.fields, T.StructField("salt", T.LongType())])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The token pieces of every document: (doc_id, piece, start, length, ids_crc32), without the ids."""
+    """The token pieces of every document: (doc_id, piece, start, length, ids_crc32, salt), without the ids. Texts of
+    any length are read whole."""
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
 
     def run(batches):
-        tokenizer = tokenizer_of(tokenizer_path)
+        tokenizer, salt = tokenizer_of(tokenizer_path), 0
         for batch in sliced(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(raw_texts(batch.column(1))), strict=True):
@@ -120,10 +127,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                     own = ids[at : at + step]
                     for column, v in zip(out, (doc, k, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
                         column.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=PIECES.names)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            out.append(range(salt, salt := salt + len(out[0])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=SALTED.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SALTED)
 
 
 @dataclass
@@ -195,10 +203,12 @@ def _best_pair(stock: _Stock, mask: int, held: Counter, room: int) -> int:
 
 
 def dominant(stock: _Stock, j: int) -> Counter | None:
-    """A set with j that dominates all other sets with j, if one of at most two pieces is found to.
+    """A set with j that dominates all other sets with j, if one of at most three pieces is found to: each of the
+    others can be parted so that each part fits in the place of a piece of this one.
 
-    Sets of j and nothing (nothing else fits), of j and a piece that fills the sequence, of j and the largest
-    piece that fits where only one fits, or where any two that fit are no longer together than that one.
+    Sets of j and nothing (nothing else fits); of j and a piece that fills the sequence; of j and the largest piece
+    that fits where only one fits, or where any two that fit are no longer together than that one; where at most two
+    fit, of j, the largest piece that fits and the largest that fits beside it, if no two longer than the latter fit.
     """
     held = Counter([j])
     mask, _ = stock.spare(held)
@@ -211,12 +221,20 @@ def dominant(stock: _Stock, j: int) -> Counter | None:
     low = _smallest(stock, mask, held, 3)
     if len(low) < 2 or low[0] + low[1] > room:
         return Counter([j, k])
-    if (len(low) < 3 or sum(low) > room) and _best_pair(stock, mask, held, room) <= k:
+    if len(low) == 3 and sum(low) <= room:
+        return None
+    if _best_pair(stock, mask, held, room) <= k:
         return Counter([j, k])
-    return None
+    held[k] += 1
+    beside = _largest(stock.spare(held)[0], room - k)
+    held[k] -= 1
+    if beside < 1:
+        return None
+    longer = _smallest(stock, mask >> (beside + 1) << (beside + 1), held, 2)
+    return Counter([j, k, beside]) if len(longer) < 2 or sum(longer) > room else None
 
 
-def best_fit(stock: _Stock) -> list[int]:
+def filled(stock: _Stock) -> list[int]:
     """The lengths of one sequence: the longest piece left, then the piece or two that fill the room, or else
     the longest that fits."""
     j = stock.mask.bit_length() - 1
@@ -238,43 +256,95 @@ def best_fit(stock: _Stock) -> list[int]:
     return got
 
 
+#: A row of a plan: length, rank of the first piece, how many to a sequence, first sequence, offset there.
+Row = tuple[int, int, int, int, int]
+
+
+def fixed(stock: _Stock, lengths: list[int], used: Counter, base: int) -> tuple[list[Row], int]:
+    """Rows for as many sequences of these lengths as the stock has, from sequence `base` on; and how many."""
+    held, rows, offset = Counter(lengths), [], 0
+    times = stock.times(held)
+    for s, c in sorted(held.items(), reverse=True):
+        rows.append((s, used[s], c, base, offset))
+        used[s] += c * times
+        offset += c * s
+    stock.take(held, times)
+    return rows, times
+
+
+def best_fit(left: dict[int, int], capacity: int, used: Counter, base: int) -> tuple[list[Row], int]:
+    """Rows for all pieces in `left` by best fit, decreasing, from sequence `base` on; and how many sequences.
+
+    A sequence that takes one piece of a length has the least room for the next, as long as it has room for it. So
+    it takes as many as fit, and so do the others with the same room. Each time, less than half the room is left.
+    """
+    rows: list[Row] = []
+    rooms: list[int] = []
+    open_at: dict[int, list[tuple[int, int]]] = {}  # for each room, (first sequence, how many)
+    n_sequences = 0
+
+    def leave(room: int, first: int, n: int) -> None:
+        if n and room:
+            if room not in open_at:
+                insort(rooms, room)
+            open_at.setdefault(room, []).append((first, n))
+
+    for s, n in sorted(left.items(), reverse=True):
+        at = used[s]
+        while n:
+            i = bisect_left(rooms, s)
+            if i < len(rooms):
+                room = rooms[i]
+                first, have = open_at[room].pop()
+                if not open_at[room]:
+                    del open_at[room], rooms[i]
+            else:
+                room, first, have = capacity, base + n_sequences, -(-n // (capacity // s))
+                n_sequences += have
+            each = room // s
+            whole = min(have, n // each)
+            some = n - whole * each if whole < have else 0  # the last ones, fewer than fit in a sequence
+            if whole:
+                rows.append((s, at, each, first, capacity - room))
+            if some:
+                rows.append((s, at + whole * each, some, first + whole, capacity - room))
+            leave(room - each * s, first, whole)
+            leave(room - some * s, first + whole, bool(some))
+            leave(room, first + whole + bool(some), have - whole - bool(some))
+            at, n = at + whole * each + some, n - whole * each - some
+    return rows, n_sequences
+
+
 def plan(counts: dict[int, int], capacity: int) -> Plan:
     """Patterns for all pieces. Each step uses up a length, so the work depends on `capacity` alone."""
     stock, used, rows, base = _Stock(counts, capacity), Counter(), [], 0
-
-    def fix(lengths: list[int]) -> None:
-        nonlocal base
-        held = Counter(lengths)
-        times, offset = stock.times(held), 0
-        for s, c in sorted(held.items(), reverse=True):
-            rows.append((s, used[s], c, base, offset))
-            used[s] += c * times
-            offset += c * s
-        stock.take(held, times)
-        base += times
-
     found = True
     while found and stock.left:
         found = False
         for j in sorted(stock.left, reverse=True):
             while j in stock.left and (best := dominant(stock, j)):
-                fix(list(best.elements()))
-                found = True
+                more, times = fixed(stock, list(best.elements()), used, base)
+                rows, base, found = rows + more, base + times, True
     reduced = base
+    rest, n_rest = best_fit(stock.left, capacity, used, base)
+    other, at = [], base
     while stock.left:
-        fix(best_fit(stock))
-    columns = np.array(sorted(rows), np.int64).reshape(-1, 5).T
-    return Plan(*columns, sequences=base, reduced=reduced)
+        more, times = fixed(stock, filled(stock), used, at)
+        other, at = other + more, at + times
+    if at - base < n_rest:
+        rest, n_rest = other, at - base
+    columns = np.array(sorted(rows + rest), np.int64).reshape(-1, 5).T
+    return Plan(*columns, sequences=base + n_rest, reduced=reduced)
 
 
 def ranked(rows: DataFrame) -> DataFrame:
     """rows with `rank` from 0 among those of the same length: the rank within a slice of that length, plus
     what lies in lower slices, so that a length many pieces share is spread over all slices."""
     slices = partitions(rows.sparkSession)
-    cut = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
+    cut = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(slices)).cast("int"))
     counts = cut.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = counts.select("length", "slice", (F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32")
+    order = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32", "salt")
     return cut.withColumn("in_slice", F.row_number().over(order)).join(before, ["length", "slice"]).withColumn("rank", F.col("before") + F.col("in_slice") - 1)
 
 
@@ -305,6 +375,7 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
 
     A document is its token ids and `end_id`; longer ones are cut into full pieces and a last one. Null and
     empty texts are documents of `end_id` alone. Repeated rows are packed each on its own, equal ones in any
-    order. Null ids are kept as they are. An empty table gives an empty result. Other columns are ignored.
+    order. Null ids are kept as they are. An empty table gives an empty result. Other columns are ignored, whatever
+    their names.
     """
     return pack(saved(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)), capacity)

@@ -21,7 +21,7 @@ SLICE_ROWS = 50_000
 
 
 def shuffled_key(seed: str, *columns: str) -> Column:
-    """A 60-bit hash of the seed and the columns, uniform and the same on every engine that has MD5."""
+    """A 60-bit hash of the seed and the columns (nulls are left out), uniform and the same on every engine that has MD5."""
     text = F.concat_ws(":", F.lit(seed), *(F.col(c).cast("string") for c in columns))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
@@ -66,9 +66,10 @@ def shard(
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     The law is `rows`: shard counts differ by one at most, so `grown_shard` is null. A null text is empty for
-    its checksum and has size 8; a null source is a source of its own; a null id sorts first among equal
-    hashes. Repeated rows are rows like any other. An empty table gives an empty result. Other columns of
-    docs are ignored, whatever their names.
+    its checksum and has size 8; a null source is a source of its own. The shuffle goes by id and checksum, so rows with
+    a null or repeated id are spread like others unless their texts are equal, too; ties go by id (null first), then
+    checksum and size. Repeated rows are rows like any other. Of texts only size and checksum are used, whatever their
+    length. An empty table gives an empty result. Other columns of docs are ignored, whatever their names.
     """
     text = F.col(text_col)
     rows = docs.select(
@@ -76,7 +77,7 @@ def shard(
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce(text.cast("binary"), F.lit(b""))).alias("text_crc32"),
         F.when(F.col(source_col).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string"))).alias("stratum"),
-    ).withColumn("h", shuffled_key(seed, "doc_id"))
+    ).withColumn("h", shuffled_key(seed, "doc_id", "text_crc32"))
     return interleaved(saved(rows), n_shards).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

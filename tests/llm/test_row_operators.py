@@ -264,6 +264,8 @@ def test_fingerprints_against_brute_force(spark, edge_rows, edge_docs, no_docs):
         assert x.near_edited == pytest.approx(naive_likeness(x.fingerprint, x.edited_fingerprint))
         assert x.near_next == pytest.approx(naive_likeness(x.fingerprint, naive_fingerprint(following)))
     assert ctph.fingerprints(edge_docs).count() == len(edge_rows)
+    alike = spark.createDataFrame([(None, "one text")] * 200 + [(3, "one text")] * 200, "doc_id long, text string").repartition(4)
+    assert {x.near_next for x in ctph.fingerprints(alike).collect()} == {1.0}
     assert ctph.fingerprints(no_docs).count() == 0
     one = ctph.fingerprints(spark.createDataFrame([(1, "alone in the table")], "doc_id long, text string")).first()
     assert one.near_next == 1.0
