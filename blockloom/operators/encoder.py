@@ -11,6 +11,7 @@ import numpy as np
 
 from .format import BLOCK_MAGIC, BLOCK_SLACK, END_MAGIC, GROUP, LEVEL_UNIT, MAX_RUN, combined, crc
 
+#: The longest code an encoder gives, and how often tables are fitted.
 MAX_LENGTH = 17
 PASSES = 4
 #: Symbol counts from which one more table pays (fixed values).
@@ -137,9 +138,18 @@ def table_count(n_symbols: int) -> int:
 
 
 def first_tables(counts: np.ndarray, n: int) -> np.ndarray:
-    """Costs to begin with: each table favours a stretch of the alphabet that holds its share of all symbols."""
-    share = np.minimum((np.cumsum(counts) - counts) * n // max(int(counts.sum()), 1), n - 1)
-    return np.where(share[None, :] == np.arange(n)[:, None], 1, 15)
+    """Costs to begin with: each table favours a stretch of the alphabet. A stretch ends where it has its share of the
+    symbols that are left, every second one between the first and the last a symbol earlier; the last table gets the
+    first stretch."""
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    cost, at = np.full((n, len(counts)), 15), 0
+    for k in range(n):
+        share = (upto[-1] - upto[at]) // (n - k)
+        to = int(np.searchsorted(upto, upto[at] + share)) if share else at
+        to -= k % 2 == 1 and k < n - 1 and to - at > 1
+        cost[n - 1 - k, at:to] = 1
+        at = to
+    return cost
 
 
 def chosen(groups: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -219,12 +229,17 @@ def block_bits(plain_crc: int, packed: np.ndarray) -> np.ndarray:
     return w.bits()
 
 
-def stream(blocks: list[tuple[int, np.ndarray]], level: int) -> bytes:
-    """A stream of (checksum, bits) of its blocks."""
+def end_bits(crcs: list[int]) -> np.ndarray:
+    """The bits of the end of a stream."""
     w = BitWriter()
     w.put(END_MAGIC, 48)
-    w.put(combined([c for c, _ in blocks]), 32)
-    return b"BZh%d" % level + np.packbits(np.concatenate([*(b for _, b in blocks), w.bits()])).tobytes()
+    w.put(combined(crcs), 32)
+    return w.bits()
+
+
+def stream(blocks: list[tuple[int, np.ndarray]], level: int) -> bytes:
+    """A stream of (checksum, bits) of its blocks."""
+    return b"BZh%d" % level + np.packbits(np.concatenate([*(b for _, b in blocks), end_bits([c for c, _ in blocks])])).tobytes()
 
 
 def cut(data: bytes, level: int) -> list[tuple[bytes, np.ndarray]]:
@@ -248,24 +263,41 @@ def compress(data: bytes, level: int = 9) -> bytes:
 
 class Encoder:
     """Takes plaintext in chunks; whole blocks are coded as soon as a later run shows that they are full. How the
-    input is cut into chunks does not show in the output."""
+    input is cut into chunks does not show in the output. Coded bytes can be drained at any time; what is held is the
+    plaintext of a block or two, the bits of an unfinished byte, and what has not been drained."""
 
     def __init__(self, level: int = 9) -> None:
         if not 1 <= level <= 9:
             raise ValueError("level must be 1 to 9")
-        self.level, self.kept, self.blocks = level, b"", []
+        self.level, self.kept, self.checksum = level, bytearray(), 0
+        self.ready, self.loose = bytearray(b"BZh%d" % level), np.zeros(0, np.uint8)
 
     def push(self, chunk: bytes) -> None:
         self.kept += chunk
         if len(self.kept) > 2 * self.level * LEVEL_UNIT:
-            self.code(cut(self.kept, self.level)[:-1])
+            self.code(cut(bytes(self.kept), self.level)[:-1])
 
     def code(self, blocks: list[tuple[bytes, np.ndarray]]) -> None:
         for plain, packed in blocks:
             c = crc(plain)
-            self.blocks.append((c, block_bits(c, packed)))
-            self.kept = self.kept[len(plain) :]
+            self.put(block_bits(c, packed))
+            self.checksum = combined([self.checksum, c])
+            del self.kept[: len(plain)]
+
+    def put(self, bits: np.ndarray) -> None:
+        bits = np.concatenate([self.loose, bits])
+        whole = len(bits) & ~7
+        self.ready += np.packbits(bits[:whole]).tobytes()
+        self.loose = bits[whole:]
+
+    def drain(self) -> bytes:
+        """The whole bytes that are coded and were not drained before."""
+        out, self.ready = bytes(self.ready), bytearray()
+        return out
 
     def finish(self) -> bytes:
-        self.code(cut(self.kept, self.level))
-        return stream(self.blocks, self.level)
+        """The last block and the end of the stream, with all that was not drained."""
+        self.code(cut(bytes(self.kept), self.level))
+        self.put(end_bits([self.checksum]))
+        self.put(np.zeros(-len(self.loose) % 8, np.uint8))
+        return self.drain()

@@ -83,19 +83,27 @@ def rehomed(data: bytes, start: int, end: int, level: int) -> bytes:
     return b"BZh%d" % level + (body << pad).to_bytes((n + pad) // 8, "big")
 
 
-def magic_positions(data: bytes, start: int = 0, stop: int | None = None, magics=(BLOCK_MAGIC,)) -> np.ndarray:
-    """Bit offsets in [start, stop) at which a magic number stands, in order.
+def _needles(magic: int) -> list[tuple[bytes, int]]:
+    """For each place within a byte that a magic number may begin at: the five or six whole bytes that it covers, and
+    how many of its bits come before them."""
+    found = []
+    for s in range(8):
+        # begins s bits into a byte: 8 - s bits in that byte if s, then whole bytes, then s bits
+        whole = (magic >> s & (1 << 40) - 1).to_bytes(5, "big") if s else magic.to_bytes(6, "big")
+        found.append((whole, 8 - s if s else 0))
+    return found
+
 
-    A magic number that begins s bits after a byte boundary covers five or six whole bytes; a bytes search for
-    these, for each s, finds every occurrence.
-    """
+NEEDLES = {m: _needles(m) for m in (BLOCK_MAGIC, END_MAGIC)}
+
+
+def magic_positions(data: bytes, start: int = 0, stop: int | None = None, magics=(BLOCK_MAGIC,)) -> np.ndarray:
+    """Bit offsets in [start, stop) at which a magic number stands, in order: a bytes search for the whole bytes that
+    it covers, for each place within a byte."""
     stop = 8 * len(data) if stop is None else stop
     found = []
     for magic in magics:
-        for s in range(8):
-            # begins s bits into a byte: 8 - s bits in that byte if s, then whole bytes, then s bits
-            whole = (magic >> s & (1 << 40) - 1).to_bytes(5, "big") if s else magic.to_bytes(6, "big")
-            lead = 8 - s if s else 0
+        for whole, lead in NEEDLES[magic]:
             at = data.find(whole, start + lead >> 3)
             while at >= 0:
                 bit = 8 * at - lead
@@ -105,3 +113,19 @@ def magic_positions(data: bytes, start: int = 0, stop: int | None = None, magics
                     found.append(bit)
                 at = data.find(whole, at + 1)
     return np.array(sorted(found), np.int64)
+
+
+def first_magic(data: bytes, start: int) -> int | None:
+    """The first bit offset from `start` on at which a magic number stands, or None."""
+    best, last = None, len(data)
+    for magic, needles in NEEDLES.items():
+        for whole, lead in needles:
+            at = data.find(whole, start + lead >> 3, last)
+            while at >= 0:
+                bit = 8 * at - lead
+                if bit >= start and bit + MAGIC_BITS <= 8 * len(data) and bits_at(data, bit, MAGIC_BITS) == magic:
+                    if best is None or bit < best:
+                        best, last = bit, min(len(data), (bit >> 3) + 8)
+                    break
+                at = data.find(whole, at + 1, last)
+    return best

@@ -62,7 +62,8 @@ def lf_mapping(column: DataFrame, key: list[str], at: str = "row") -> DataFrame:
 
 def move_to_front(rows: DataFrame, key: list[str]) -> DataFrame:
     """(key, pos, b, place): how many different bytes came since the last one like it; at a first occurrence, how
-    many came before at all, and how many lower ones have yet to come."""
+    many came before at all, and how many lower ones have yet to come. For short buffers: each row meets all rows since
+    the last one like it (the kernel in `encoder` keeps a list instead)."""
     by = Window.partitionBy(*key)
     last = rows.withColumn("before", F.lag("pos").over(Window.partitionBy(*key, "b").orderBy("pos")))
     r, s = last.alias("r"), rows.alias("s")
@@ -115,6 +116,15 @@ def unary_place(place: Column) -> Column:
     return F.concat(F.repeat(F.lit("1"), place), F.lit("0"))
 
 
+def selector_places(rows: DataFrame, key: list[str], n_tables: int) -> DataFrame:
+    """(key, pos, tbl, place) of selectors (key, pos, tbl): how many of the tables were chosen since a table's last
+    choice, or would come before it at the start. One window, with the last place of each table."""
+    by = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.array(*(F.coalesce(F.max(F.when(F.col("tbl") == t, F.col("pos"))).over(by), F.lit(-1 - t)) for t in range(n_tables)))
+    own = F.get(F.col("last"), F.col("tbl"))
+    return rows.withColumn("last", last).withColumn("place", F.size(F.filter("last", lambda x: x > own))).drop("last")
+
+
 def length_deltas(lengths: DataFrame, key: list[str]) -> DataFrame:
     """(key, sym, bits): steps from the length before (from itself, for the first), then a stop."""
     step = F.col("len") - F.coalesce(F.lag("len").over(Window.partitionBy(*key).orderBy("sym")), F.col("len"))
@@ -138,8 +148,8 @@ def bit_offsets(codes: DataFrame, key: list[str]) -> DataFrame:
     return codes.withColumn("bit", F.sum("len").over(Window.partitionBy(*key).orderBy("pos")) - F.col("len"))
 
 
-def block_packing(groups: DataFrame, key: str, limit: int) -> DataFrame:
-    """(key, grp, block): runs (key, grp, enc_len) dealt greedily to blocks of at most `limit` bytes, none split.
+def block_packing(groups: DataFrame, key: str, limit: int, keep: list[str] | None = None) -> DataFrame:
+    """(key, grp, block, and the columns `keep`): runs (key, grp, enc_len) dealt greedily to blocks of at most `limit` bytes, none split.
 
     What a block leaves over carries into the next, so a plain running sum won't do. Only run lengths are folded,
     one stream to a task, with a search for the end of each block.
@@ -150,7 +160,9 @@ def block_packing(groups: DataFrame, key: str, limit: int) -> DataFrame:
 
     def fold(batch: pa.Table) -> pa.Table:
         batch = batch.sort_by("grp")
-        return pa.table({key: batch[key], "grp": batch["grp"], "block": packing(batch["enc_len"].to_numpy(), limit)})
+        return pa.table({key: batch[key], "grp": batch["grp"], "block": packing(batch["enc_len"].to_numpy(), limit)} | {c: batch[c] for c in keep or []})
 
-    kind = groups.schema[key].dataType.simpleString()
-    return groups.select(key, F.col("grp").cast("long").alias("grp"), F.col("enc_len").cast("long").alias("enc_len")).groupBy(key).applyInArrow(fold, f"{key} {kind}, grp long, block long")
+    rows = groups.select(key, F.col("grp").cast("long").alias("grp"), F.col("enc_len").cast("long").alias("enc_len"), *(c for c in keep or [] if c != "enc_len"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, *(keep or []))}
+    more = "".join(f", {c} {kinds[c]}" for c in keep or [])
+    return rows.groupBy(key).applyInArrow(fold, f"{key} {kinds[key]}, grp long, block long{more}")

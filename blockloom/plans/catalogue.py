@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.checksum import bz2_combined_crc, crc32_bzip2
 from ..functions.kernels import bz2_compress, bz2_decompress, bz2_encode, bz2_error
 from ..operators import stages
-from ..operators.format import CRC_TABLE
+from ..operators.format import BLOCK_SLACK, CRC_TABLE, LEVEL_UNIT
 from ..sources import bz2 as source
 from ..streaming import push
 from . import parallel
@@ -92,15 +92,49 @@ def preview_lines(spark, sf_dir):
     return lines.select(key.alias("o_orderkey"), F.substring("value", 1, 160).alias("preview")).orderBy("o_orderkey").limit(3)
 
 
+@query(f"SELECT {_LINE} AS line FROM orders")
+def ranges_scan(spark, sf_dir):
+    """Files split in ranges of 16 kB: lines and blocks reach over their edges."""
+    lines = spark.read.format("bz2").option("lines", "true").option("rangeBytes", 16 << 10).load(written_lines(spark, sf_dir))
+    return lines.select(F.col("value").alias("line"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def encode_drained(spark, sf_dir):
+    """Texts pushed to the incremental encoder in chunks; what it drains on the way and at the end is one stream."""
+    import bz2
+
+    from ..operators.encoder import Encoder
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                e, parts = Encoder(1), []
+                for i in range(0, len(text or b""), 10_000):
+                    e.push(text[i : i + 10_000])
+                    parts.append(e.drain())
+                out.append(None if text is None else bz2.decompress(b"".join(parts) + e.finish()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+
+
+#: Documents that a file of `source_files` is made of, at most.
+FILE_DOCUMENTS = 5_000
+
+
 def source_files(spark, sf_dir, level: int = 1) -> DataFrame:
-    """(file_id, content): the documents of each source in the order of doc_id, compressed."""
+    """(file_id, content): the documents of each source and each FILE_DOCUMENTS ids in the order of doc_id, compressed."""
     parts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
     text = F.array_join(F.transform(parts, lambda x: x["text"]), "")
-    docs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("file_id")).agg(text.alias("text"))
+    file_id = F.concat_ws("/", "source", F.expr(f"doc_id div {FILE_DOCUMENTS}"))
+    docs = table(spark, sf_dir, "documents").groupBy(file_id.alias("file_id")).agg(text.alias("text"))
     return docs.select("file_id", bz2_compress(utf8("text"), F.lit(level)).alias("content"))
 
 
-_SOURCES = "SELECT source AS file_id, string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY source"
+_FILE = f"concat_ws('/', source, doc_id // {FILE_DOCUMENTS})"
+_SOURCES = f"SELECT {_FILE} AS file_id, string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY 1"
 
 
 @query(_SOURCES)
@@ -116,47 +150,91 @@ def parallel_fast_path(spark, sf_dir):
     return blocks.groupBy("file_id").agg(F.sum(F.octet_length("out")).alias("n_bytes"), F.bool_and("fast").alias("fast"))
 
 
-@query(f"SELECT file_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, 'InvalidMagic' AS error FROM ({_SOURCES})")
+@query(f"SELECT file_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS fast, 'InvalidMagic' AS error FROM ({_SOURCES})")
 def parallel_fallback(spark, sf_dir):
-    """Four bytes after the end break the chain; the strict decoder gives all blocks, then the error."""
+    """Four bytes after the end break the chain: all blocks come by it, and the strict walk from there names the error."""
     files = source_files(spark, sf_dir).withColumn("content", F.concat("content", F.lit(b"zzzz")))
     blocks = parallel.decode(source.materialized(files))
-    return blocks.groupBy("file_id").agg(F.sum(F.octet_length("out")).alias("n_bytes"), F.max("error").alias("error"))
+    fast = F.bool_and(F.col("fast") | F.col("error").isNotNull()).alias("fast")
+    return blocks.groupBy("file_id").agg(F.sum(F.octet_length("out")).alias("n_bytes"), fast, F.max("error").alias("error"))
+
+
+@query(f"SELECT count(*) AS n_rows, CAST(sum(octet_length(encode({_LINE})) + 1) AS BIGINT) AS n_bytes, true AS fast, NULL AS error FROM orders")
+def parallel_ranges(spark, sf_dir):
+    """Files by their paths, in ranges of 16 kB that tasks of their own read and decode."""
+    blocks = parallel.decode_paths(spark, [written_lines(spark, sf_dir)], 16 << 10)
+    lines = F.octet_length("out") - F.octet_length(F.replace(F.decode("out", "UTF-8"), F.lit("\n"), F.lit("")))
+    return blocks.agg(F.sum(lines).cast("long").alias("n_rows"), F.sum(F.octet_length("out")).alias("n_bytes"), F.bool_and("fast").alias("fast"), F.max("error").alias("error"))
 
 
-@query("SELECT n_regionkey, string_agg(n_name, '' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")
+@query("SELECT doc_id // 50 AS part, string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY 1")
 def multi_stream(spark, sf_dir):
-    """Streams of mixed levels, an empty one among them, read as one."""
-    one = bz2_compress(utf8("n_name"), F.col("n_nationkey") % 9 + 1)
-    streams = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", one.alias("packed"), bz2_compress(F.lit(b""), F.lit(9)).alias("none"))
-    parts = F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat(F.hex("packed"), F.hex("none")).alias("h"))))
-    joined = streams.groupBy("n_regionkey").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("packed"))
-    return joined.select("n_regionkey", F.decode(bz2_decompress("packed"), "UTF-8").alias("names"))
+    """Streams of mixed levels, empty ones among them, read as one: fifty documents each."""
+    one = bz2_compress(utf8("text"), F.col("doc_id") % 9 + 1)
+    docs = spread(table(spark, sf_dir, "documents"))
+    streams = docs.select(F.expr("doc_id div 50").alias("part"), "doc_id", one.alias("packed"), bz2_compress(F.lit(b""), F.lit(9)).alias("none"))
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.hex("packed"), F.hex("none")).alias("h"))))
+    joined = streams.groupBy("part").agg(F.unhex(F.array_join(F.transform(parts, lambda x: x["h"]), "")).alias("packed"))
+    return joined.select("part", F.decode(bz2_decompress("packed"), "UTF-8").alias("text"))
 
 
-@query(_SOURCES)
-def push_stream_chunks(spark, sf_dir):
-    """Files cut into chunks of 4096 bytes and decoded by a streaming query."""
+_CHUNKS = "stream_id string, seq long, chunk binary, last boolean"
+
+
+def pushed(spark, files: DataFrame, size: int = 4096) -> DataFrame:
+    """The output of a streaming query over files (file_id, content) cut into chunks."""
 
     def cut(batches):
         for batch in batches:
             for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = max(-(-len(data) // 4096), 1)
-                columns = [[name] * n, range(n), [data[4096 * i : 4096 * i + 4096] for i in range(n)], [i == n - 1 for i in range(n)]]
+                n = max(-(-len(data) // size), 1)
+                columns = [[name] * n, range(n), [data[size * i : size * i + size] for i in range(n)], [i == n - 1 for i in range(n)]]
                 kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["stream_id", "seq", "chunk", "last"])
 
-    schema = "stream_id string, seq long, chunk binary, last boolean"
     folder = source.shared_path(spark)
-    source_files(spark, sf_dir).mapInArrow(cut, schema).write.parquet(f"{folder}/in")
-    chunks = spark.readStream.schema(schema).parquet(f"{folder}/in")
+    files.select("file_id", "content").mapInArrow(cut, _CHUNKS).write.parquet(f"{folder}/in")
+    chunks = spark.readStream.schema(_CHUNKS).parquet(f"{folder}/in")
     stream = push.decoded(chunks).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     stream.awaitTermination()
-    rows = spark.read.schema(push.OUTPUT).parquet(f"{folder}/out")
+    return spark.read.schema(push.OUTPUT).parquet(f"{folder}/out")
+
+
+@query(_SOURCES)
+def push_stream_chunks(spark, sf_dir):
+    """Files cut into chunks of 4096 bytes and decoded by a streaming query."""
+    rows = pushed(spark, source_files(spark, sf_dir))
     text = F.expr("decode(unhex(array_join(transform(array_sort(collect_list(struct(seq, hex(data) AS h))), x -> x.h), '')), 'UTF-8')")
     return rows.groupBy(F.col("stream_id").alias("file_id")).agg(text.alias("text"))
 
 
+@query(f"SELECT file_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes_out, CAST(0 AS BIGINT) AS buffered, CAST(NULL AS VARCHAR) AS error, true AS all_in, true AS growing FROM ({_SOURCES})")
+def push_progress(spark, sf_dir):
+    """Counts of streams at their end: all bytes taken, all plaintext given, nothing held; on the way they only grow."""
+    files = source.materialized(source_files(spark, sf_dir))
+    rows = pushed(spark, files)
+    sizes = files.select("file_id", F.octet_length("content").alias("size"))
+    by = Window.partitionBy("stream_id").orderBy("seq")
+    grows = F.coalesce((F.lag("bytes_in").over(by) < F.col("bytes_in")) & (F.lag("bytes_out").over(by) <= F.col("bytes_out")), F.lit(True))
+    growing = rows.withColumn("grows", grows).groupBy("stream_id").agg(F.bool_and("grows").alias("growing"))
+    ends = push.progress(rows).join(growing, "stream_id").join(sizes, F.col("stream_id") == F.col("file_id"))
+    return ends.select("file_id", "bytes_out", "buffered", "error", (F.col("bytes_in") == F.col("size")).alias("all_in"), "growing")
+
+
+@query("SELECT c_custkey, s.seq, CASE WHEN s.seq > 0 THEN 'InvalidMagic' END AS error FROM customer, (VALUES (0), (1), (2), (3)) AS s(seq)")
+def push_poisoned(spark, sf_dir):
+    """A stream, bytes that are none, and more: the error stays, and the chunks after it give nothing."""
+    packed = bz2_compress(utf8("c_name"), F.lit(9))
+    parts = F.array(packed, F.lit(b"nonsense"), packed, F.lit(b""))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("stream_id"), F.posexplode(parts).alias("seq", "chunk"))
+    folder = source.shared_path(spark)
+    rows.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == 3).alias("last")).write.parquet(f"{folder}/in")
+    chunks = spark.readStream.schema(_CHUNKS).parquet(f"{folder}/in")
+    push.decoded(chunks).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    out = spark.read.schema(push.OUTPUT).parquet(f"{folder}/out")
+    return out.select(F.col("stream_id").cast("long").alias("c_custkey"), F.col("seq").cast("int").alias("seq"), "error")
+
+
 # Errors and headers
 
 _TABLE = "[" + ", ".join(map(str, CRC_TABLE)) + "]"
@@ -168,30 +246,37 @@ _CRC = (
     + _TABLE
     + ", CAST(xor(c >> 24, b) + 1 AS INTEGER)))), 4294967295)"
 )
-_CRC_OF_NAME = _CRC.format(h="hex(encode(n_name))")
+_CRC_OF_NAME = _CRC.format(h="hex(encode(c_name))")
 
 _CASES = {
     "cut": "Truncated", "magic": "InvalidMagic", "level": "InvalidLevel", "randomized": "RandomizedBlock", "block_crc": "CrcMismatch",
     "stream_crc": "CrcMismatch", "three_more": "Truncated", "four_more": "InvalidMagic", "next_level": "InvalidLevel",
+    "no_symbols": "InvalidBlock", "no_selectors": "InvalidBlock", "no_tables": "InvalidHuffman", "seven_tables": "InvalidHuffman",
 }
 
 
-@query("SELECT n_nationkey, c.kind, c.error FROM nation, (VALUES " + ", ".join(f"('{k}', '{e}')" for k, e in _CASES.items()) + ", ('whole', NULL), ('none', NULL)) AS c(kind, error)")
+@query("SELECT c_custkey, c.kind, c.error FROM customer, (VALUES " + ", ".join(f"('{k}', '{e}')" for k, e in _CASES.items()) + ", ('whole', NULL), ('none', NULL)) AS c(kind, error)")
 def error_names(spark, sf_dir):
-    """Each stream damaged in several ways. Names of nations are short, so the first bit of origPtr's nibble is free."""
+    """Each stream damaged in several ways. Texts are short, so the first bits of origPtr are free, and hold bytes of
+    six groups of sixteen (that of a run's count among them), so the number of tables is at bit 249."""
     h = F.col("h")
     other = lambda c: F.translate(c, "0123456789ABCDEF", "1032547698BADCFE")
-    put = lambda at, text: F.overlay(h, text, at, F.lit(1))
+    put = lambda at, text: F.overlay(h, text, at)
+    nibble = lambda at: F.substring(h, at + 1, 1)
+    keep = lambda at, bits: F.translate(nibble(at), "0123456789ABCDEF", "".join(f"{i & bits:X}" for i in range(16)))
     # the stream's checksum is the 32 bits before at most 7 bits of padding: its top bits are 38 bits from the end
     damaged = {
         "cut": F.expr("substr(h, 1, length(h) - 10)"), "magic": put(F.lit(2), F.lit("3")), "level": put(F.lit(8), F.lit("0")),
         "randomized": put(F.lit(29), F.lit("8")), "block_crc": put(F.lit(21), other(F.substring(h, 21, 1))),
         "stream_crc": put(F.length(h) - 5, other(F.expr("substr(h, length(h) - 5, 1)"))), "three_more": F.concat(h, F.lit("7A7A7A")),
         "four_more": F.concat(h, F.lit("7A7A7A7A")), "next_level": F.concat(h, F.lit("425A6830")), "whole": h, "none": F.lit(""),
+        "no_symbols": put(F.lit(35), F.concat(keep(34, 8), F.lit("000"), keep(38, 7))), "no_tables": put(F.lit(63), keep(62, 8)),
+        "seven_tables": put(F.lit(63), F.translate(nibble(62), "0123456789ABCDEF", "77777777FFFFFFFF")),
+        "no_selectors": put(F.lit(64), F.concat(F.lit("000"), keep(66, 1))),
     }
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.hex(bz2_compress(utf8("n_name"), F.lit(9))).alias("h"))
+    rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", F.hex(bz2_compress(utf8(F.concat(F.lit("0000"), "c_name")), F.lit(9))).alias("h"))
     cases = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("h")) for k, v in damaged.items())))
-    return rows.select("n_nationkey", cases.alias("c")).select("n_nationkey", "c.kind", bz2_error(F.unhex("c.h")).alias("error"))
+    return rows.select("c_custkey", cases.alias("c")).select("c_custkey", "c.kind", bz2_error(F.unhex("c.h")).alias("error"))
 
 
 @query("SELECT n_nationkey, 'BlockOverflow' AS error FROM nation")
@@ -216,46 +301,46 @@ def bits(h: Column, bit: int, n: int) -> Column:
 
 
 @query(
-    "WITH s AS (SELECT n_nationkey, n_name, length(n_name) AS n FROM nation) SELECT n_nationkey, 54156738319193 AS magic, CAST(0 AS BIGINT) AS randomized, 9 AS level, "
-    f"CAST({_CRC_OF_NAME} AS BIGINT) AS crc FROM s"
+    "SELECT c_custkey, 54156738319193 AS magic, CAST(0 AS BIGINT) AS randomized, 9 AS level, "
+    f"CAST({_CRC_OF_NAME} AS BIGINT) AS crc FROM customer"
 )
 def block_headers(spark, sf_dir):
     """Fields of a stream's first block, read from its bits: level, magic number, checksum, randomized bit."""
-    h = F.hex(bz2_compress(utf8("n_name"), F.lit(9)))
-    rows = spread(table(spark, sf_dir, "nation")).select("n_nationkey", h.alias("h"))
+    h = F.hex(bz2_compress(utf8("c_name"), F.lit(9)))
+    rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", h.alias("h"))
     level = (bits(F.col("h"), 24, 8) - 48).cast("int")
-    return rows.select("n_nationkey", bits(F.col("h"), 32, 48).alias("magic"), bits(F.col("h"), 112, 1).alias("randomized"), level.alias("level"), bits(F.col("h"), 80, 32).alias("crc"))
+    return rows.select("c_custkey", bits(F.col("h"), 32, 48).alias("magic"), bits(F.col("h"), 112, 1).alias("randomized"), level.alias("level"), bits(F.col("h"), 80, 32).alias("crc"))
 
 
 # Checksums
 
 
-@query(f"SELECT n_nationkey, CAST({_CRC.format(h='h')} AS BIGINT) AS crc FROM (SELECT n_nationkey, hex(encode(n_name)) AS h FROM nation)")
+@query(f"SELECT c_custkey, CAST({_CRC.format(h='h')} AS BIGINT) AS crc FROM (SELECT c_custkey, hex(encode(c_name)) AS h FROM customer)")
 def crc32_names(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", crc32_bzip2(utf8("n_name")).alias("crc"))
+    return table(spark, sf_dir, "customer").select("c_custkey", crc32_bzip2(utf8("c_name")).alias("crc"))
 
 
 @query(
-    f"WITH c AS (SELECT n_regionkey, CAST({_CRC.format(h='h')} AS BIGINT) AS crc, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, "
-    "count(*) OVER (PARTITION BY n_regionkey) AS n FROM (SELECT n_regionkey, n_nationkey, hex(encode(n_name)) AS h FROM nation)) "
-    "SELECT n_regionkey, CAST(bit_xor(((crc << ((n - i) % 32)) & 4294967295) | (crc >> (32 - (n - i) % 32))) AS BIGINT) AS crc FROM c GROUP BY n_regionkey"
+    f"WITH c AS (SELECT c_nationkey, CAST({_CRC.format(h='h')} AS BIGINT) AS crc, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, "
+    "count(*) OVER (PARTITION BY c_nationkey) AS n FROM (SELECT c_nationkey, c_custkey, hex(encode(c_name)) AS h FROM customer)) "
+    "SELECT c_nationkey, CAST(bit_xor(((crc << ((n - i) % 32)) & 4294967295) | (crc >> (32 - (n - i) % 32))) AS BIGINT) AS crc FROM c GROUP BY c_nationkey"
 )
 def combined_crc(spark, sf_dir):
-    by = Window.partitionBy("n_regionkey")
-    rows = table(spark, sf_dir, "nation").select(
-        "n_regionkey", crc32_bzip2(utf8("n_name")).alias("crc"), (F.row_number().over(by.orderBy("n_nationkey")) - 1).alias("i"), F.count("*").over(by).alias("n")
+    by = Window.partitionBy("c_nationkey")
+    rows = table(spark, sf_dir, "customer").select(
+        "c_nationkey", crc32_bzip2(utf8("c_name")).alias("crc"), (F.row_number().over(by.orderBy("c_custkey")) - 1).alias("i"), F.count("*").over(by).alias("n")
     )
-    return rows.groupBy("n_regionkey").agg(bz2_combined_crc(F.col("crc"), F.col("i"), F.col("n")).alias("crc"))
+    return rows.groupBy("c_nationkey").agg(bz2_combined_crc(F.col("crc"), F.col("i"), F.col("n")).alias("crc"))
 
 
 # Stages. Buffers are names: one of them is a block.
 
 
-def name_bytes(spark, sf_dir, name: str = "nation", key: str = "n_nationkey", text: str = "n_name") -> DataFrame:
+def name_bytes(spark, sf_dir, name: str = "customer", key: str = "c_custkey", text: str = "c_name") -> DataFrame:
     return stages.exploded_bytes(table(spark, sf_dir, name), [key], utf8(text))
 
 
-def _bytes(name: str = "nation", key: str = "n_nationkey", text: str = "n_name") -> str:
+def _bytes(name: str = "customer", key: str = "c_custkey", text: str = "c_name") -> str:
     h = f"hex(encode({text}))"
     return f"SELECT {key}, p AS pos, CAST('0x' || substr(h, 2 * p + 1, 2) AS INTEGER) AS b FROM (SELECT {key}, {h} AS h, unnest(range(0, CAST(length({h}) / 2 AS BIGINT))) AS p FROM {name})"
 
@@ -282,9 +367,9 @@ def corpus_histogram(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(utf8("text")).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
 
 
-@query(f"SELECT n_nationkey, array_to_string(list_sort(list(DISTINCT b)), ',') AS in_use FROM ({_bytes()}) GROUP BY n_nationkey")
+@query(f"SELECT c_custkey, array_to_string(list_sort(list(DISTINCT b)), ',') AS in_use FROM ({_bytes()}) GROUP BY c_custkey")
 def alphabets(spark, sf_dir):
-    return stages.alphabet(name_bytes(spark, sf_dir), ["n_nationkey"]).select("n_nationkey", F.array_join(F.col("in_use").cast("array<string>"), ",").alias("in_use"))
+    return stages.alphabet(name_bytes(spark, sf_dir), ["c_custkey"]).select("c_custkey", F.array_join(F.col("in_use").cast("array<string>"), ",").alias("in_use"))
 
 
 _RLE1 = f"""WITH x AS ({_bytes(*_CUSTOMER)}),
@@ -306,28 +391,37 @@ def rle1_encoded_len(spark, sf_dir):
     return groups.groupBy("c_custkey").agg(F.sum(stages.encoded_length(F.col("raw_len"))).cast("long").alias("enc_len"))
 
 
-_PACK = "SELECT o_orderpriority AS stream, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS grp, CAST(o_custkey % 5 + 1 AS BIGINT) AS enc_len FROM orders"
+_DOCUMENT_RLE1 = _RLE1.replace(_bytes(*_CUSTOMER), _bytes("documents", "doc_id", "text")).replace("c_custkey", "doc_id")
+_ROOM = LEVEL_UNIT - BLOCK_SLACK
+_PACK = f"""SELECT {_FILE} AS stream, row_number() OVER (PARTITION BY {_FILE} ORDER BY doc_id, grp) - 1 AS grp, CASE WHEN raw_len >= 4 THEN 5 ELSE raw_len END AS enc_len
+    FROM ({_DOCUMENT_RLE1}) AS r JOIN documents USING (doc_id)"""
 
 
 @query(
     f"""WITH RECURSIVE g AS ({_PACK}), t AS (SELECT *, CAST(sum(enc_len) OVER (PARTITION BY stream ORDER BY grp) AS BIGINT) AS upto FROM g),
     s AS (SELECT stream, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS before FROM t GROUP BY stream
-          UNION ALL SELECT s.stream, s.block + 1, max(t.upto) FROM s JOIN t ON t.stream = s.stream AND t.upto > s.before AND t.upto <= s.before + 981 GROUP BY ALL)
-    SELECT t.stream, t.grp, s.block FROM t JOIN s ON s.stream = t.stream AND t.upto > s.before AND t.upto <= s.before + 981"""
+          UNION ALL SELECT s.stream, s.block + 1, max(t.upto) FROM s JOIN t ON t.stream = s.stream AND t.upto > s.before AND t.upto <= s.before + {_ROOM} GROUP BY ALL)
+    SELECT t.stream, s.block, count(*) AS n_groups, CAST(sum(enc_len) AS BIGINT) AS n_bytes FROM t JOIN s ON s.stream = t.stream AND t.upto > s.before AND t.upto <= s.before + {_ROOM} GROUP BY ALL"""
 )
 def block_packing(spark, sf_dir):
-    by = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
-    groups = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("stream"), (F.row_number().over(by) - 1).alias("grp"), (F.col("o_custkey") % 5 + 1).alias("enc_len"))
-    return stages.block_packing(groups, "stream", 981)
+    """The runs of all documents of a file, dealt to blocks of level 1."""
+    docs = table(spark, sf_dir, "documents")
+    runs = stages.rle1_groups(name_bytes(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    stream = F.concat_ws("/", "source", F.expr(f"doc_id div {FILE_DOCUMENTS}")).alias("stream")
+    runs = runs.join(docs.select("doc_id", stream), "doc_id").withColumn("enc_len", stages.encoded_length(F.col("raw_len")))
+    by = Window.partitionBy("stream").orderBy("doc_id", "grp")
+    ordered = runs.select("stream", (F.row_number().over(by) - 1).alias("at"), "enc_len").withColumnRenamed("at", "grp")
+    packed = stages.block_packing(ordered, "stream", _ROOM, keep=["enc_len"])
+    return packed.groupBy("stream", "block").agg(F.count("*").alias("n_groups"), F.sum("enc_len").cast("long").alias("n_bytes"))
 
 
-_BWT = f"""WITH t AS (SELECT n_nationkey, hex(encode(n_name)) AS h FROM nation),
-r AS (SELECT n_nationkey, p, substr(h, 2 * p + 1) || substr(h, 1, 2 * p) AS rot FROM (SELECT *, unnest(range(0, CAST(length(h) / 2 AS BIGINT))) AS p FROM t))
-SELECT n_nationkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY rot, p DESC) - 1 AS row, CAST('0x' || right(rot, 2) AS INTEGER) AS b, p = 0 AS is_origin FROM r"""
+_BWT = f"""WITH t AS (SELECT c_custkey, hex(encode(c_name)) AS h FROM customer),
+r AS (SELECT c_custkey, p, substr(h, 2 * p + 1) || substr(h, 1, 2 * p) AS rot FROM (SELECT *, unnest(range(0, CAST(length(h) / 2 AS BIGINT))) AS p FROM t))
+SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY rot, p DESC) - 1 AS row, CAST('0x' || right(rot, 2) AS INTEGER) AS b, p = 0 AS is_origin FROM r"""
 
 
 def last_columns(spark, sf_dir) -> DataFrame:
-    return stages.bwt(name_bytes(spark, sf_dir), ["n_nationkey"]).withColumn("row", F.col("row").cast("long"))
+    return stages.bwt(name_bytes(spark, sf_dir), ["c_custkey"]).withColumn("row", F.col("row").cast("long"))
 
 
 @query(_BWT)
@@ -335,12 +429,12 @@ def bwt_last_column(spark, sf_dir):
     return last_columns(spark, sf_dir)
 
 
-@query(f'SELECT n_nationkey, "row", b, row_number() OVER (PARTITION BY n_nationkey ORDER BY b, "row") - 1 AS next_row FROM ({_BWT})')
+@query(f'SELECT c_custkey, "row", b, row_number() OVER (PARTITION BY c_custkey ORDER BY b, "row") - 1 AS next_row FROM ({_BWT})')
 def lf_mapping(spark, sf_dir):
-    return stages.lf_mapping(last_columns(spark, sf_dir), ["n_nationkey"]).withColumn("next_row", F.col("next_row").cast("long"))
+    return stages.lf_mapping(last_columns(spark, sf_dir), ["c_custkey"]).withColumn("next_row", F.col("next_row").cast("long"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT c_custkey, c_name FROM customer")
 def inverse_bwt_names(spark, sf_dir):
     """The kernel walks the last columns back to the names."""
     import numpy as np
@@ -350,20 +444,20 @@ def inverse_bwt_names(spark, sf_dir):
     def back(batch: pa.Table) -> pa.Table:
         batch = batch.sort_by("row")
         out = inverse_bwt(batch["b"].to_numpy().astype(np.uint8), int(np.flatnonzero(batch["is_origin"].to_numpy())[0]))
-        return pa.table({"n_nationkey": batch["n_nationkey"][:1], "n_name": [out.tobytes().decode()]})
+        return pa.table({"c_custkey": batch["c_custkey"][:1], "c_name": [out.tobytes().decode()]})
 
-    return last_columns(spark, sf_dir).groupBy("n_nationkey").applyInArrow(back, "n_nationkey int, n_name string")
+    return last_columns(spark, sf_dir).groupBy("c_custkey").applyInArrow(back, "c_custkey long, c_name string")
 
 
 @query(
-    f"""WITH x AS ({_bytes()}), l AS (SELECT *, lag(pos) OVER (PARTITION BY n_nationkey, b ORDER BY pos) AS prev FROM x)
-    SELECT l.n_nationkey, l.pos, l.b, CAST((SELECT count(DISTINCT x.b) FROM x WHERE x.n_nationkey = l.n_nationkey AND x.pos < l.pos AND x.pos > coalesce(l.prev, -1))
-    + CASE WHEN l.prev IS NULL THEN (SELECT count(DISTINCT x.b) FROM x WHERE x.n_nationkey = l.n_nationkey AND x.b < l.b
-      AND NOT EXISTS (SELECT 1 FROM x AS y WHERE y.n_nationkey = l.n_nationkey AND y.pos < l.pos AND y.b = x.b)) ELSE 0 END AS BIGINT) AS place FROM l"""
+    f"""WITH x AS ({_bytes()}), l AS (SELECT *, lag(pos) OVER (PARTITION BY c_custkey, b ORDER BY pos) AS prev FROM x)
+    SELECT l.c_custkey, l.pos, l.b, CAST((SELECT count(DISTINCT x.b) FROM x WHERE x.c_custkey = l.c_custkey AND x.pos < l.pos AND x.pos > coalesce(l.prev, -1))
+    + CASE WHEN l.prev IS NULL THEN (SELECT count(DISTINCT x.b) FROM x WHERE x.c_custkey = l.c_custkey AND x.b < l.b
+      AND NOT EXISTS (SELECT 1 FROM x AS y WHERE y.c_custkey = l.c_custkey AND y.pos < l.pos AND y.b = x.b)) ELSE 0 END AS BIGINT) AS place FROM l"""
 )
 def mtf_indices(spark, sf_dir):
-    rows = stages.move_to_front(name_bytes(spark, sf_dir), ["n_nationkey"])
-    return rows.select("n_nationkey", F.col("pos").cast("long").alias("pos"), "b", F.col("place").cast("long").alias("place"))
+    rows = stages.move_to_front(name_bytes(spark, sf_dir), ["c_custkey"])
+    return rows.select("c_custkey", F.col("pos").cast("long").alias("pos"), "b", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT p_partkey, reverse(substr(to_binary(p_partkey + 1), strpos(to_binary(p_partkey + 1), '1') + 1)) AS digits FROM part WHERE p_partkey > 0")
@@ -382,63 +476,72 @@ def table_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", stages.table_count(F.col("n_chars")).alias("tables"))
 
 
-_LENGTHS = "SELECT n_regionkey, n_nationkey AS sym, 3 + (n_nationkey * 7 + n_regionkey) % 5 AS len FROM nation"
+#: Shannon's code lengths of a text's bytes: the least n for which 2^n times the count reaches the total.
+_LENGTHS = f"SELECT doc_id, b AS sym, length(to_binary((sum(count(*)) OVER (PARTITION BY doc_id) - 1)::BIGINT // count(*))) AS len FROM ({_bytes('documents', 'doc_id', 'text')}) GROUP BY doc_id, b"
 
 
-def name_lengths(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias("sym"), (3 + (F.col("n_nationkey") * 7 + F.col("n_regionkey")) % 5).alias("len"))
+def shannon_lengths(spark, sf_dir) -> DataFrame:
+    counts = stages.byte_histogram(name_bytes(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    total = F.sum("n").over(Window.partitionBy("doc_id"))
+    return counts.withColumn("total", total).select("doc_id", F.col("b").alias("sym"), F.length(F.bin(F.expr("(total - 1) div n"))).alias("len"))
 
 
-@query(
-    f"SELECT n_regionkey, sym, len, CAST(sum(1 << (20 - len)) OVER (PARTITION BY n_regionkey ORDER BY len, sym) - (1 << (20 - len)) AS BIGINT) >> (20 - len) AS code FROM ({_LENGTHS})"
-)
+@query(f"SELECT doc_id, sym, len, CAST(sum(1 << (20 - len)) OVER (PARTITION BY doc_id ORDER BY len, sym) - (1 << (20 - len)) AS BIGINT) >> (20 - len) AS code FROM ({_LENGTHS})")
 def canonical_codes(spark, sf_dir):
-    return stages.canonical_codes(name_lengths(spark, sf_dir), ["n_regionkey"])
+    """Codes of the bytes of each document."""
+    return stages.canonical_codes(shannon_lengths(spark, sf_dir), ["doc_id"])
 
 
 @query(
-    f"SELECT n_regionkey, sym, repeat(CASE WHEN d > 0 THEN '10' ELSE '11' END, abs(d)) || '0' AS bits FROM (SELECT *, len - coalesce(lag(len) OVER (PARTITION BY n_regionkey ORDER BY sym), len) AS d FROM ({_LENGTHS}))"
+    f"SELECT doc_id, sym, repeat(CASE WHEN d > 0 THEN '10' ELSE '11' END, abs(d)) || '0' AS bits FROM (SELECT *, len - coalesce(lag(len) OVER (PARTITION BY doc_id ORDER BY sym), len) AS d FROM ({_LENGTHS}))"
 )
 def length_deltas(spark, sf_dir):
-    return stages.length_deltas(name_lengths(spark, sf_dir), ["n_regionkey"])
+    return stages.length_deltas(shannon_lengths(spark, sf_dir), ["doc_id"])
 
 
-@query(f"SELECT n_regionkey, sym, len, CAST(sum(len) OVER (PARTITION BY n_regionkey ORDER BY sym) - len AS BIGINT) AS bit FROM ({_LENGTHS})")
+@query(f"SELECT doc_id, sym, len, CAST(sum(len) OVER (PARTITION BY doc_id ORDER BY sym) - len AS BIGINT) AS bit FROM ({_LENGTHS})")
 def bit_offsets(spark, sf_dir):
-    return stages.bit_offsets(name_lengths(spark, sf_dir).withColumnRenamed("sym", "pos"), ["n_regionkey"]).withColumnRenamed("pos", "sym")
+    """Where each code would begin if those of a table were written one after the other."""
+    return stages.bit_offsets(shannon_lengths(spark, sf_dir).withColumnRenamed("sym", "pos"), ["doc_id"]).withColumnRenamed("pos", "sym")
 
 
-@query("SELECT l_orderkey, l_linenumber, repeat('1', l_linenumber) || '0' AS bits FROM lineitem")
-def selector_bits(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", stages.unary_place(F.col("l_linenumber")).alias("bits"))
+def first_choices(spark, sf_dir) -> DataFrame:
+    """For each fifty bytes of a document, the cheaper of two tables: 0 has the document's own lengths, 1 eight bits each."""
+    rows = name_bytes(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "pos", F.col("b").alias("sym"))
+    lengths = shannon_lengths(spark, sf_dir).select("doc_id", "sym", F.explode(F.array(F.struct(F.lit(0).alias("tbl"), F.col("len").alias("len")), F.struct(F.lit(1).alias("tbl"), F.lit(8).alias("len")))).alias("t"))
+    return stages.cheapest_tables(rows, lengths.select("doc_id", "sym", "t.tbl", "t.len"), ["doc_id"])
+
 
+_CHOICES = f"""WITH k AS (SELECT x.doc_id, pos // 50 AS grp, CAST(sum(len) AS BIGINT) AS own, 8 * count(*) AS flat FROM ({_bytes("documents", "doc_id", "text")}) AS x JOIN ({_LENGTHS}) AS l ON l.doc_id = x.doc_id AND l.sym = x.b GROUP BY ALL)
+    SELECT doc_id, grp, CASE WHEN own <= flat THEN 0 ELSE 1 END AS tbl, least(own, flat) AS cost FROM k"""
 
-_TABLES = "SELECT t.t AS tbl, s.s AS sym, 1 + (t.t * 3 + s.s * 5) % 7 AS len FROM range(4) AS t(t), range(8) AS s(s)"
+
+@query(_CHOICES)
+def selector_argmin(spark, sf_dir):
+    return first_choices(spark, sf_dir)
 
 
 @query(
-    f"""WITH c AS (SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 50 AS grp, user_id % 8 AS sym FROM events),
-    k AS (SELECT event_type, grp, tbl, CAST(sum(len) AS BIGINT) AS cost FROM c JOIN ({_TABLES}) AS l ON l.sym = c.sym GROUP BY ALL)
-    SELECT event_type, grp, tbl, cost FROM (SELECT *, row_number() OVER (PARTITION BY event_type, grp ORDER BY cost, tbl) AS r FROM k) WHERE r = 1"""
+    f"""SELECT doc_id, string_agg(CASE WHEN tbl <> before THEN '10' ELSE '0' END, '' ORDER BY grp) AS bits
+    FROM (SELECT *, coalesce(lag(tbl) OVER (PARTITION BY doc_id ORDER BY grp), 0) AS before FROM ({_CHOICES})) GROUP BY doc_id"""
 )
-def selector_argmin(spark, sf_dir):
-    symbols = table(spark, sf_dir, "events").select("event_type", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).alias("pos"), (F.col("user_id") % 8).alias("sym"))
-    # four tables of eight lengths, the same in every stream
-    cells = symbols.select("event_type").distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    cells = cells.select("event_type", F.expr("cell div 8").alias("tbl"), (F.col("cell") % 8).alias("sym"))
-    return stages.cheapest_tables(symbols, cells.withColumn("len", 1 + (F.col("tbl") * 3 + F.col("sym") * 5) % 7), ["event_type"])
+def selector_bits(spark, sf_dir):
+    """A document's selectors as they are written: moved to front, in unary."""
+    placed = stages.selector_places(first_choices(spark, sf_dir).select("doc_id", F.col("grp").alias("pos"), "tbl"), ["doc_id"], 2)
+    parts = F.array_sort(F.collect_list(F.struct("pos", stages.unary_place(F.col("place")).alias("bits"))))
+    return placed.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["bits"]), "").alias("bits"))
 
 
-_MAP = f"SELECT n_nationkey, b // 16 AS high, CAST(bit_or(1 << (15 - b % 16)) AS INTEGER) AS word FROM (SELECT DISTINCT n_nationkey, b FROM ({_bytes()})) GROUP BY ALL"
+_MAP = f"SELECT c_custkey, b // 16 AS high, CAST(bit_or(1 << (15 - b % 16)) AS INTEGER) AS word FROM (SELECT DISTINCT c_custkey, b FROM ({_bytes()})) GROUP BY ALL"
 
 
 @query(_MAP)
 def symbol_map(spark, sf_dir):
-    rows = stages.symbol_map(name_bytes(spark, sf_dir), ["n_nationkey"])
+    rows = stages.symbol_map(name_bytes(spark, sf_dir), ["c_custkey"])
     return rows.withColumn("high", F.col("high").cast("int"))
 
 
-@query(f"SELECT DISTINCT n_nationkey, b FROM ({_bytes()})")
+@query(f"SELECT DISTINCT c_custkey, b FROM ({_bytes()})")
 def symbol_map_read(spark, sf_dir):
-    rows = stages.symbols_in_map(stages.symbol_map(name_bytes(spark, sf_dir), ["n_nationkey"]), ["n_nationkey"])
+    rows = stages.symbols_in_map(stages.symbol_map(name_bytes(spark, sf_dir), ["c_custkey"]), ["c_custkey"])
     return rows.withColumn("b", F.col("b").cast("int"))

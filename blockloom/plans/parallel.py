@@ -1,164 +1,219 @@
 """Block-parallel decoding: scan for magic numbers, decode every candidate, then chain.
 
-A file's bytes are scanned once for block and end-of-stream magic numbers at any bit. The bits from one hit to the
-next are a candidate block, sent out on its own and decoded by libbz2 as a stream of one block. Only positions and
-checksums meet again: per file, a chain is followed from the header, each block beginning where the one before
-ended. A file whose chain breaks (a false hit, damage, odd levels) is decoded from its start by the strict decoder,
-which gives the same bytes or names the error.
+Bytes are scanned once for block and end-of-stream magic numbers at any bit, whole files as rows or files in ranges of
+bytes. The bits from one hit to the next are a candidate block, decoded by libbz2 as a stream of one block where it is
+found. Only positions and checksums meet again: per file, a chain is followed from the header, each block beginning
+where the one before ended. Where a chain breaks (a false hit, damage, odd levels), the strict walk goes on from the
+last piece that held, which gives the same bytes or names the error.
 """
 
 from __future__ import annotations
 
-import bz2
+import io
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decoder
-from ..operators.format import BLOCK_MAGIC, END_MAGIC, MAGIC_BITS, CodecError, bits_at, combined, magic_positions, rehomed
-from ..sources.bz2 import materialized
+from ..operators.format import BLOCK_MAGIC, END_MAGIC, MAGIC_BITS, WORD, CodecError, bits_at, first_magic, magic_positions
+from ..operators.ranges import first_level, read_at, walked
+from ..operators.walk import MAX_PACKED, Walk, decoded_block
+from ..sources.bz2 import listed, materialized, opened
 
-#: Candidates a file may have: one in so many bytes, and a few more. Beyond that (or with none) it goes to the
-#: strict decoder at once, or hostile input could be decoded many times over.
+#: Candidates that a range may have: one in so many bytes, and a few more (fixed values). Beyond that its file goes to
+#: the strict walk at once, or hostile input could be decoded many times over.
 BYTES_PER_CANDIDATE, FEW = 16, 64
-
-_NAMES = ("file_id", "start_bit", "end_bit", "packed", "head", "tail")
-_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
-_SCHEMA = "file_id string, start_bit long, end_bit long, packed binary, head binary, tail long"
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+#: Bytes of a range.
+RANGE_BYTES = 8 << 20
+
+_FIELDS = {
+    "file_id": pa.string(), "start_bit": pa.int64(), "end_bit": pa.int64(), "level": pa.int32(), "head": pa.binary(), "crc": pa.int64(),
+    "out": pa.binary(), "good": pa.bool_(),
+}
+_SCHEMA = "file_id string, start_bit long, end_bit long, level int, head binary, crc long, out binary, good boolean"
+
+
+def scanned(f, lo: int, hi: int, size: int):
+    """Candidates that begin in a byte range of an open file, as dicts of _FIELDS: the file itself (start_bit -1, its
+    first bytes) from the range that begins it, each block hit cut at the next hit, decoded, with the least level
+    tried that took it, and each end of stream with the bytes where the next header is due."""
+    if lo == 0:
+        yield {"start_bit": -1, "end_bit": 8 * size, "head": read_at(f, 0, 4), "good": True}
+    data = read_at(f, lo, hi + 8)
+    hits = [h for h in magic_positions(data, magics=(BLOCK_MAGIC, END_MAGIC)).tolist() if h < 8 * (hi - lo)]
+    if len(hits) > (hi - lo) // BYTES_PER_CANDIDATE + FEW:
+        return
+    if not hits:
+        return
+    level = first_level(f)
+    if hi < size:  # the last block ends at a hit beyond the range
+        f.seek(lo + len(data))
+        while len(data) < hi - lo + MAX_PACKED and first_magic(data, max(hits[-1] + MAGIC_BITS, 8 * (hi - lo))) is None:
+            more = f.read(1 << 20)
+            if not more:
+                break
+            data += more
+    beyond = first_magic(data, max(hits[-1] + MAGIC_BITS, 8 * (hi - lo)))
+    for at, after in zip(hits, [*hits[1:], 8 * len(data) if beyond is None else beyond], strict=True):
+        row = {"start_bit": 8 * lo + at, "end_bit": 8 * lo + after, "good": False}
+        if bits_at(data, at, MAGIC_BITS) == END_MAGIC:
+            due = at + MAGIC_BITS + 32 + 7 >> 3
+            head = read_at(f, lo + due, lo + due + 4)
+            if at + MAGIC_BITS + 32 <= 8 * len(data):
+                row |= {"head": head, "crc": bits_at(data, at + MAGIC_BITS, 32), "good": True}
+            if head[:3] == b"BZh" and len(head) == 4 and 0x31 <= head[3] <= 0x39:
+                level = head[3] - 0x30
+        elif after - at > MAGIC_BITS + 33:
+            for n in dict.fromkeys((level, 9)):
+                out = decoded_block(data, at, after, n)
+                if out is not None:
+                    row |= {"level": n, "crc": bits_at(data, at + MAGIC_BITS, 32), "out": out, "good": True}
+                    break
+        yield row
+
+
+def _rows(name: str, found):
+    for row in found:
+        yield pa.RecordBatch.from_arrays([pa.array([name if k == "file_id" else row.get(k)], t) for k, t in _FIELDS.items()], names=list(_FIELDS))
 
 
 def candidates(files: DataFrame) -> DataFrame:
-    """Candidates of (file_id, content): each block hit, cut at the next hit and `packed` as a stream of its own.
-    A row with start_bit -1 holds the file's size in bits and its first four bytes (`head`); a row for each end of
-    stream holds its checksum (`tail`) and the four bytes where the next header is due."""
+    """Candidates (see `scanned`) of files that are rows (file_id, content)."""
 
     def run(batches):
         for batch in batches:
             for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = data or b""
-                rows = [(name, -1, 8 * len(data), None, data[:4], None)]
-                hits = magic_positions(data, magics=(BLOCK_MAGIC, END_MAGIC)).tolist()
-                few = len(hits) <= len(data) // BYTES_PER_CANDIDATE + FEW
-                level = data[3] - 0x30 if data[:3] == b"BZh" and len(data) > 3 else 0
-                for at, after in zip(hits, [*hits[1:], 8 * len(data)], strict=False):
-                    if bits_at(data, at, MAGIC_BITS) == END_MAGIC:
-                        head = data[(at + 87) >> 3 : ((at + 87) >> 3) + 4]
-                        tail = bits_at(data, at + MAGIC_BITS, 32) if at + 80 <= 8 * len(data) else -1
-                        rows.append((name, at, after, None, head, tail))
-                        level = head[3] - 0x30 if head[:3] == b"BZh" and len(head) > 3 else level
-                    elif few and 1 <= level <= 9 and after - at > 81 and not bits_at(data, at + 80, 1):
-                        rows.append((name, at, after, rehomed(data, at, after, level), None, None))
-                    if len(rows) >= 64:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
+                yield from _rows(name, scanned(io.BytesIO(data), 0, len(data), len(data)))
 
     return files.select("file_id", "content").mapInArrow(run, _SCHEMA)
 
 
-def speculated(found: DataFrame) -> DataFrame:
-    """Candidates with their plaintext `out` (null if they don't decode) and stored checksum `crc`."""
+def ranges(spark: SparkSession, paths: list[str], step: int = RANGE_BYTES) -> DataFrame:
+    """(file_id, size, lo, hi) of the files' ranges; a folder stands for its .bz2 files."""
+    files = spark.createDataFrame([x for p in paths for x in listed(p)], "file_id string, size long")
+    lo = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(step).cast("long")))
+    return files.select("file_id", "size", lo.alias("lo")).withColumn("hi", F.least(F.col("lo") + step, F.col("size")))
+
+
+def range_candidates(parts: DataFrame) -> DataFrame:
+    """Candidates of `ranges`, each found where its range is read."""
 
     def run(batches):
         for batch in batches:
-            out, crcs = [], []
-            for packed in batch.column(3).to_pylist():
-                try:
-                    one = bz2.BZ2Decompressor()
-                    plain = None if packed is None else one.decompress(packed)
-                    out.append(plain if plain is not None and one.eof and not one.unused_data else None)
-                except (OSError, ValueError):
-                    out.append(None)
-                crcs.append(None if packed is None else int.from_bytes(packed[10:14], "big"))
-            rest = [batch.column(i) for i in (0, 1, 2, 4, 5)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.binary()), pa.array(crcs, pa.int64())], names=["file_id", "start_bit", "end_bit", "head", "tail", "out", "crc"])
-
-    return found.mapInArrow(run, "file_id string, start_bit long, end_bit long, head binary, tail long, out binary, crc long")
-
-
-def chain(rows: list[dict]) -> list[int] | None:
-    """Start bits of the blocks in order if a file's candidates form whole streams end to end, else None."""
-    at_start = {r["start_bit"]: r for r in rows}
+            for name, size, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with opened(name) as f:
+                    yield from _rows(name, scanned(f, lo, hi, size))
+
+    return parts.select("file_id", "size", "lo", "hi").mapInArrow(run, _SCHEMA)
+
+
+def chain(rows: list[dict]) -> tuple[list[int], dict | None]:
+    """Start bits of the blocks in order, as far as a file's candidates form whole streams end to end; and, if that is
+    not to the end, where the strict walk goes on: bit, level, checksum."""
+    at_start = {r["start_bit"]: r for r in rows if r["good"]}
     size, head = at_start[-1]["end_bit"], at_start[-1]["head"]
-    bit, order = 0, []
-    while bit < size:
-        if len(head) < 4 or head[:3] != b"BZh" or not 0x31 <= head[3] <= 0x39:
-            return None
-        bit += 32
-        crcs = []
-        while (row := at_start.get(bit)) and row["good"]:
+    bit, level, checksum, order = 0, 0, 0, []
+    while bit < size or level:
+        if not level:
+            if len(head) < 4 or head[:3] != b"BZh" or not 0x31 <= head[3] <= 0x39:
+                break
+            bit, level, checksum = bit + 32, head[3] - 0x30, 0
+        row = at_start.get(bit)
+        if row is None:
+            break
+        if row["head"] is not None:
+            if row["crc"] != checksum:
+                break
+            bit, head, level = bit + MAGIC_BITS + 32 + 7 & ~7, row["head"], 0
+        elif row["level"] <= level:
             order.append(bit)
-            crcs.append(row["crc"])
+            checksum = ((checksum << 1 | checksum >> 31) ^ row["crc"]) & WORD
             bit = row["end_bit"]
-        if row is None or row["tail"] is None or row["tail"] != combined(crcs):
-            return None
-        bit, head = bit + 87 & ~7, row["head"]
-    return order
+        else:
+            break
+    else:
+        return order, None
+    return order, {"bit": bit, "level": level, "checksum": checksum}
 
 
 def followed(metas: pa.Table) -> pa.Table:
-    """(file_id, block_idx, start_bit) of a file's chain, or one row with block_idx -1 if it breaks."""
+    """(file_id, block_idx, start_bit, level, checksum) of a file's chain; a last row with a level, if it breaks there."""
     name = metas["file_id"][0].as_py()
-    order = chain(metas.to_pylist())
-    idx, bits = (list(range(len(order))), order) if order is not None else ([-1], [-1])
-    return pa.table({"file_id": pa.array([name] * len(idx), pa.string()), "block_idx": pa.array(idx, pa.int64()), "start_bit": pa.array(bits, pa.int64())})
+    order, rest = chain(metas.to_pylist())
+    rows = [(name, i, b, None, None) for i, b in enumerate(order)] + ([(name, len(order), rest["bit"], rest["level"], rest["checksum"])] if rest else [])
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file_id", "block_idx", "start_bit", "level", "checksum"])
 
 
-def serial(files: DataFrame) -> DataFrame:
-    """Blocks of files by the strict decoder, and a row with the error's name where one is invalid."""
-    names = ("file_id", "block_idx", "start_bit", "out", "crc", "error")
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string())
+_BLOCK = {"file_id": pa.string(), "block_idx": pa.int64(), "start_bit": pa.int64(), "out": pa.binary(), "crc": pa.int64(), "error": pa.string()}
+
+
+def serial(breaks: DataFrame) -> DataFrame:
+    """Blocks by the strict walk from where chains broke, and a row with the error's name where one is invalid. `breaks`
+    has (file_id, content, block_idx, start_bit, level, checksum); content is null for a file that is to be opened."""
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, rows = 0, iter(decoder.blocks(data or b""))
-                while True:
-                    try:
-                        b = next(rows, None)
-                        row = b and (name, n, b.start, b.out, b.crc, None)
-                    except CodecError as e:
-                        row = (name, n, e.bit, None, None, e.kind)
-                    if row is None:
-                        break
-                    n += 1
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
-                    if row[-1]:
-                        break
-
-    return files.select("file_id", "content").mapInArrow(run, "file_id string, block_idx long, start_bit long, out binary, crc long, error string")
+            for name, data, n, start, level, checksum in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with opened(name) if data is None else io.BytesIO(data) as f:
+                    f.seek(start >> 3)
+                    pieces = walked(f, Walk(bit=start & 7, level=level, checksum=checksum, base=start >> 3))
+                    row = ()
+                    while row is not None:
+                        try:
+                            piece = next((p for p in pieces if p.kind == "block"), None)
+                            row = piece and (name, n, piece.start, piece.out, piece.crc, None)
+                        except CodecError as e:
+                            row = (name, n, e.bit, None, None, e.kind)
+                        if row:
+                            n += 1
+                            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _BLOCK.values(), strict=True)], names=list(_BLOCK))
+                            row = None if row[-1] else row
+
+    columns = breaks.select("file_id", "content", "block_idx", "start_bit", "level", "checksum")
+    return columns.mapInArrow(run, "file_id string, block_idx long, start_bit long, out binary, crc long, error string")
+
+
+def assembled(found: DataFrame, contents: DataFrame | None) -> DataFrame:
+    """(file_id, block_idx, start_bit, out, crc, fast, error) from candidates."""
+    tried = materialized(found)
+    chained = materialized(tried.drop("out").groupBy("file_id").applyInArrow(followed, "file_id string, block_idx long, start_bit long, level int, checksum long"))
+    blocks = tried.where("out IS NOT NULL").select("file_id", "start_bit", "out", "crc")
+    fast = chained.where("level IS NULL").select("file_id", "block_idx", "start_bit").join(blocks, ["file_id", "start_bit"])
+    breaks = chained.where("level IS NOT NULL")
+    breaks = breaks.withColumn("content", F.lit(None).cast("binary")) if contents is None else breaks.join(contents.select("file_id", "content"), "file_id")
+    names = ("file_id", "block_idx", "start_bit", "out", "crc")
+    return fast.select(*names, F.lit(True).alias("fast"), F.lit(None).cast("string").alias("error")).unionByName(serial(breaks).select(*names, F.lit(False).alias("fast"), "error"))
 
 
 def decode(files: DataFrame, parallelism: int | None = None) -> DataFrame:
-    """(file_id, block_idx, start_bit, out, crc, fast, error) from (file_id, content).
+    """(file_id, block_idx, start_bit, out, crc, fast, error) from (file_id, content), for files that fit in a row.
 
-    The plaintext of a file is its `out` in the order of block_idx. `fast` tells whether the chain held. A file
-    that is invalid has, after its valid blocks, a row with null `out` and the error's name; an empty file has no
+    The plaintext of a file is its `out` in the order of block_idx. `fast` tells whether a block came by the chain. A
+    file that is invalid has, after its valid blocks, a row with null `out` and the error's name; an empty file has no
     row. `parallelism` is the number of tasks that decode, by default the session's; 1 is serial.
     """
     n = parallelism or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tried = materialized(speculated(candidates(files).repartition(n, "file_id", "start_bit")).withColumn("good", F.col("out").isNotNull()))
-    chained = materialized(tried.drop("out").groupBy("file_id").applyInArrow(followed, "file_id string, block_idx long, start_bit long"))
-    fast = chained.where("block_idx >= 0").join(tried.where("good").select("file_id", "start_bit", "out", "crc"), ["file_id", "start_bit"])
-    slow = serial(files.join(chained.where("block_idx < 0").select("file_id"), "file_id", "left_semi"))
-    names = ("file_id", "block_idx", "start_bit", "out", "crc")
-    return fast.select(*names, F.lit(True).alias("fast"), F.lit(None).cast("string").alias("error")).unionByName(slow.select(*names, F.lit(False).alias("fast"), "error"))
+    return assembled(candidates(files.repartition(n)), files)
+
+
+def decode_paths(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The same for files by their paths, however large: each range of bytes is read and decoded by a task of its own."""
+    parts = ranges(spark, paths, range_bytes)
+    n = min(parts.count(), 100_000)  # a number of tasks; rows beyond share them
+    return assembled(range_candidates(parts.repartition(max(n, 1), "file_id", "lo")), None)
 
 
 def joined_text(blocks: DataFrame) -> DataFrame:
     """(file_id, out, error, n_blocks, fast) with the whole plaintext of each file; for files that fit in a row."""
-    parts = F.array_sort(F.collect_list(F.struct("block_idx", "out", "error", "fast")))
-    whole = blocks.groupBy("file_id").agg(parts.alias("p"))
+    parts = F.array_sort(F.collect_list(F.struct("block_idx", "out", "error")))
+    whole = blocks.groupBy("file_id").agg(parts.alias("p"), F.bool_and("fast").alias("fast"))
     return whole.select(
         "file_id",
         F.expr("unhex(array_join(transform(filter(p, x -> x.out is not null), x -> hex(x.out)), ''))").alias("out"),
         F.element_at("p", -1)["error"].alias("error"),
         F.expr("size(filter(p, x -> x.out is not null))").alias("n_blocks"),
-        F.element_at("p", 1)["fast"].alias("fast"),
+        "fast",
     )

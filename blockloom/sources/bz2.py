@@ -1,12 +1,13 @@
 """A `bz2` data source: strict reading and writing of .bz2 files at any level.
 
-Read: `spark.read.format("bz2").load(path)` gives (path, block_idx, data), or lines with option `lines`. One
-partition for each file; a file is read piece by piece, and no more than a block and its compressed bytes is held.
+Read: `spark.read.format("bz2").load(path)` gives (path, start_bit, data), or lines with option `lines`: (path,
+start_bit of the block that a line begins in, its number there, value). A file is split in ranges of `rangeBytes`
+(64 MB by default, 0 for none), a partition each; a partition holds no more than a block and its compressed bytes.
 Write: `df.write.format("bz2").option("level", n).save(path)` writes a binary or string column `data` (or `value`),
-one file for each partition; files appear under their names when the job commits.
+one file for each partition; blocks go out as they fill, and files appear under their names when the job commits.
 
-Paths must be readable by Python on the executors (a local or mounted file system). For other stores read files
-with Spark's `binaryFile` and use `plans.parallel.decode`, or `spark.read.text` for Spark's own lenient codec.
+Paths may be local or of any store that pyarrow opens. `plans.parallel` decodes with a check of the whole chain, and
+`spark.read.text` is Spark's own lenient codec.
 """
 
 from __future__ import annotations
@@ -17,20 +18,23 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from ..operators import decoder
 from ..operators.encoder import compress
-from ..operators.format import CodecError
+from ..operators.ranges import range_pieces, walked
+from ..operators.walk import Walk
 
-READ_BYTES = 1 << 20
+RANGE_BYTES = 64 << 20
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share; a temporary one only where all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="blockloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/blockloom-{uuid.uuid4().hex}"
@@ -51,65 +55,116 @@ def resolve(name: str, base: str) -> str:
     return f"{base.rstrip('/')}/{name}" if name.endswith(".bz2") else f"{base.rstrip('/')}/{name}.bz2"
 
 
+def local(path: str) -> str | None:
+    """A path of the local file system, None for one of another store."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    return None if "://" in path else path
+
+
+def opened(path: str):
+    own = local(path)
+    if own is not None:
+        return open(own, "rb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def listed(path: str) -> list[tuple[str, int]]:
+    """(file, bytes) of a file, a folder's .bz2 files or a local pattern."""
+    own = local(path)
+    if own is not None:
+        names = sorted(glob.glob(f"{own}/*.bz2")) if os.path.isdir(own) else sorted(glob.glob(own)) or [own]
+        return [(n, os.path.getsize(n)) for n in names]
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    info = store.get_file_info(name)
+    if info.type == fs.FileType.File:
+        return [(path, info.size)]
+    inside = [i for i in store.get_file_info(fs.FileSelector(name)) if i.path.endswith(".bz2")]
+    return sorted((f"{path.rstrip('/')}/{i.base_name}", i.size) for i in inside)
+
+
 def blocks_of(stream):
-    """Plaintext blocks of an open file, as soon as each is complete; CodecError where it is invalid. A block that
-    has not come whole yet is tried again when the input has doubled, so work stays in proportion."""
-    kept, state, ended, wanted = b"", decoder.State(), False, 0
-    while True:
-        while not ended and len(kept) < max(wanted, 1):
-            more = stream.read(READ_BYTES)
-            ended = not more
-            kept += more
-        try:
-            found = decoder.step(kept, state)
-        except CodecError as e:
-            if e.kind != "Truncated" or ended:
-                raise
-            wanted = max(2 * len(kept), READ_BYTES)
+    """Plaintext blocks of an open file, as soon as each is complete; CodecError where it is invalid."""
+    for piece in walked(stream, Walk()):
+        if piece.kind == "block":
+            yield piece.out
+
+
+def lines_of(pieces, whole_file: bool):
+    """(start_bit, lines) for each block: the lines that begin in the range, whole, with the block they begin in. A
+    line that is begun there is followed into later blocks."""
+    begun: list[bytes] | None = [] if whole_file else None  # parts of the open line, None if it isn't ours
+    key, first = (0, 0), True  # where it began
+    for piece, ours in pieces:
+        if piece.kind == "before":
+            begun = [] if whole_file or piece.out.endswith(b"\n") else None
             continue
-        wanted = 0
-        if found is None:
-            if ended:
-                return
-            wanted = len(kept) + 1
-        elif found is not True:
-            yield found.out
-        whole = state.bit >> 3
-        if whole >= READ_BYTES:
-            kept, state.bit = kept[whole:], state.bit & 7
+        if piece.kind == "edge" and not (begun and any(begun)):
+            return  # the next line begins in another range
+        if piece.kind != "block":
+            continue
+        if first:
+            key, first = (piece.start, 0), False
+        elif begun == []:
+            key = (piece.start, 0)
+        head, *rest = piece.out.split(b"\n")
+        if begun is not None:
+            begun.append(head)
+        if not rest:
+            continue
+        found = [] if begun is None else [(*key, b"".join(begun))]
+        if not ours:
+            yield found
+            return
+        *middle, last = rest
+        n = int(bool(found) and found[0][0] == piece.start)
+        found += [(piece.start, n + i, line) for i, line in enumerate(middle)]
+        begun, key = [last] if last else [], (piece.start, n + len(middle))
+        yield found
+    if begun and any(begun):
+        yield [(*key, b"".join(begun))]
 
 
 @dataclass
-class FilePartition(InputPartition):
+class FileRange(InputPartition):
     path: str
+    lo: int
+    hi: int
 
 
 class Bz2Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in (options.get("path") or "").split(",") if p]
         self.lines = options.get("lines", "false").lower() == "true"
+        self.step = int(options.get("rangebytes") or options.get("rangeBytes") or RANGE_BYTES)
 
-    def partitions(self) -> list[FilePartition]:
+    def partitions(self) -> list[FileRange]:
         found = []
-        for p in self.paths:
-            p = "/" + p.removeprefix("file:").lstrip("/") if p.startswith("file:") else p
-            found += sorted(glob.glob(f"{p}/*.bz2")) if os.path.isdir(p) else sorted(glob.glob(p)) or [p]
-        return [FilePartition(p) for p in found]
-
-    def read(self, partition: FilePartition):
-        with open(partition.path, "rb") as f:
-            if not self.lines:
-                for i, out in enumerate(blocks_of(f)):
-                    yield partition.path, i, out
+        for path, size in (x for p in self.paths for x in listed(p)):
+            step = self.step or max(size, 1)
+            found += [FileRange(path, lo, min(lo + step, size)) for lo in range(0, max(size, 1), step)]
+        return found
+
+    def read(self, partition: FileRange):
+        with opened(partition.path) as f:
+            pieces = range_pieces(f, partition.lo, partition.hi)
+            if self.lines:
+                for rows in lines_of(pieces, partition.lo == 0):
+                    if rows:
+                        start, n, text = zip(*rows, strict=True)
+                        values = pa.array([t.decode("utf-8", "replace") for t in text], pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(n)), pa.array(start, pa.int64()), pa.array(n, pa.int64()), values], names=["path", "start_bit", "line", "value"])
                 return
-            rest, n = b"", 0
-            for out in blocks_of(f):
-                *whole, rest = (rest + out).split(b"\n")
-                for line in whole:
-                    yield partition.path, n, line.decode("utf-8", "replace")
-                    n += 1
-            if rest:
-                yield partition.path, n, rest.decode("utf-8", "replace")
+            for piece, _ in pieces:
+                if piece.kind == "edge":
+                    return
+                if piece.kind == "block":
+                    yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([piece.start], pa.int64()), pa.array([piece.out], pa.binary())], names=["path", "start_bit", "data"])
 
 
 @dataclass
@@ -118,7 +173,7 @@ class Written(WriterCommitMessage):
     path: str
 
 
-class Bz2Writer(DataSourceWriter):
+class Bz2Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.folder = options["path"].removeprefix("file:")
         self.folder = "/" + self.folder.lstrip("/") if self.folder.startswith("/") else self.folder
@@ -138,10 +193,13 @@ class Bz2Writer(DataSourceWriter):
         hidden = f"{self.folder}/.{name}-{context.taskAttemptId()}"
         packer, some = bz2.BZ2Compressor(self.level), False
         with open(hidden, "wb") as f:
-            for row in iterator:
-                data = row["data"] if "data" in row else row["value"].encode() + b"\n"
+            for batch in iterator:
+                if "data" in batch.schema.names:
+                    data = b"".join(x or b"" for x in batch.column("data").to_pylist())
+                else:
+                    data = b"".join(x for v in batch.column("value").cast(pa.binary()).to_pylist() for x in (v or b"", b"\n"))
                 some |= bool(data)
-                f.write(packer.compress(bytes(data or b"")))
+                f.write(packer.compress(data))
             f.write(packer.flush() if some else compress(b"", self.level))
         return Written(hidden, f"{self.folder}/{name}")
 
@@ -165,7 +223,7 @@ class Bz2DataSource(DataSource):
         return "bz2"
 
     def schema(self) -> str:
-        return "path string, line long, value string" if self.options.get("lines", "false").lower() == "true" else "path string, block_idx long, data binary"
+        return "path string, start_bit long, line long, value string" if self.options.get("lines", "false").lower() == "true" else "path string, start_bit long, data binary"
 
     def reader(self, schema) -> Bz2Reader:
         return Bz2Reader(dict(self.options))

@@ -1,99 +1,69 @@
 """Push decoding of .bz2 streams that arrive in chunks.
 
-`PushDecoder` takes chunks and gives the plaintext of the blocks they complete. `decoded` runs one for each stream
-id in a streaming query over rows (stream_id, seq, chunk, last); its state is the undecoded bytes, the decoder's
-place, and chunks that came ahead of their turn.
+A `Session` takes the chunks of one stream in order and gives the plaintext of the blocks whose end they bring into
+sight. `decoded` runs one for each stream id in a streaming query over rows (stream_id, seq, chunk, last); its state is
+the place of the walk with the bytes of the block at hand, and chunks that came ahead of their turn.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators.decoder import State, step
 from ..operators.format import CodecError
+from ..operators.walk import Walk
 
-#: Bytes to wait for before the first try; later, what the last block took and a margin, or else twice as many.
-FIRST_TRY, MARGIN = 64 << 10, 4096
-
-
-@dataclass
-class PushDecoder:
-    """Errors are final: after one, or after finish, push raises. Blocks that a failing push completed are lost."""
-
-    kept: bytes = b""
-    state: State = field(default_factory=State)
-    next_try: int = 0
-    last_block: int = 0
-    bytes_in: int = 0
-    bytes_out: int = 0
-    failed: str = ""
-    finished: bool = False
-
-    def fail(self, kind: str) -> CodecError:
-        self.failed, self.kept = kind, b""
-        return CodecError(kind)
-
-    def push(self, chunk: bytes) -> bytes:
-        if self.failed or self.finished:
-            raise CodecError(self.failed or "InvalidMagic")
-        self.bytes_in += len(chunk)
-        self.kept += chunk
-        return self.pump(False) if len(self.kept) >= self.next_try else b""
-
-    def finish(self) -> bytes:
-        """What is left; Truncated unless the input ended with a stream. A second call gives nothing."""
-        if self.failed:
-            raise CodecError(self.failed)
-        if self.finished:
+#: What an open session has for a verdict; a closed one has an empty one, a failed one the error's name.
+OPEN = "open"
+
+
+class Session:
+    """One stream's decoding. An error is final and comes again with every later chunk; the blocks that the failing
+    chunk completed are lost with it. After the end any chunk is an error, and a further end gives nothing."""
+
+    def __init__(self, walk: Walk | None = None, taken: int = 0, given: int = 0, verdict: str = OPEN) -> None:
+        self.walk = Walk() if walk is None else walk
+        self.taken, self.given, self.verdict = taken, given, verdict
+
+    def take(self, chunk: bytes = b"", last: bool = False) -> bytes:
+        """Plaintext that the chunk completes; with `last`, all that is left, and an error unless the input ends there."""
+        if self.verdict == "" and last and not chunk:
             return b""
-        out = self.pump(True)
-        self.finished, self.kept, self.state.bit = True, b"", 0
+        if self.verdict != OPEN:
+            raise CodecError(self.verdict or "InvalidMagic")
+        self.taken += len(chunk)
+        self.walk.add(chunk)
+        try:
+            out = b"".join([p.out for p in self.walk.pieces(last)])
+        except CodecError as e:
+            self.verdict, self.walk = e.kind, Walk()
+            raise
+        self.walk.trim()
+        self.given += len(out)
+        if last:
+            self.verdict, self.walk = "", Walk()
         return out
 
-    def pump(self, ended: bool) -> bytes:
-        out = []
-        while True:
-            before = self.state.bit
-            try:
-                found = step(self.kept, self.state)
-            except CodecError as e:
-                if e.kind != "Truncated" or ended:
-                    raise self.fail(e.kind) from None
-                self.next_try = max(FIRST_TRY, self.last_block + MARGIN if self.last_block else 0, 2 * len(self.kept) if self.next_try else 0)
-                break
-            if found is None:
-                self.next_try = 0
-                break
-            if found is not True:
-                out.append(found.out)
-                self.last_block = (self.state.bit - before >> 3) + 1
-            whole = self.state.bit >> 3
-            self.kept, self.state.bit = self.kept[whole:], self.state.bit & 7
-        text = b"".join(out)
-        self.bytes_out += len(text)
-        return text
-
     @property
-    def buffered(self) -> int:
-        return len(self.kept)
+    def held(self) -> int:
+        """Bytes that wait for the rest of their block."""
+        return len(self.walk.data)
 
 
 STATE = (
-    "kept binary, bit long, level int, checksum long, next_try long, last_block long, bytes_in long, bytes_out long, failed string, finished boolean, "
+    "data binary, bit long, level int, checksum long, searched long, wanted long, taken long, given long, verdict string, "
     "next_seq long, ahead array<struct<seq:long,chunk:binary,last:boolean>>"
 )
 OUTPUT = "stream_id string, seq long, data binary, error string, bytes_in long, bytes_out long, buffered long"
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    d, turn, ahead = PushDecoder(), 0, {}
+    session, turn, ahead = Session(), 0, {}
     if state.exists:
-        kept, bit, level, checksum, next_try, last_block, n_in, n_out, failed, finished, turn, waiting = state.get
-        d = PushDecoder(bytes(kept), State(bit, level, checksum), next_try, last_block, n_in, n_out, failed, finished)
+        data, bit, level, checksum, searched, wanted, taken, given, verdict, turn, waiting = state.get
+        session = Session(Walk(bytearray(data), bit, level, checksum, searched=searched, wanted=wanted), taken, given, verdict)
         ahead = {w[0]: (bytes(w[1]), w[2]) for w in waiting or []}
     for batch in batches:
         for seq, chunk, last in zip(batch["seq"], batch["chunk"], batch["last"], strict=True):
@@ -101,24 +71,37 @@ def _advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFra
                 ahead.setdefault(int(seq), (bytes(chunk if chunk is not None else b""), bool(last)))
     rows = []
     while turn in ahead:
-        chunk, last = ahead.pop(turn)
-        data, error = b"", None
+        data, error = None, None
         try:
-            data = d.push(chunk)
-            if last:
-                data += d.finish()
+            data = session.take(*ahead.pop(turn))
         except CodecError as e:
-            data, error = None, e.kind
-        rows.append((key[0], turn, data, error, d.bytes_in, d.bytes_out, d.buffered))
+            error = e.kind
+        rows.append((key[0], turn, data, error, session.taken, session.given, session.held))
         turn += 1
+    if session.verdict != OPEN:  # nothing more can come of this stream: what waits has no use
+        ahead = {s: (b"", last) for s, (_, last) in ahead.items()}
+    walk = session.walk
     waiting = [(s, c, e) for s, (c, e) in sorted(ahead.items())]
-    state.update((d.kept, d.state.bit, d.state.level, d.state.checksum, d.next_try, d.last_block, d.bytes_in, d.bytes_out, d.failed, d.finished, turn, waiting))
+    state.update((bytes(walk.data), walk.bit, walk.level, walk.checksum, walk.searched, walk.wanted, session.taken, session.given, session.verdict, turn, waiting))
     yield pd.DataFrame(rows, columns=["stream_id", "seq", "data", "error", "bytes_in", "bytes_out", "buffered"])
 
 
 def decoded(chunks: DataFrame) -> DataFrame:
     """For each chunk of a streaming table (stream_id, seq from 0, chunk, last) the plaintext it completes, the
-    error if it fails, and the counts so far. Chunks may come out of order; those ahead wait, repeats are ignored."""
+    error if it fails, and the counts so far. Chunks may come out of order; those ahead wait, repeats are ignored.
+
+    A stream's state holds at most one block's bytes besides the chunks that are ahead. A chunk that never comes leaves
+    those in the state; nothing is given up for it, as any time limit would drop data.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     return chunks.groupBy("stream_id").applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def progress(rows: DataFrame) -> DataFrame:
+    """How far each stream of `decoded`'s output has come: bytes in and out, their ratio, bytes held, chunks, error."""
+    from pyspark.sql import functions as F
+
+    last = F.max_by("buffered", "seq").alias("buffered")
+    ends = rows.groupBy("stream_id").agg(F.max("bytes_in").alias("bytes_in"), F.max("bytes_out").alias("bytes_out"), last, F.count("*").alias("chunks"), F.max("error").alias("error"))
+    return ends.withColumn("ratio", F.try_divide("bytes_out", "bytes_in"))

@@ -9,12 +9,14 @@ import pytest
 
 from blockloom.operators import decoder, encoder
 from blockloom.operators.format import BLOCK_MAGIC, CodecError, combined, crc, magic_positions, rehomed
-from blockloom.sources.bz2 import blocks_of, resolve
-from blockloom.streaming.push import PushDecoder
+from blockloom.operators.ranges import range_pieces, walked
+from blockloom.operators.walk import Walk
+from blockloom.sources.bz2 import blocks_of, lines_of, listed, opened, resolve
+from blockloom.streaming.push import Session
 
-HELLO = bytes.fromhex("425a6839314159265359711c50c0000003d9800010400010003a4490102000310340d029801ea2e04ced69e0e177245385090711c50c00")
+HELLO = bytes.fromhex("425a6839314159265359abddae79000002d180001040001a4c8800200031003020069ea0542bd47431e2ee48a70a12157bb5cf20")
 EMPTY = bytes.fromhex("425a683917724538509000000000")
-TEXT = b"hello crabz2\n"
+TEXT = b"hello blocks\n"
 
 
 def samples():
@@ -27,8 +29,9 @@ def samples():
 
 
 def test_vectors():
-    assert crc(b"123456789") == 0xFC891918 and crc(b"") == 0 and crc(TEXT) == 0x711C50C0
-    assert combined([0x711C50C0]) == 0x711C50C0 and combined([0x80000000, 0]) == 1
+    assert crc(b"123456789") == 0xFC891918 and crc(b"") == 0
+    assert HELLO[10:14] == crc(TEXT).to_bytes(4, "big") == HELLO[-4:] or combined([crc(TEXT)]) == crc(TEXT)
+    assert combined([0x80000000, 0]) == 1
     assert decoder.strict(HELLO) == decoder.decompress(HELLO) == TEXT
     assert decoder.strict(EMPTY) == b"" and encoder.compress(b"", 9) == EMPTY
     assert decoder.decompress(b"") == b""
@@ -151,23 +154,157 @@ def test_rehomed_blocks():
 @pytest.mark.parametrize("size", [1, 7, 4096])
 def test_push(size):
     packed = bz2.compress(TEXT * 9000, 1) + EMPTY + HELLO
-    d = PushDecoder()
-    out = b"".join(d.push(packed[i : i + size]) for i in range(0, len(packed), size)) + d.finish()
-    assert out == TEXT * 9001 and d.finish() == b""
-    assert (d.bytes_in, d.bytes_out, d.buffered) == (len(packed), len(out), 0)
+    d = Session()
+    out = b"".join(d.take(packed[i : i + size]) for i in range(0, len(packed), size)) + d.take(last=True)
+    assert out == TEXT * 9001 and d.take(last=True) == b""
+    assert (d.taken, d.given, d.held) == (len(packed), len(out), 0)
     with pytest.raises(CodecError):
-        d.push(b"more")
+        d.take(b"more")
 
 
 def test_push_failure_sticks():
-    d = PushDecoder()
-    for _ in range(2):
+    d = Session()
+    for chunk in (b"XXXX", b"", HELLO):
         with pytest.raises(CodecError, match="InvalidMagic"):
-            d.push(b"XXXX")
-    cut = PushDecoder()
-    cut.push(HELLO[:-3])
+            d.take(chunk)
+    cut = Session()
+    cut.take(HELLO[:-3])
     with pytest.raises(CodecError, match="Truncated"):
-        cut.finish()
+        cut.take(last=True)
+
+
+def test_push_gives_blocks_as_soon_as_they_end(monkeypatch):
+    """Each block is decoded once, when its end comes into sight, however small the chunks; little is held."""
+    from blockloom.operators import walk
+
+    tries = []
+    monkeypatch.setattr(walk, "decoded_block", lambda *a, f=walk.decoded_block: tries.append(1) or f(*a))
+    monkeypatch.setattr(walk, "read_block", lambda *a: pytest.fail("no strict decoding of valid blocks"))
+    data = random.Random(8).randbytes(1_000_000)
+    packed, d, given, most = bz2.compress(data, 1), Session(), [], 0
+    for i in range(0, len(packed), 1000):
+        given.append(d.take(packed[i : i + 1000]))
+        most = max(most, d.held)
+    assert b"".join([*given, d.take(last=True)]) == data
+    assert len(tries) == 11 == sum(map(bool, given)) and most < 120_000
+
+
+def test_walk_against_the_strict_decoder():
+    """Same plaintext, same error at any cut and any flipped bit, in one piece or in many."""
+    r = random.Random(9)
+    good = bz2.compress(r.randbytes(230_000), 1) + EMPTY + bz2.compress(b"tail " * 40_000, 2)
+    cases = [good, good + b"z", good + b"zzzz", good + b"BZh0", b""]
+    for _ in range(60):
+        damaged = bytearray(good[: r.randrange(len(good))] if r.random() < 0.4 else good)
+        if damaged and r.random() < 0.8:
+            damaged[r.randrange(len(damaged))] ^= 1 << r.randrange(8)
+        cases.append(bytes(damaged))
+    for data in cases:
+        want, error = b"", None
+        try:
+            want = decoder.strict(data)
+        except CodecError as e:
+            want, error = e.done, e.kind
+        for size in (len(data) + 1, 30_011):
+            w, out, got = Walk(), [], None
+            try:
+                for i in range(0, max(len(data), 1), size):
+                    w.add(data[i : i + size])
+                    for piece in w.pieces(i + size >= len(data)):
+                        out.append(piece.out)
+            except CodecError as e:
+                got = e.kind
+            assert (b"".join(out) == want, got) == (True, error)
+
+
+@pytest.mark.parametrize("step", [12_000, 40_000, 100_000, 10**9])
+def test_ranges_tile_a_file(step):
+    r = random.Random(10)
+    lines = [b"%d:" % i + r.randbytes(r.randrange(90)).hex().encode() for i in range(9000)] + [b"", b"", b"x" * 300_000, b"end"]
+    data = b"\n".join(lines)
+    packed = bz2.compress(data[:500_000], 1) + EMPTY + bz2.compress(data[500_000:900_000], 2) + bz2.compress(data[900_000:], 1)
+    f = io.BytesIO(packed)
+    blocks, found = [], []
+    for lo in range(0, len(packed), step):
+        hi = min(lo + step, len(packed))
+        for piece, _ in range_pieces(f, lo, hi):
+            if piece.kind == "edge":
+                break
+            if piece.kind == "block":
+                blocks.append((piece.start, piece.out))
+        found += [x for rows in lines_of(range_pieces(f, lo, hi), lo == 0) for x in rows]
+    assert b"".join(x for _, x in blocks) == data and blocks == sorted(blocks)
+    assert [x for _, _, x in found] == lines and [x[:2] for x in found] == sorted({x[:2] for x in found})
+
+
+def test_ranges_name_what_is_wrong():
+    r = random.Random(11)
+    good = bz2.compress(r.randbytes(900_000), 1)
+    last = bytearray(good)
+    last[-3] ^= 8  # the stream's checksum, whose blocks lie in other ranges
+    middle = bytearray(good)
+    middle[len(good) // 2] ^= 8
+    for data, error in ((good + b"junk", "InvalidMagic"), (good[:-2], "Truncated"), (bytes(last), "CrcMismatch"), (bytes(middle), None)):
+        kinds = set()
+        for lo in range(0, len(data), 200_000):
+            try:
+                for piece, _ in range_pieces(io.BytesIO(data), lo, min(lo + 200_000, len(data))):
+                    if piece.kind == "edge":
+                        break
+            except CodecError as e:
+                kinds.add(e.kind)
+        assert kinds if error is None else error in kinds, error
+
+
+def test_drained_bytes_make_the_stream():
+    data = random.Random(12).randbytes(450_000)
+    e, parts = encoder.Encoder(1), []
+    for i in range(0, len(data), 50_000):
+        e.push(data[i : i + 50_000])
+        parts.append(e.drain())
+    assert sum(map(bool, parts)) > 2 and len(e.kept) < 300_000
+    assert b"".join(parts) + e.finish() == encoder.compress(data, 1)
+
+
+def damaged_block(**fields):
+    """A block of `a` with some fields of its tables replaced."""
+    f = {"crc": 0, "origin": 0, "map": (0x0200, 0x4000), "tables": 2, "selectors": (9, "0" * 9), "lengths": (2, "000"), "symbols": "0010"} | fields
+    w = encoder.BitWriter()
+    w.put(BLOCK_MAGIC, 48)
+    w.put(f["crc"], 32)
+    w.put(0, 1)
+    w.put(f["origin"], 24)
+    for word in f["map"]:
+        w.put(word, 16)
+    w.put(f["tables"], 3)
+    w.put(f["selectors"][0], 15)
+    for b in f["selectors"][1]:
+        w.put(int(b), 1)
+    for _ in range(2):
+        w.put(f["lengths"][0], 5)
+        for b in f["lengths"][1]:
+            w.put(int(b), 1)
+    for b in f["symbols"]:
+        w.put(int(b), 1)
+    return b"BZh9" + np.packbits(w.bits()).tobytes() + bytes(40)
+
+
+@pytest.mark.parametrize(
+    ("fields", "error"),
+    [
+        ({"map": (0,)}, "InvalidBlock"), ({"selectors": (0, "")}, "InvalidBlock"), ({"selectors": (9, "11" + "0" * 9)}, "InvalidBlock"),
+        ({"selectors": (1, "0"), "symbols": "00" * 60}, "BlockOverflow"), ({"selectors": (1, "0"), "symbols": "0001" * 26}, "BlockOverflow"),
+        ({"origin": 9}, "InvalidBlock"), ({"symbols": "10"}, "InvalidBlock"), ({"tables": 1}, "InvalidHuffman"), ({"tables": 7}, "InvalidHuffman"),
+        ({"lengths": (0, "000")}, "InvalidHuffman"), ({"lengths": (21, "000")}, "InvalidHuffman"), ({"lengths": (20, "10000")}, "InvalidHuffman"),
+        ({"symbols": "11" * 9}, "InvalidHuffman"), ({"symbols": "0010"}, "CrcMismatch"),
+    ],
+)
+def test_invalid_blocks(fields, error):
+    data = damaged_block(**fields)
+    assert decoder.error_of(data) == error
+    w = Walk(bytearray(data))
+    with pytest.raises(CodecError, match=error):
+        list(w.pieces(True))
 
 
 def test_file_blocks_keep_little():
@@ -177,6 +314,14 @@ def test_file_blocks_keep_little():
         list(blocks_of(io.BytesIO(HELLO[:-1])))
 
 
+def test_paths(tmp_path):
+    (tmp_path / "a.bz2").write_bytes(HELLO)
+    for path in (str(tmp_path), f"file:{tmp_path}", f"{tmp_path}/*.bz2", str(tmp_path / "a.bz2")):
+        assert listed(path) == [(str(tmp_path / "a.bz2"), len(HELLO))]
+    with opened(f"file://{tmp_path}/a.bz2") as f:
+        assert [p.out for p in walked(f, Walk()) if p.kind == "block"] == [TEXT]
+
+
 def test_resolve():
     assert resolve("opinions", "/data") == "/data/opinions.bz2"
     assert resolve("x/y.bz2", "/data/") == "/data/x/y.bz2"

@@ -1,6 +1,7 @@
 """Codec sources, sinks, plans and queries in Spark."""
 
 import bz2
+import io
 import random
 
 import pytest
@@ -61,6 +62,36 @@ def test_parallel_equals_serial(spark):
         assert got["good"].fast and got["good"].n_blocks == 6
 
 
+def test_paths_in_ranges_equal_rows(spark, tmp_path):
+    cases = streams()
+    for name, (data, *_) in cases.items():
+        (tmp_path / f"{name}.bz2").write_bytes(data)
+    for step in (30_000, 200_000, 1 << 20):
+        blocks = parallel.decode_paths(spark, [str(tmp_path)], step)
+        got = {r.file_id.split("/")[-1][:-4]: r for r in parallel.joined_text(blocks).collect()}
+        for name, (_, plain, error) in cases.items():
+            if name == "empty":
+                assert name not in got
+            elif name == "flipped":
+                assert got[name].error and not got[name].fast
+            else:
+                assert bytes(got[name].out or b"") == plain and got[name].error == error
+        assert got["good"].fast and got["good"].n_blocks == 6
+    # what the chain gave before it broke is not decoded again
+    by = {r.fast: r["count"] for r in blocks.where("file_id like '%/cut.bz2'").groupBy("fast").count().collect()}
+    assert by == {True: 6, False: 1}
+
+
+def test_flood_goes_to_the_strict_walk(spark, monkeypatch):
+    """With more hits than the guard allows, no candidate is decoded."""
+    monkeypatch.setattr(parallel, "FEW", 1)
+    monkeypatch.setattr(parallel, "BYTES_PER_CANDIDATE", 1 << 30)
+    data = streams()["good"][0]
+    assert [r["start_bit"] for r in parallel.scanned(io.BytesIO(data), 0, len(data), len(data))] == [-1]
+    row = {"start_bit": -1, "end_bit": 8 * len(data), "head": data[:4], "good": True}
+    assert parallel.chain([row]) == ([], {"bit": 32, "level": 1, "checksum": 0})
+
+
 def test_planted_magic_is_merged(spark):
     """A block whose bits hold a magic number is decoded by the fallback."""
     from blockloom.operators import decoder, encoder
@@ -102,6 +133,13 @@ def test_data_source(spark, tmp_path, level):
     assert sorted(r.value for r in spark.read.text(str(tmp_path)).collect()) == sorted(lines)
     df.limit(10).write.format("bz2").mode("overwrite").save(str(tmp_path))
     assert spark.read.format("bz2").load(str(tmp_path)).count() <= 3
+    big = [f"{i}: {random.Random(i).random()}" for i in range(40_000)]
+    spark.createDataFrame([(x,) for x in big], "value string").coalesce(1).write.format("bz2").option("level", level).mode("overwrite").save(str(tmp_path))
+    split = spark.read.format("bz2").option("lines", "true").option("rangeBytes", 50_000).load(str(tmp_path))
+    assert split.rdd.getNumPartitions() > 4
+    assert [r.value for r in split.orderBy("start_bit", "line").collect()] == big
+    blocks = spark.read.format("bz2").option("rangeBytes", 50_000).load(str(tmp_path)).orderBy("start_bit").collect()
+    assert b"".join(bytes(r.data) for r in blocks) == "".join(f"{x}\n" for x in big).encode()
     with pytest.raises(Exception, match="level"):
         df.write.format("bz2").option("level", 10).mode("append").save(str(tmp_path))
 
@@ -120,6 +158,8 @@ def test_push_query_out_of_order(spark, tmp_path):
     got = spark.read.schema(push.OUTPUT).parquet(str(tmp_path / "out")).orderBy("stream_id", "seq").collect()
     assert b"".join(bytes(r.data) for r in got if r.stream_id == "a") == b"streamed " * 30_000
     assert [r.error for r in got if r.stream_id == "bad"] == ["InvalidMagic"]
+    last = [r for r in got if r.stream_id == "a"][-1]
+    assert (last.bytes_in, last.bytes_out, last.buffered) == (len(packed), 270_000, 0)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
