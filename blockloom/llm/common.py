@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -20,15 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and all run on
+    one machine."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="blockloom-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Tables that saved() wrote and that were not dropped, oldest first.
+_TABLES: list[DataFrame] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: later stages don't recompute it, and a lost
     executor costs no more than a reread."""
@@ -37,6 +44,16 @@ def saved(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._blockloom_path = path
+    _TABLES.append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """make() as a saved table; the tables that were saved on the way to it are dropped."""
+    before = set(map(id, _TABLES))
+    out = saved(make())
+    for df in [t for t in _TABLES if id(t) not in before and t is not out]:
+        dropped(df)
     return out
 
 
@@ -44,6 +61,7 @@ def dropped(df: DataFrame) -> None:
     """Delete the files of a saved() table that no later plan reads."""
     path = getattr(df, "_blockloom_path", None)
     if path:
+        _TABLES[:] = [t for t in _TABLES if t is not df]
         jvm, spark = df.sparkSession._jvm, df.sparkSession
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, raw_texts, saved, sliced
+from .common import dropped, partitions, raw_texts, saved, sliced
 from .components import components
 from .simhash import groups, shingle_hashes, simhash
 
@@ -40,7 +40,7 @@ _RANDOM = np.random.default_rng(42)
 XORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 ODDS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 #: Nodes of a key that are compared at once; a key with more is dealt to blocks of about so many.
-BLOCK = 2_048
+BLOCK = 512
 #: Shingle sets that a task keeps.
 KEPT_SETS = 4_096
 SHINGLES_AT_ONCE = 2_048
@@ -193,32 +193,41 @@ def centred(nodes: DataFrame) -> DataFrame:
     return ordered(member.join(centre, "group").where("fp <> v").select(F.col("fp").alias("u"), "v"))
 
 
-def across(nodes: DataFrame, found: DataFrame) -> DataFrame:
+def meeting(nodes: DataFrame) -> DataFrame:
+    """(key, fp): the nodes under each key that more than one has, which are few of all."""
+    keys = nodes.select("fp", F.explode("bands").alias("key"))
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+
+
+def across(met: DataFrame, found: DataFrame) -> DataFrame:
     """(u, v): for each group that meets a larger one as the largest under a key, the two nodes of them that meet under
     most keys. Sizes tie by a hash, so that the keys of a group agree on one other."""
-    own = rooted(nodes.select("fp", "bands"), found)
+    own = saved(rooted(met.select("fp").distinct(), found))
     sizes = own.groupBy("root").agg(F.count("*").alias("n"))
-    keys = own.join(sizes, "root").select("fp", "root", "n", F.explode("bands").alias("key"))
+    keys = saved(met.join(own.join(sizes, "root"), "fp"))
     most = F.max(F.struct("n", F.xxhash64("root").alias("h"), "root", F.xxhash64("fp").alias("i"), "fp")).alias("first")
     first = keys.groupBy("key").agg(most, F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    met = keys.select("key", "fp", "root").join(first.select("key", F.col("first.root").alias("to"), F.col("first.fp").alias("v")), "key").where("root <> to")
-    shared = met.groupBy("root", "to", "fp", "v").agg(F.count("*").alias("n"))
+    pairs = keys.select("key", "fp", "root").join(first.select("key", F.col("first.root").alias("to"), F.col("first.fp").alias("v")), "key").where("root <> to")
+    shared = pairs.groupBy("root", "to", "fp", "v").agg(F.count("*").alias("n"))
     return ordered(shared.groupBy("root", "to").agg(F.max_by(F.struct(F.col("fp").alias("u"), "v"), F.struct("n", "fp", "v")).alias("pair")).select("pair.*"))
 
 
-def apart(nodes: DataFrame, found: DataFrame, texts_of) -> DataFrame:
+def apart(nodes: DataFrame, met: DataFrame, found: DataFrame, texts_of) -> DataFrame:
     """(u, v): links among nodes that meet under a key and are in different groups."""
-    own = saved(rooted(nodes.select("fp", "bands", "signature"), found))
-    keys = own.select("fp", "root", F.explode("bands").alias("key"))
+    keys = saved(met.join(rooted(met.select("fp").distinct(), found), "fp"))
     ends = keys.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b")
     split = ends.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    left = saved(keys.join(split, "key").select("key", "fp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("part"), "blocks"))
+    left = saved(keys.join(split, "key").select("key", "fp", "root", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("part"), "blocks"))
     # a row goes to each pair that its block is in
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "fp", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    rows = dealt.join(own.join(texts_of(left.select("fp").distinct()), "fp"), "fp").select("key", "low", "high", "fp", "root", "bands", "signature", "part", "text")
-    met = rows.repartition(partitions(nodes.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return saved(met.mapInArrow(_apart, "u long, v long").distinct())
+    dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "fp", "root", "part")
+    texts = texts_of(left.select("fp").distinct())
+    rows = dealt.join(texts.join(nodes.select("fp", "bands", "signature"), "fp"), "fp").select("key", "low", "high", "fp", "root", "bands", "signature", "part", "text")
+    spread = rows.repartition(partitions(nodes.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    links = saved(spread.mapInArrow(_apart, "u long, v long").distinct())
+    for df in (keys, left, texts):
+        dropped(df)
+    return links
 
 
 def links(docs: DataFrame, fps: DataFrame, key: dict[str, Column], text_col: str = "text") -> DataFrame:
@@ -234,8 +243,16 @@ def links(docs: DataFrame, fps: DataFrame, key: dict[str, Column], text_col: str
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs)
-        return links_among(pairs, texts_of(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()))
+        texts = texts_of(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct())
+        found = links_among(pairs, texts)
+        for df in (pairs, texts):
+            dropped(df)
+        return found
 
+    met = saved(meeting(nodes))
     found = checked(centred(nodes))
-    found = saved(found.unionByName(checked(across(nodes, found))))
-    return found.unionByName(apart(nodes, found, texts_of))
+    found = saved(found.unionByName(checked(across(met, found))))
+    rest = apart(nodes, met, found, texts_of)
+    for df in (nodes, met):
+        dropped(df)
+    return found.unionByName(rest)

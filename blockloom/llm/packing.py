@@ -15,7 +15,9 @@ taken where it needs fewer sequences.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -30,21 +32,31 @@ from pyspark.sql import types as T
 from .common import partitions, raw_texts, saved, sliced
 
 #: A worker keeps the words of its last one or two times so many new ones.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 400_000
 LONG_WORD = 256
 #: How the vocabulary marks a word's last token (fixed value).
 WORD_END = "</w>"
+#: The pattern by which a tokenizer of this kind cuts words in parts (fixed value).
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for ASCII in lower case.
+ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Signs that end a word as one part (no apostrophe, which may begin one).
+TAIL = b".,;:!?)]}$%&*#"
+#: Letters whose lower case has no mark of its own; words of these and ASCII are cut here, all others by the library.
+PLAIN = re.compile("[\x21-\x7f\xa1-\u012f\u0131-\u024f]+")
 
 
 class WordTokenizer:
     """Token ids of texts by a tokenizer whose tokens never reach across ASCII white space.
 
-    Texts are cut at white space; the library encodes each distinct word once, and a document is the
-    concatenation of its words' ids, held as little-endian 32-bit integers.
+    Texts are cut at white space, and words in the parts that the tokenizer takes by themselves; the library encodes
+    each distinct part once, and a document is the concatenation of its words' ids, held as little-endian 32-bit
+    integers.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,50 +65,65 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
+        cuts = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
+        self.known_parts = cuts.get("pattern") == {"Regex": PARTS} and cuts.get("behavior") == "Removed"
+        self.parts = regex.compile(PARTS)
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """By the library itself, many words to a line; words of letters end in tokens that are told by the
-        vocabulary's mark, all others are encoded one by one."""
-        texts = [w.decode() for w in words]
-        lines = [[t for t in texts[i : i + 500] if t.isalpha()] for i in range(0, len(texts), 500)]
-        known: dict[str, bytes] = {}
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+    def look_up(self, words: list[bytes]) -> None:
+        """Puts words in the cache by the library itself, many to a line; words of letters end in tokens that are told
+        by the vocabulary's mark, all others are encoded one by one."""
+        letters = [w for w in words if w.isalpha() or w.decode().isalpha()]
+        lines = [letters[i : i + 500] for i in range(0, len(letters), 500)]
+        rest = [w for w in words if not (w.isalpha() or w.decode().isalpha())] if len(letters) < len(words) else []
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else ids
             if len(ends) == len(line):
                 raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                known.update((t, raw[a:b]) for t, a, b in zip(line, at, at[1:], strict=False))
-        rest = [t for t in texts if t not in known]
+                self.cache.update(zip(line, map(raw.__getitem__, map(slice, at, at[1:]))))
+            else:
+                rest += line
         for i in range(0, len(rest), 5_000):
             part = rest[i : i + 5_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(part, found, strict=True))
-        return [known[t] for t in texts]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+
+    def cut(self, word: bytes) -> list[bytes] | tuple[bytes, ...]:
+        """The parts of a word that the tokenizer takes by themselves; the word where the library has to cut it."""
+        core = word.rstrip(TAIL)
+        if core and (core.isalpha() or core.decode().isalpha()):
+            return (core, word[len(core) :]) if len(core) < len(word) else (word,)
+        if b"<|" in word:
+            return (word,)
+        if word.isascii():
+            return ASCII_PARTS.findall(word)
+        text = word.decode()
+        return [x.encode() for x in self.parts.findall(text)] if PLAIN.fullmatch(text) else (word,)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        # the vocabulary is of lower case; marks of special tokens are told by case, so such texts stay as they are
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        # the vocabulary is of lower case; marks of special tokens are told by case, so words with one stay as they are
+        words = [[w if b"<|" in w else w.lower() for w in t.split()] if b"<|" in t else t.lower().split() for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.old, self.cache = self.cache, {}
-        cache = self.cache
-        new = set().union(*words) - cache.keys()
-        seen = new & self.old.keys()
-        cache.update((w, self.old[w]) for w in seen)
+        cache, old = self.cache, self.old
+        new = set().union(*words).difference(cache)
+        seen = old.keys() & new
+        cache.update(zip(seen, map(old.__getitem__, seen)))
         new -= seen
-        # letters before a last stop or comma are a word of their own
-        ended = {w for w in new if w[-1:] in b".," and w[:-1].isalpha()}
-        plain = [*(new - ended), *({w[:-1] for w in ended} | ({b".", b","} if ended else set())) - cache.keys() - new]
-        cache.update(zip(plain, self.ids(plain), strict=True))
-        cache.update((w, cache[w[:-1]] + cache[w[-1:]]) for w in ended)
+        mixed = {w: p for w in new if not w.isalpha() and len(p := self.cut(w)) > 1} if self.known_parts else {}
+        wanted = new.difference(mixed).union(*mixed.values()).difference(cache)
+        seen = old.keys() & wanted
+        cache.update(zip(seen, map(old.__getitem__, seen)))
+        self.look_up(list(wanted - seen))
+        cache.update({w: b"".join([cache[x] for x in p]) for w, p in mixed.items()})
         out = [b"".join(map(cache.__getitem__, w)) for w in words]
-        for w in [w for w in new if len(w) > LONG_WORD]:  # not worth keeping
+        for w in [w for w in new | wanted if len(w) > LONG_WORD]:  # not worth keeping
             del cache[w]
         return out
 
 
-
 # One tokenizer for all tasks of a worker.
 @functools.cache
 def tokenizer_of(path: str) -> WordTokenizer:

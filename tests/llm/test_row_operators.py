@@ -59,7 +59,11 @@ def test_bpe_query(spark, edge_docs, edge_rows, no_docs):
 
 
 def test_word_tokenizer_kernel():
-    w, t, texts = packing.WordTokenizer(WORD), library(WORD), fuzzed(3000)
+    r = random.Random(21)
+    letters = [chr(c) for c in range(0x21, 0x260)] + list("\u0307\u0345Ωπ漢‐…")
+    odd = ["".join(r.choice(letters if r.random() < 0.4 else "abcXYZ'.,-123 ") for _ in range(r.randint(1, 12))) for _ in range(6000)]
+    odd += ["it's", "'sound", "don't", "they'RE", "!!'s", "x'y'll", "4821", "a1b2", "<|endoftext|>", "x<|y", "İi", "ªº²"]
+    w, t, texts = packing.WordTokenizer(WORD), library(WORD), fuzzed(3000) + odd
     got = [np.frombuffer(x, "<u4").tolist() for x in w.encode([x.encode() for x in texts])]
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
