@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import jaccard, langid, packing, quality, secrets, simhash
-from blockloom.llm.common import free, saved, table
+from blockloom.llm.common import dropped, free, saved, settled, table
 
 #: A document goes if it is less like its language than this (0 to 1); prose scores 0.5 to 0.9.
 LEAST_LIKENESS = 0.3
@@ -95,5 +95,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
