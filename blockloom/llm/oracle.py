@@ -69,7 +69,7 @@ jc AS (SELECT id, ref, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p +
 jw AS (SELECT id, ref, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS far FROM pw GROUP BY ALL),
 v AS (SELECT b.id, bool_or((b.word_chars < {quality.MIN_CHARACTERS} OR jc.far <= {c0} + {c1} / sqrt(b.word_chars)) AND (b.n_words < {quality.MIN_WORDS_COMPARED} OR jw.far <= {w0} + {w1} / sqrt(b.n_words))) AS near
     FROM b JOIN jc USING (id) JOIN jw ON jw.id = b.id AND jw.ref = jc.ref WHERE NOT b.base_failed GROUP BY b.id)
-SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(near, NOT EXISTS (SELECT 1 FROM good)) AS kept
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (coalesce(near, NOT EXISTS (SELECT 1 FROM good)) OR (lang IS NOT NULL AND lang NOT IN (SELECT lang FROM good))) AS kept
 FROM b LEFT JOIN v USING (id)"""
 
 

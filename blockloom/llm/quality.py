@@ -31,7 +31,8 @@ COMMON = {
 WORDS = sorted({w for words in COMMON.values() for w in words})
 #: One character for each common word.
 MARKS = "".join(chr(0x41 + i) for i in range(len(WORDS)))
-#: Character classes: each is what a pattern leaves out. The rest is other letters and marks.
+#: Character classes: each is what a pattern leaves out (white space is what the words leave). The rest is other
+#: letters and marks.
 CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "white": f"{WHITE}+", "stop": "[.,;:!?'\"()-]+", "symbol": f"{SYMBOLS}+"}
 
 MIN_WORDS = 50
@@ -55,23 +56,25 @@ def without(text: Column, pattern: str) -> Column:
 
 
 def repeated_words(words: Column, n: int = 3) -> Column:
-    """Number of words in windows of n words that are found twice or more."""
-    hashed = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))),
-        lambda w, i: F.struct(F.xxhash64(w, *(F.get(words, i + k) for k in range(1, n))).alias("h"), i.alias("i")),
-    )
+    """Number of words in windows of n words that are found twice or more. Places are only sorted by hash where some
+    hash occurs twice."""
+    windows = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    hashed = F.transform(windows, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, n))))
 
     def starts(pairs: Column) -> Column:
         at = lambda i: F.get(pairs, i)["h"]
         twice = F.filter(pairs, lambda p, k: F.coalesce(p["h"] == at(k - 1), F.lit(False)) | F.coalesce(p["h"] == at(k + 1), F.lit(False)))
         return F.sort_array(F.transform(twice, lambda p: p["i"]))
 
-    covered = F.aggregate(
-        let(F.sort_array(hashed), starts),
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-        lambda acc, i: F.struct((acc["n"] + n - F.greatest(acc["end"] - i, F.lit(0))).alias("n"), (i + n).alias("end")),
-    )
-    return covered["n"].cast("long")
+    def covered(hashes: Column) -> Column:
+        places = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.aggregate(
+            let(F.sort_array(places), starts),
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+            lambda acc, i: F.struct((acc["n"] + n - F.greatest(acc["end"] - i, F.lit(0))).alias("n"), (i + n).alias("end")),
+        )["n"]
+
+    return let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -91,21 +94,21 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     of CLASSES and the rest) and common (a string, see common_marks)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def measure(t: Column) -> Column:
-        counts = [without(t, p).cast("long") for p in CLASSES.values()]
-        return let(
-            words_of(t),
-            lambda w: F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-                duplicate_lines(t).alias("n_dup_lines"),
-                repeated_words(w).alias("n_repeat_words"),
-                F.array(*counts).alias("classes"),
-                F.length(t).cast("long").alias("length"),
-                common_marks(w).alias("common"),
-            ),
+    def counted(t: Column, w: Column, word_chars: Column) -> Column:
+        classes = [F.length(t) - word_chars if name == "white" else without(t, p) for name, p in CLASSES.items()]
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            word_chars.cast("long").alias("word_chars"),
+            duplicate_lines(t).alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+            F.array(*(c.cast("long") for c in classes)).alias("classes"),
+            F.length(t).cast("long").alias("length"),
+            common_marks(w).alias("common"),
         )
 
+    def measure(t: Column) -> Column:
+        return let(words_of(t), lambda w: let(F.length(F.array_join(w, "")), lambda c: counted(t, w, c)))
+
     m = F.col("_m")
     rest = m["length"] - F.aggregate(m["classes"], F.lit(0).cast("long"), lambda a, x: a + x)
     return docs.withColumn("_m", measure(text)).withColumn(
@@ -159,9 +162,10 @@ def limit(most: tuple[float, float], n: Column) -> Column:
     return most[0] + most[1] / F.sqrt(F.greatest(n, F.lit(1)))
 
 
-def near_language(m: Column, found: dict[str, tuple[list[int], list[int]]]) -> Column:
-    """Whether the document agrees with one language at least; true if there is none to compare with."""
-    verdict = F.lit(not found)
+def near_language(m: Column, lang: Column, found: dict[str, tuple[list[int], list[int]]]) -> Column:
+    """Whether the document agrees with one language at least; true if there is none to compare with, or if its own
+    language is known and has no reference."""
+    verdict = lang.isNotNull() & ~lang.isin(*found) if found else F.lit(True)
     for lang, (chars, common) in sorted(found.items()):
         own = _counts(m["common"], COMMON[lang])
         rest = m["n_words"] - sum(own[1:], own[0])
@@ -174,14 +178,15 @@ def near_language(m: Column, found: dict[str, tuple[list[int], list[int]]]) -> C
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (default: all but the text) with `_m`, `_base_failed` and `_kept`.
 
-    A null or empty text has no words and fails; an unknown or null language only keeps a document out of the
-    references. Rows are independent but for the references, so repeated rows get equal verdicts. Without a
-    reference (an empty table, no known language) the base rules alone decide.
+    A null or empty text has no words and fails. A null language keeps a document out of the references; one of a
+    language without a word list is judged by the base rules alone, as is any without a reference (an empty table, no
+    known language). Rows are independent but for the references, so repeated rows get equal verdicts. Texts of any
+    length are read whole. Columns of docs may have any names but those added.
     """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     rows = saved(measured(docs.select(*keep, F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")), "_text").drop("_text"))
     failed = base_failed(F.col("_m"))
-    return rows.withColumn("_base_failed", failed).withColumn("_kept", ~failed & near_language(F.col("_m"), references(rows, "_lang"))).drop("_lang")
+    return rows.withColumn("_base_failed", failed).withColumn("_kept", ~failed & near_language(F.col("_m"), F.col("_lang"), references(rows, "_lang"))).drop("_lang")
 
 
 def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

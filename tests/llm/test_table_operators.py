@@ -65,8 +65,8 @@ def brute_verdicts(rows):
             c, w = refs.setdefault(lang, ([0] * 7, [0] * 17))
             refs[lang] = ([a + b for a, b in zip(c, chars, strict=True)], [a + b for a, b in zip(w, common[lang], strict=True)])
     out = []
-    for (n, size, *_), bad, (chars, common) in zip(counts, failed, hist, strict=True):
-        near = not refs
+    for (n, size, *_), bad, (chars, common), (_, _, own, *_) in zip(counts, failed, hist, rows, strict=True):
+        near = not refs or own is not None and own not in refs
         for lang, (c, w) in refs.items():
             near |= (size < 200 or js(chars, c) <= 0.15 + 2.5 / size**0.5) and (n < 50 or js(common[lang], w) <= 0.12 + 1.55 / n**0.5)
         out.append((bad, not bad and near))
@@ -86,7 +86,7 @@ def quality_rows():
             words = [f"qz{j}k" for j in range(200)]
         text = "".join(w + r.choice([" ", " ", " ", "\n", "\t ", "  "]) for w in words)
         rows.append((i, text, lang if i % 7 else None, "s"))
-    return [*rows, (100, PROSE * 20, "en", "s"), (101, "A line.\nA line.\n\n \nA line. \nother #1", "en", "s"), (102, "a b c a b c d a b", "xx", None)]
+    return [*rows, (100, PROSE * 20, "en", "s"), (101, "A line.\nA line.\n\n \nA line. \nother #1", "en", "s"), (102, "a b c a b c d a b", "xx", None), (103, " ".join(f"slovo{i}" for i in range(70)), "sk", "s"), (104, " ".join(f"slovo{i}" for i in range(70)), None, "s")]
 
 
 def test_quality(spark, edge_rows, no_docs):
@@ -95,6 +95,8 @@ def test_quality(spark, edge_rows, no_docs):
         want = sorted(((doc, *c, *v) for (doc, *_), c, v in zip(rows, counts, verdicts, strict=True)), key=repr)
         assert sorted(map(tuple, quality.rules(docs_of(spark, rows)).collect()), key=repr) == want
     assert {v for _, v in brute_verdicts(quality_rows())[1]} == {True, False}
+    kept = {r.doc_id: r.kept for r in quality.rules(docs_of(spark, quality_rows())).collect()}
+    assert kept[103] and not kept[104]  # of a language that has no reference; of none
     assert quality.rules(no_docs).count() == 0
 
 
