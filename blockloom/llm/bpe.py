@@ -29,8 +29,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: UTF-8 prefixes of white space outside ASCII.
 WIDE_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 CHUNK = re.compile(rb"\s*\S+|\s+")
-#: A worker keeps the chunks, and the words, of its last one or two times so many new ones.
-CACHE_CHUNKS = 60_000
+#: Signs that end a chunk as one word (no apostrophe, which may begin one), and letters that are told without a pattern.
+TAIL = b".,;:!?)]}$%&*#"
+LATIN = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+#: A worker keeps the chunks and words of its last one or two times so many new ones.
+CACHE_CHUNKS = 300_000
 LONG_CHUNK = 256
 #: Words of one merge batch hold about this many bytes together.
 MERGE_BYTES = 1 << 20
@@ -71,10 +74,8 @@ class BytePairs:
         self.added = {k.encode(): v for k, v in added.items()}
         self.split_added = re.compile(b"(%s)" % b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.pattern = regex.compile(PATTERN)
-        self.ints = list(range(self.width))  # one object for each id, however many lists it is in
-        self.cache: dict[bytes, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
-        self.old: tuple[dict, dict] = ({}, {})
+        self.cache: dict[bytes, bytes] = {}  # ids as little-endian 32-bit integers
+        self.old: dict[bytes, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair in the merge list, or the length of the list."""
@@ -135,54 +136,50 @@ class BytePairs:
             ranks[near] = ranks_at(near, symbols, last)
         return out
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        raw = [w.encode() for w in words]
-        got: dict[str, list[int]] = {}
+    def look_up(self, words: list[bytes]) -> None:
+        """Puts the ids of words, and of added tokens, in the cache."""
         start = size = 0
-        for i, w in enumerate([*raw, b""]):
-            if i == len(raw) or size + len(w) > MERGE_BYTES and i > start:
+        for i, w in enumerate([*words, b""]):
+            if i == len(words) or size + len(w) > MERGE_BYTES and i > start:
                 if i > start:
-                    shared = self.ints.__getitem__
-                    got.update((k, list(map(shared, v.tolist()))) for k, v in zip(words[start:i], self.merge(raw[start:i]), strict=True))
+                    self.cache.update((k, v.astype("<i4").tobytes()) for k, v in zip(words[start:i], self.merge(words[start:i]), strict=True))
                 start, size = i, 0
             size += len(w)
-        return got
-
-    def parts(self, chunk: bytes) -> list[str | int]:
-        """Words of a chunk by the pattern, and ids of added tokens."""
-        out: list[str | int] = []
+        self.cache.update((w, np.array([self.added[w]], "<i4").tobytes()) for w in words if w in self.added)
+
+    def parts(self, chunk: bytes) -> list[bytes]:
+        """Words of a chunk by the pattern, and added tokens. A space, letters and signs are told without it."""
+        core = chunk.rstrip(TAIL)
+        letters = core[1:] if core[:1] == b" " else core
+        if letters.isalpha() or letters and LATIN.fullmatch(letters.decode()):
+            return [core, chunk[len(core) :]] if len(core) < len(chunk) else [chunk]
+        out: list[bytes] = []
         for part in self.split_added.split(chunk) if self.split_added else [chunk]:
             if part in self.added:
-                out.append(self.added[part])
+                out.append(part)
             elif part:
-                out += self.pattern.findall(part.decode())
+                out += [w.encode() for w in self.pattern.findall(part.decode())]
         return out
 
-    def encode(self, texts: list[bytes]) -> list[list[list[int]]]:
-        """For each text its chunks' ids, in order."""
-        if max(len(self.cache), len(self.words)) > CACHE_CHUNKS:
-            self.old, self.cache, self.words = (self.cache, self.words), {}, {}
-        old_chunks, old_words = self.old
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.cache) > CACHE_CHUNKS:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
         chunks = [[t] if any(s in t for s in WIDE_SPACES) else CHUNK.findall(t) for t in texts]
-        missing = set().union(*chunks) - self.cache.keys()
-        seen = missing & old_chunks.keys()
-        self.cache.update((c, old_chunks[c]) for c in seen)
-        new = {c: self.parts(c) for c in missing - seen}
-        words = self.words
-        asked = {w for p in new.values() for w in p if isinstance(w, str)} - words.keys()
-        seen = asked & old_words.keys()
-        words.update((w, old_words[w]) for w in seen)
-        words |= self.encode_words(list(asked - seen))
-        cache, long = self.cache, []
-        for c, p in new.items():
-            cache[c] = words[p[0]] if len(p) == 1 and isinstance(p[0], str) else [i for w in p for i in (words[w] if isinstance(w, str) else (w,))]
-            if len(c) > LONG_CHUNK:
-                long.append(c)
-        found = [list(map(cache.__getitem__, own)) for own in chunks]
-        for c in long:  # not worth keeping
+        new = set().union(*chunks).difference(cache)
+        seen = old.keys() & new
+        cache.update(zip(seen, map(old.__getitem__, seen)))
+        new -= seen
+        mixed = {c: p for c in new if len(p := self.parts(c)) != 1}
+        wanted = new.difference(mixed).union(*mixed.values()).difference(cache)
+        seen = old.keys() & wanted
+        cache.update(zip(seen, map(old.__getitem__, seen)))
+        self.look_up(list(wanted - seen))
+        cache.update({c: b"".join([cache[x] for x in p]) for c, p in mixed.items()})
+        found = [np.frombuffer(b"".join(map(cache.__getitem__, own)), "<i4") for own in chunks]
+        for c in [c for c in new | wanted if len(c) > LONG_CHUNK]:  # not worth keeping
             del cache[c]
-        for w in [w for c in long for w in new[c] if isinstance(w, str) and len(w) > LONG_CHUNK]:
-            words.pop(w, None)
         return found
 
     def decode(self, ids: list[int]) -> str:
@@ -203,14 +200,15 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) and decoded text of every document.
 
-    Null texts count as empty; empty texts have no ids. Rows are independent: repeated rows, null ids and
-    empty tables give what each row alone gives. Other columns are ignored.
+    Null texts count as empty; empty texts have no ids. Texts of any length are read whole. Of pairs with the lowest rank
+    that overlap the first is merged. Rows are independent: repeated rows, null ids and empty tables give what each row
+    alone gives. Other columns are ignored, whatever their names.
     """
 
     def run(batches):
         pairs = pairs_of(path)
         for batch in sliced(batches):
-            ids = [[i for c in chunks for i in c] for chunks in pairs.encode(raw_texts(batch.column(1)))]
+            ids = [x.tolist() for x in pairs.encode(raw_texts(batch.column(1)))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(pairs.decode, ids), pa.string())], names=["doc_id", "ids", "decoded"]
             )
@@ -225,8 +223,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         pairs = pairs_of(path)
         for batch in sliced(batches):
             n, of_ids, of_text = [], [], []
-            for chunks in pairs.encode(raw_texts(batch.column(1))):
-                ids = [i for c in chunks for i in c]
+            for ids in map(np.ndarray.tolist, pairs.encode(raw_texts(batch.column(1)))):
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(b",".join(map(pairs.text_of.__getitem__, ids))).hexdigest())
                 of_text.append(hashlib.sha256(pairs.decode(ids).encode()).hexdigest())
