@@ -67,6 +67,15 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of keys up to which a table of them is broadcast (tens of MB).
+BROADCAST_KEYS = 500_000
+
+
+def held(df: DataFrame) -> DataFrame:
+    """A saved table of keys, to be broadcast if it is small, else to be joined by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def free(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it until no column of df has it."""
     taken = {c.lower() for c in df.columns}

@@ -17,15 +17,13 @@ Texts with equal sets are one node. Each pass leaves fewer groups to the next:
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, partitions, raw_texts, saved, sliced
+from .common import dropped, held, partitions, raw_texts, saved, sliced
 from .components import components
 from .simhash import groups, shingle_hashes, simhash
 
@@ -41,8 +39,8 @@ XORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 ODDS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 #: Nodes of a key that are compared at once; a key with more is dealt to blocks of about so many.
 BLOCK = 512
-#: Shingle sets that a task keeps.
-KEPT_SETS = 4_096
+#: Bytes of texts whose shingle sets a task keeps.
+KEPT_BYTES = 16 << 20
 SHINGLES_AT_ONCE = 2_048
 #: Pairs of signatures that are compared at once.
 PAIRS_AT_ONCE = 1 << 16
@@ -52,6 +50,24 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text, WORDS))
 
 
+class Sets:
+    """Shingle sets of texts; those of the last ones are kept."""
+
+    def __init__(self) -> None:
+        self.kept: dict[bytes, np.ndarray] = {}
+        self.size = 0
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        found = self.kept.get(text)
+        if found is None:
+            found = shingle_set(text)
+            if self.size + len(text) > KEPT_BYTES:
+                self.kept, self.size = {}, 0
+            self.kept[text] = found
+            self.size += len(text)
+        return found
+
+
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least value of each hash function over a set that isn't empty."""
     least = np.full(BANDS * ROWS, ~np.uint64(0))
@@ -95,7 +111,7 @@ def fingerprints(docs: DataFrame, keep: list[Column], text_col: str = "text") ->
 
 def _checked(batches):
     """The links among candidate pairs (u, v, text_u, text_v)."""
-    sets = lru_cache(64)(shingle_set)
+    sets = Sets()
     for batch in batches:
         for part in sliced([batch], 2):
             hit = [linked(sets(a), sets(b)) for a, b in zip(raw_texts(part.column(2)), raw_texts(part.column(3)), strict=True)]
@@ -157,7 +173,7 @@ def joining(rows: list[tuple], sets) -> list[tuple[int, int]]:
 
 def _apart(batches):
     """Links among rows (key, low, high, fp, root, bands, signature, part, text) sorted by key and blocks."""
-    sets = lru_cache(KEPT_SETS)(shingle_set)
+    sets = Sets()
 
     def given(rows):
         found = joining(rows, sets) if len(rows) > 1 else []
@@ -238,8 +254,11 @@ def links(docs: DataFrame, fps: DataFrame, key: dict[str, Column], text_col: str
     names = docs.select(F.col(text_col).alias("text"), *(c.alias(k) for k, c in key.items()))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """(fp, text): one text of each node."""
-        return saved(names.join(wanted.join(nodes.select("fp", "name.*"), "fp"), list(key)).groupBy("fp").agg(F.first("text").alias("text")))
+        """(fp, text): one text of each node, which are few, so that the documents' texts need not be shuffled."""
+        wanted = saved(wanted.join(nodes.select("fp", "name.*"), "fp"))
+        texts = saved(names.join(held(wanted), list(key)).groupBy("fp").agg(F.first("text").alias("text")))
+        dropped(wanted)
+        return texts
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs)

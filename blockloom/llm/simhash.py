@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, raw_texts, saved, sliced
+from .common import held, partitions, raw_texts, saved, sliced
 from .components import components
 
 BITS = 3
@@ -27,8 +27,6 @@ SEED = 42
 SEGMENT = 32
 #: Rows under one key from which the key is dealt out once more.
 HOT_KEY = 4_096
-#: Broadcast the hot keys up to this number (16 MB), join by shuffle beyond.
-HOT_BROADCAST = 1_000_000
 #: Groups up to this size are compared pair by pair at once.
 SMALL = 16
 SHINGLES_AT_ONCE = 1 << 16
@@ -171,11 +169,6 @@ def _verified(batches):
         yield linked(np.concatenate(keys), np.concatenate(fps))
 
 
-def held(df: DataFrame) -> DataFrame:
-    """A saved table of keys, to be broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= HOT_BROADCAST else df
-
-
 def dealt(distinct: DataFrame) -> DataFrame:
     """(key, fp, sub): all fingerprints under all their keys, those of hot keys by the other segment, too."""
     rows = distinct.select("fp").mapInArrow(_keys, "key long, fp long, sub long")
