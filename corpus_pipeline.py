@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import jaccard, langid, packing, quality, secrets, simhash
-from blockloom.llm.common import dropped, free, saved, settled, table
+from blockloom.llm.common import dropped, free, held, saved, settled, table
 
 #: A document goes if it is less like its language than this (0 to 1); prose scores 0.5 to 0.9.
 LEAST_LIKENESS = 0.3
@@ -54,10 +54,15 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = {none: F.col("doc_id").isNull(), number: F.coalesce("doc_id", F.lit(0)).cast("long"), mark: F.xxhash64("text")}
     fps = saved(jaccard.fingerprints(docs, [c.alias(k) for k, c in key.items()]))
     linked = jaccard.links(docs, fps, key)
-    first = simhash.least_of_groups(fps.select(*key, "fp"), F.struct(*key), "first", linked).select("first.*").distinct()
-    kept = docs.withColumns(key).join(first, list(key))  # one text has one root, so a key is first once at most
+    grouped = saved(simhash.least_of_groups(fps.select(*key, "fp"), F.struct(*key), "first", linked).select(*key, (F.struct(*key) == F.col("first")).alias("stays")))
+    # few rows go, or have a key that others have, too: the rest needs no shuffle
+    apart = saved(grouped.groupBy(*key).agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1"))
+    twice = saved(apart.where("stays").select(*key))
+    rows = docs.withColumns(key)
+    alone = rows.join(held(saved(apart.select(*key))), list(key), "left_anti")
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(mark))
-    return kept.withColumn(again, nth).where(F.col(again) == 1).select(*docs.columns)
+    first = rows.join(held(twice), list(key), "left_semi").withColumn(again, nth).where(F.col(again) == 1)
+    return alone.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
