@@ -2,7 +2,7 @@
 
 Streams are walked block by block. Bulk decoding is libbz2's (see `plans.parallel` and `functions.kernels`);
 this decoder is for streams that libbz2 refuses or is lenient with, and for looking at the stages of a block.
-Symbols come from one table look-up on the next 20 bits; the inverse transform is a stable argsort and a walk.
+Symbols come from one table look-up on as many bits as the longest code has; the inverse transform is a stable argsort and a walk.
 """
 
 from __future__ import annotations
@@ -53,18 +53,19 @@ class Block:
     end: int = 0
 
 
-def code_table(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """For each value of the next MAX_CODE bits, the symbol and its length (0: no code), for canonical codes; also
-    the shortest and the longest length. Codes beyond what MAX_CODE bits can tell, of an overfull set, are left out."""
-    symbol, length = np.zeros(1 << MAX_CODE, np.int32), np.zeros(1 << MAX_CODE, np.int8)
+def code_table(lengths: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each value of as many bits as the longest code has, the symbol and its length (0: no code), for canonical
+    codes; and that number of bits. Codes beyond what so many bits can tell, of an overfull set, are left out."""
+    most = max(lengths)
+    symbol, length = np.zeros(1 << most, np.int32), np.zeros(1 << most, np.int8)
     at = 0
     for n, s in sorted((n, s) for s, n in enumerate(lengths)):
-        width = 1 << MAX_CODE - n
+        width = 1 << most - n
         symbol[at : at + width], length[at : at + width] = s, n
         at += width
-        if at >= 1 << MAX_CODE:
+        if at >= 1 << most:
             break
-    return symbol, length, min(lengths), max(lengths)
+    return symbol, length, most
 
 
 def tables_of(bits: Bits, block: Block) -> None:
@@ -115,11 +116,12 @@ def symbols_of(bits: Bits, block: Block, limit: int) -> list[int]:
             chosen = next(selectors, None)
             if chosen is None:
                 raise CodecError("InvalidBlock")
-            symbol_at, length_at, least, most = tables[chosen]
+            symbol_at, length_at, most = tables[chosen]
             left = GROUP
         left -= 1
         byte = at >> 3
         peek = int.from_bytes(data[byte : byte + 4].ljust(4, b"\0"), "big") >> 12 - (at & 7) & (1 << MAX_CODE) - 1
+        peek >>= MAX_CODE - most
         n = int(length_at[peek])
         if not n:
             # a decoder that reads bit by bit finds out one bit after the longest code
@@ -293,7 +295,11 @@ def trusted(data: bytes) -> bytes | None:
 def decompress(data: bytes) -> bytes:
     """Plaintext of the concatenated streams, or CodecError. Empty input is empty output."""
     out = trusted(data)
-    return strict(data) if out is None else out
+    if out is None:
+        from .walk import Walk  # goes on at libbz2's speed up to what is wrong
+
+        out = b"".join([p.out for p in Walk(bytearray(data)).pieces(True)])
+    return out
 
 
 def error_of(data: bytes) -> str | None:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions.checksum import bz2_combined_crc, crc32_bzip2
 from ..functions.kernels import bz2_compress, bz2_decompress, bz2_encode, bz2_error
 from ..operators import stages
@@ -150,6 +151,17 @@ def parallel_fast_path(spark, sf_dir):
     return blocks.groupBy("file_id").agg(F.sum(F.octet_length("out")).alias("n_bytes"), F.bool_and("fast").alias("fast"))
 
 
+@query(f"SELECT tasks, file_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM ({_SOURCES}), (VALUES (0), (1), (3)) AS p(tasks)")
+def parallel_pools(spark, sf_dir):
+    """The session's number of tasks (0), one task, three: the same bytes."""
+    files = source.materialized(source_files(spark, sf_dir))
+    out = None
+    for tasks in (0, 1, 3):
+        sums = parallel.decode(files, tasks or None).groupBy("file_id").agg(F.sum(F.octet_length("out")).alias("n_bytes")).withColumn("tasks", F.lit(tasks))
+        out = sums if out is None else out.unionByName(sums)
+    return out
+
+
 @query(f"SELECT file_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS fast, 'InvalidMagic' AS error FROM ({_SOURCES})")
 def parallel_fallback(spark, sf_dir):
     """Four bytes after the end break the chain: all blocks come by it, and the strict walk from there names the error."""
@@ -167,6 +179,23 @@ def parallel_ranges(spark, sf_dir):
     return blocks.agg(F.sum(lines).cast("long").alias("n_rows"), F.sum(F.octet_length("out")).alias("n_bytes"), F.bool_and("fast").alias("fast"), F.max("error").alias("error"))
 
 
+@query(f"SELECT file_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, true AS checked FROM ({_SOURCES})")
+def blocks_checked(spark, sf_dir):
+    """Each block's plaintext against the checksum in its header, by the native expression."""
+    blocks = tables.bz2_blocks(source.materialized(source_files(spark, sf_dir)))
+    return blocks.groupBy("file_id").agg(F.sum(F.octet_length("out")).alias("n_bytes"), F.bool_and(crc32_bzip2(F.col("out")) == F.col("crc")).alias("checked"))
+
+
+@query(f"SELECT file_id, CAST(1 AS BIGINT) AS ends, true AS blocks, true AS whole FROM ({_SOURCES})")
+def candidates_whole(spark, sf_dir):
+    """One end in each file; every candidate decodes, and they lie end to end behind the header."""
+    found = tables.bz2_candidates(source_files(spark, sf_dir))
+    by = Window.partitionBy("file_id").orderBy("start_bit")
+    found = found.withColumn("tiled", F.coalesce(F.lag("end_bit").over(by), F.lit(32)) == F.col("start_bit"))
+    ends = F.count_if(F.col("kind") == "end").alias("ends")
+    return found.groupBy("file_id").agg(ends, (F.count_if(F.col("kind") == "block") > 0).alias("blocks"), F.bool_and(F.col("good") & F.col("tiled")).alias("whole"))
+
+
 @query("SELECT doc_id // 50 AS part, string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY 1")
 def multi_stream(spark, sf_dir):
     """Streams of mixed levels, empty ones among them, read as one: fifty documents each."""
