@@ -171,7 +171,7 @@ def parallel_fallback(spark, sf_dir):
     return blocks.groupBy("file_id").agg(F.sum(F.octet_length("out")).alias("n_bytes"), fast, F.max("error").alias("error"))
 
 
-@query(f"SELECT count(*) AS n_rows, CAST(sum(octet_length(encode({_LINE})) + 1) AS BIGINT) AS n_bytes, true AS fast, NULL AS error FROM orders")
+@query(f"SELECT count(*) AS n_rows, CAST(sum(octet_length(encode({_LINE})) + 1) AS BIGINT) AS n_bytes, true AS fast, CAST(NULL AS VARCHAR) AS error FROM orders")
 def parallel_ranges(spark, sf_dir):
     """Files by their paths, in ranges of 16 kB that tasks of their own read and decode."""
     blocks = parallel.decode_paths(spark, [written_lines(spark, sf_dir)], 16 << 10)
@@ -506,7 +506,7 @@ def table_count(spark, sf_dir):
 
 
 #: Shannon's code lengths of a text's bytes: the least n for which 2^n times the count reaches the total.
-_LENGTHS = f"SELECT doc_id, b AS sym, length(to_binary((sum(count(*)) OVER (PARTITION BY doc_id) - 1)::BIGINT // count(*))) AS len FROM ({_bytes('documents', 'doc_id', 'text')}) GROUP BY doc_id, b"
+_LENGTHS = f"SELECT doc_id, b AS sym, CAST(length(to_binary((sum(count(*)) OVER (PARTITION BY doc_id) - 1)::BIGINT // count(*))) AS INTEGER) AS len FROM ({_bytes('documents', 'doc_id', 'text')}) GROUP BY doc_id, b"
 
 
 def shannon_lengths(spark, sf_dir) -> DataFrame:
