@@ -30,7 +30,7 @@ BROADCAST = 50_000
 UNDETERMINED = "und"
 SPACE = 32
 #: Code points of a batch, or of a window of a longer text, counted at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 CODE = 21
 
 
