@@ -54,7 +54,7 @@ class WordTokenizer:
     integers.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         import regex
         from tokenizers import Tokenizer
@@ -68,6 +68,7 @@ class WordTokenizer:
         cuts = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
         self.known_parts = cuts.get("pattern") == {"Regex": PARTS} and cuts.get("behavior") == "Removed"
         self.parts = regex.compile(PARTS)
+        self.cache_words = cache_words
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -105,7 +106,7 @@ class WordTokenizer:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # the vocabulary is of lower case; marks of special tokens are told by case, so words with one stay as they are
         words = [[w if b"<|" in w else w.lower() for w in t.split()] if b"<|" in t else t.lower().split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > self.cache_words:
             self.old, self.cache = self.cache, {}
         cache, old = self.cache, self.old
         new = set().union(*words).difference(cache)
@@ -126,8 +127,8 @@ class WordTokenizer:
 
 # One tokenizer for all tasks of a worker.
 @functools.cache
-def tokenizer_of(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer_of(path: str, cache_words: int) -> WordTokenizer:
+    return WordTokenizer(path, cache_words)
 
 
 PIECES = T.StructType([
@@ -138,14 +139,16 @@ PIECES = T.StructType([
 SALTED = T.StructType([*PIECES.fields, T.StructField("salt", T.LongType())])
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS
+) -> DataFrame:
     """The token pieces of every document: (doc_id, piece, start, length, ids_crc32, salt), without the ids. Texts of
-    any length are read whole."""
+    any length are read whole. A worker keeps `cache_words` words or twice as many, at some 150 bytes each."""
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
 
     def run(batches):
-        tokenizer, salt = tokenizer_of(tokenizer_path), 0
+        tokenizer, salt = tokenizer_of(tokenizer_path, cache_words), 0
         for batch in sliced(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(raw_texts(batch.column(1))), strict=True):
@@ -397,7 +400,9 @@ def pack(rows: DataFrame, capacity: int = 4096) -> DataFrame:
     return ranked(rows).select(*PIECES.names, "rank").mapInArrow(run, PACKED)
 
 
-def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(
+    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS
+) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` tokens.
 
     A document is its token ids and `end_id`; longer ones are cut into full pieces and a last one. Null and
@@ -405,4 +410,4 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     order. Null ids are kept as they are. An empty table gives an empty result. Other columns are ignored, whatever
     their names.
     """
-    return pack(saved(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)), capacity)
+    return pack(saved(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, cache_words)), capacity)
