@@ -15,6 +15,8 @@ from blockloom.llm.common import dropped, free, held, saved, settled, table
 
 #: A document goes if it is less like its language than this (0 to 1); prose scores 0.5 to 0.9.
 LEAST_LIKENESS = 0.3
+#: Words that a worker of the packing stage keeps: fewer than by itself, as the workers of the stages before it are still there.
+CACHE_WORDS = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null text is empty, an empty one a document of the end mark alone; null ids stay null. Equal rows are packed each
     on its own. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=CACHE_WORDS)
 
 
 STAGES = [
