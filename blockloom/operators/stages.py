@@ -148,21 +148,40 @@ def bit_offsets(codes: DataFrame, key: list[str]) -> DataFrame:
     return codes.withColumn("bit", F.sum("len").over(Window.partitionBy(*key).orderBy("pos")) - F.col("len"))
 
 
-def block_packing(groups: DataFrame, key: str, limit: int, keep: list[str] | None = None) -> DataFrame:
-    """(key, grp, block, and the columns `keep`): runs (key, grp, enc_len) dealt greedily to blocks of at most `limit` bytes, none split.
+def run_sizes(docs: DataFrame, keep: list[Column], data: Column) -> DataFrame:
+    """The columns `keep` and `sizes`: the encoded lengths of the runs of a binary column, by the kernel."""
+    import pyarrow as pa
+
+    from .encoder import packed_size, runs
+
+    n = len(keep)
+
+    def run(batches):
+        for batch in batches:
+            sizes = [packed_size(runs(x or b"")[1]).astype("i1") for x in batch.column(n).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(sizes, pa.list_(pa.int8()))], names=[*batch.schema.names[:n], "sizes"])
+
+    rows = docs.select(*keep, data.alias("_data"))
+    return rows.mapInArrow(run, rows.select(*rows.columns[:n], F.lit(None).cast("array<tinyint>").alias("sizes")).schema)
+
+
+def block_packing(rows: DataFrame, key: str, order: str, limit: int) -> DataFrame:
+    """(key, block, n_groups, n_bytes): the runs of rows (key, order, sizes), in that order, dealt greedily to blocks of at
+    most `limit` bytes, none split.
 
     What a block leaves over carries into the next, so a plain running sum won't do. Only run lengths are folded,
     one stream to a task, with a search for the end of each block.
     """
+    import numpy as np
     import pyarrow as pa
 
     from .encoder import packing
 
     def fold(batch: pa.Table) -> pa.Table:
-        batch = batch.sort_by("grp")
-        return pa.table({key: batch[key], "grp": batch["grp"], "block": packing(batch["enc_len"].to_numpy(), limit)} | {c: batch[c] for c in keep or []})
+        sizes = batch.sort_by(order)["sizes"].combine_chunks().flatten().to_numpy().astype(np.int64)
+        block = packing(sizes, limit)
+        n = np.bincount(block)
+        return pa.table({key: [batch[key][0].as_py()] * len(n), "block": np.arange(len(n)), "n_groups": n, "n_bytes": np.bincount(block, sizes).astype(np.int64)})
 
-    rows = groups.select(key, F.col("grp").cast("long").alias("grp"), F.col("enc_len").cast("long").alias("enc_len"), *(c for c in keep or [] if c != "enc_len"))
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, *(keep or []))}
-    more = "".join(f", {c} {kinds[c]}" for c in keep or [])
-    return rows.groupBy(key).applyInArrow(fold, f"{key} {kinds[key]}, grp long, block long{more}")
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInArrow(fold, f"{key} {kind}, block long, n_groups long, n_bytes long")

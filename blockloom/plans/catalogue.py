@@ -366,7 +366,7 @@ def combined_crc(spark, sf_dir):
 
 
 def name_bytes(spark, sf_dir, name: str = "customer", key: str = "c_custkey", text: str = "c_name") -> DataFrame:
-    return stages.exploded_bytes(table(spark, sf_dir, name), [key], utf8(text))
+    return stages.exploded_bytes(spread(table(spark, sf_dir, name)), [key], utf8(text))
 
 
 def _bytes(name: str = "customer", key: str = "c_custkey", text: str = "c_name") -> str:
@@ -434,14 +434,9 @@ _PACK = f"""SELECT {_FILE} AS stream, row_number() OVER (PARTITION BY {_FILE} OR
 )
 def block_packing(spark, sf_dir):
     """The runs of all documents of a file, dealt to blocks of level 1."""
-    docs = table(spark, sf_dir, "documents")
-    runs = stages.rle1_groups(name_bytes(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
     stream = F.concat_ws("/", "source", F.expr(f"doc_id div {FILE_DOCUMENTS}")).alias("stream")
-    runs = runs.join(docs.select("doc_id", stream), "doc_id").withColumn("enc_len", stages.encoded_length(F.col("raw_len")))
-    by = Window.partitionBy("stream").orderBy("doc_id", "grp")
-    ordered = runs.select("stream", (F.row_number().over(by) - 1).alias("at"), "enc_len").withColumnRenamed("at", "grp")
-    packed = stages.block_packing(ordered, "stream", _ROOM, keep=["enc_len"])
-    return packed.groupBy("stream", "block").agg(F.count("*").alias("n_groups"), F.sum("enc_len").cast("long").alias("n_bytes"))
+    runs = stages.run_sizes(spread(table(spark, sf_dir, "documents")), [stream, F.col("doc_id")], utf8("text"))
+    return stages.block_packing(runs, "stream", "doc_id", _ROOM)
 
 
 _BWT = f"""WITH t AS (SELECT c_custkey, hex(encode(c_name)) AS h FROM customer),
