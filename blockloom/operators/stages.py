@@ -1,7 +1,8 @@
 """The stages of the codec as relational operators.
 
-Rows of bytes are (key, pos, b): `key` names a buffer (any number of columns), `pos` counts from 0. All are
-windows and aggregates over `key`; a buffer is a block, so no window holds more than a block.
+Rows of bytes are (key, pos, b): `key` names a buffer (any number of columns), `pos` counts from 0. Most are
+windows and aggregates over `key`; a buffer is a block, so no window holds more than a block. Where rows of bytes would
+have to meet each other or their tables, the kernel takes whole buffers instead (`by_buffer`).
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .encoder import MAX_RUN, TABLE_STEPS
 
+#: Rows that a kernel gathers before it gives them out as a batch.
+ROWS_OUT = 50_000
+
 
 def exploded_bytes(df: DataFrame, key: list[str], data: Column) -> DataFrame:
     """(key, pos, b) of a binary column."""
@@ -60,20 +64,61 @@ def lf_mapping(column: DataFrame, key: list[str], at: str = "row") -> DataFrame:
     return column.select(*key, at, "b", place.alias("next_row"))
 
 
-def move_to_front(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, pos, b, place): how many different bytes came since the last one like it; at a first occurrence, how
-    many came before at all, and how many lower ones have yet to come. For short buffers: each row meets all rows since
-    the last one like it (the kernel in `encoder` keeps a list instead)."""
-    by = Window.partitionBy(*key)
-    last = rows.withColumn("before", F.lag("pos").over(Window.partitionBy(*key, "b").orderBy("pos")))
-    r, s = last.alias("r"), rows.alias("s")
-    same = [F.col(f"r.{k}") == F.col(f"s.{k}") for k in key]
-    # bytes between an occurrence and the one before it, or from the start
-    since = r.join(s, [*same, F.col("s.pos") < F.col("r.pos"), F.col("s.pos") > F.coalesce("r.before", F.lit(-1))], "left")
-    seen = since.groupBy(*(F.col(f"r.{k}") for k in key), F.col("r.pos"), F.col("r.b"), F.col("r.before")).agg(F.collect_set("s.b").alias("seen"))
-    lower = F.size(F.filter("in_use", lambda x: (x < F.col("b")) & ~F.array_contains("seen", x)))
-    listed = seen.withColumn("in_use", F.collect_set("b").over(by))
-    return listed.select(*key, "pos", "b", (F.size("seen") + F.when(F.col("before").isNull(), lower).otherwise(0)).alias("place"))
+def by_buffer(docs: DataFrame, key: list[str], data: Column, fields: str, make) -> DataFrame:
+    """(key, fields): the rows that `make` gives, as arrays of its columns, for each buffer: for the list of the binary
+    values that share a key. Values with a null in the key share it with none. Buffers are dealt out by their keys whole,
+    so a task holds a batch of values and one buffer, and bytes are no rows before `make` has them."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(*key, data.alias("_data")).where("octet_length(_data) > 0")
+    absent = F.greatest(*(F.col(k).isNull() for k in key), F.lit(False))
+    dealt = rows.repartition(n, *key, F.when(absent, F.monotonically_increasing_id())).sortWithinPartitions(*key)
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key)
+    schema = f"{kinds}, {fields}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batch_of(keys, made):
+        nth = np.repeat(np.arange(len(keys)), [len(m[0]) for m in made])
+        columns = [pa.array(c, f.type).take(pa.array(nth)) for c, f in zip(zip(*keys, strict=True), arrow, strict=False)]
+        values = [pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*made, strict=True), list(arrow)[len(key) :], strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, *values], names=arrow.names)
+
+    def run(batches):
+        last, parts, keys, made, held = None, [], [], [], 0
+        for batch in batches:
+            for *own, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if parts and (own != last or None in own):
+                    keys.append(last)
+                    made.append(make(last, parts))
+                    held, parts = held + len(made[-1][0]), []
+                last = own
+                parts.append(value)
+                if held >= ROWS_OUT:
+                    yield batch_of(keys, made)
+                    keys, made, held = [], [], 0
+        if parts:
+            keys.append(last)
+            made.append(make(last, parts))
+            yield batch_of(keys, made)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def move_to_front(docs: DataFrame, key: list[str], data: Column) -> DataFrame:
+    """(key, pos, b, place) of the bytes of a binary column: how many different bytes came since the last one like it; at
+    a first occurrence, how many came before at all, and how many lower ones have yet to come. By the kernel, which folds
+    a buffer in its order. A null in the key makes no buffer: such bytes have no others before them, their place is 0."""
+    from .encoder import places
+
+    def make(own, parts):
+        pos, b, place = places(parts)
+        return pos, b, place * (None not in own)
+
+    return by_buffer(docs, key, data, "pos int, b int, place int", make)
 
 
 def zero_run_digits(n: Column) -> Column:

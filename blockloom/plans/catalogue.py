@@ -480,7 +480,7 @@ def inverse_bwt_names(spark, sf_dir):
       AND NOT EXISTS (SELECT 1 FROM x AS y WHERE y.c_custkey = l.c_custkey AND y.pos < l.pos AND y.b = x.b)) ELSE 0 END AS BIGINT) AS place FROM l"""
 )
 def mtf_indices(spark, sf_dir):
-    rows = stages.move_to_front(name_bytes(spark, sf_dir), ["c_custkey"])
+    rows = stages.move_to_front(table(spark, sf_dir, "customer"), ["c_custkey"], utf8("c_name"))
     return rows.select("c_custkey", F.col("pos").cast("long").alias("pos"), "b", F.col("place").cast("long").alias("place"))
 
 
