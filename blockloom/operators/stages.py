@@ -147,13 +147,22 @@ def canonical_codes(lengths: DataFrame, key: list[str], longest: int = 20) -> Da
     return lengths.select(*key, "sym", "len", code.alias("code"))
 
 
-def cheapest_tables(symbols: DataFrame, lengths: DataFrame, key: list[str], group: int = 50) -> DataFrame:
-    """(key, grp, tbl, cost): for each group of symbols (key, pos, sym) the table (key, tbl, sym, len) that codes it
-    in the fewest bits, the first of equals."""
-    counts = symbols.groupBy(*key, F.expr(f"pos div {group}").alias("grp"), "sym").agg(F.count("*").alias("n"))
-    cost = counts.join(lengths, [*key, "sym"]).groupBy(*key, "grp", "tbl").agg(F.sum(F.col("n") * F.col("len")).alias("cost"))
-    best = F.min(F.struct("cost", "tbl")).alias("best")
-    return cost.groupBy(*key, "grp").agg(best).select(*key, "grp", F.col("best.tbl").alias("tbl"), F.col("best.cost").alias("cost"))
+def cheapest_tables(docs: DataFrame, key: list[str], data: Column, tables, group: int = 50) -> DataFrame:
+    """(key, grp, tbl, cost): for each group of a buffer's bytes the table that codes it in the fewest bits, the first of
+    equals. `tables` gives the code lengths of all tables (a row of 256 each) from the buffer's counts of bytes. By the
+    kernel: symbols and tables meet in memory, a buffer at a time. Values with a null in the key belong to no table."""
+    import numpy as np
+
+    def make(own, parts):
+        values = [np.frombuffer(p, np.uint8) for p in parts]
+        bits = np.asarray(tables(sum(np.bincount(x, minlength=256) for x in values)), np.int64)
+        cost = np.zeros((len(bits), -(-max(map(len, values)) // group)), np.int64)
+        for x in values:
+            starts = np.arange(0, len(x), group)
+            cost[:, : len(starts)] += [np.add.reduceat(row[x], starts) for row in bits]
+        return np.arange(cost.shape[1]), cost.argmin(0), cost.min(0)
+
+    return by_buffer(docs.dropna(subset=key), key, data, "grp long, tbl int, cost long", make)
 
 
 def unary_place(place: Column) -> Column:

@@ -529,11 +529,17 @@ def bit_offsets(spark, sf_dir):
     return stages.bit_offsets(shannon_lengths(spark, sf_dir).withColumnRenamed("sym", "pos"), ["doc_id"]).withColumnRenamed("pos", "sym")
 
 
+def own_and_flat(counts):
+    """Code lengths of two tables from the counts of bytes: Shannon's (see _LENGTHS), and eight bits each."""
+    import numpy as np
+
+    ratio = (counts.sum() - 1) // np.maximum(counts, 1)
+    return [np.maximum(np.frexp(ratio)[1], 1), np.full(256, 8)]
+
+
 def first_choices(spark, sf_dir) -> DataFrame:
     """For each fifty bytes of a document, the cheaper of two tables: 0 has the document's own lengths, 1 eight bits each."""
-    rows = name_bytes(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "pos", F.col("b").alias("sym"))
-    lengths = shannon_lengths(spark, sf_dir).select("doc_id", "sym", F.explode(F.array(F.struct(F.lit(0).alias("tbl"), F.col("len").alias("len")), F.struct(F.lit(1).alias("tbl"), F.lit(8).alias("len")))).alias("t"))
-    return stages.cheapest_tables(rows, lengths.select("doc_id", "sym", "t.tbl", "t.len"), ["doc_id"])
+    return stages.cheapest_tables(table(spark, sf_dir, "documents"), ["doc_id"], utf8("text"), own_and_flat)
 
 
 _CHOICES = f"""WITH k AS (SELECT x.doc_id, pos // 50 AS grp, CAST(sum(len) AS BIGINT) AS own, 8 * count(*) AS flat FROM ({_bytes("documents", "doc_id", "text")}) AS x JOIN ({_LENGTHS}) AS l ON l.doc_id = x.doc_id AND l.sym = x.b GROUP BY ALL)

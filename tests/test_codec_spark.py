@@ -192,3 +192,21 @@ def test_move_to_front_equals_sql_on_odd_keys(spark, tmp_path):
     order = lambda found: sorted(map(tuple, found), key=str)
     assert order(df.select("c_custkey", "pos", "b", "place").collect()) == order(con.sql(f"SELECT c_custkey, pos, b, place FROM ({catalogue.ORACLE['mtf_indices']})").fetchall())
     assert "Join" not in df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["selector_argmin"])
+def test_selectors_equal_sql_on_odd_keys(spark, tmp_path, name):
+    """Repeated and null keys, null and empty texts, one symbol alone; byte rows and tables meet in no join."""
+    import duckdb
+
+    r = random.Random(3)
+    noise = ["".join(chr(r.choice((r.randrange(32, 127), 97, 98))) for _ in range(n)) for n in (49, 50, 51, 400, 3000)]
+    rows = [*enumerate(noise), (9, ""), (10, None), (11, "a"), (12, "b" * 120), (13, noise[3]), (13, noise[4][:777]), (13, "c" * 60), (None, "null"), (14, "é" * 55)]
+    docs = [(i, x, "s", len(x or "")) for i, x in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    columns = ", ".join(df.columns)
+    assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {columns} FROM ({catalogue.ORACLE[name]})").fetchall())
+    assert "Join" not in df._jdf.queryExecution().toString()
