@@ -194,7 +194,7 @@ def test_move_to_front_equals_sql_on_odd_keys(spark, tmp_path):
     assert "Join" not in df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["selector_argmin"])
+@pytest.mark.parametrize("name", ["selector_argmin", "selector_bits"])
 def test_selectors_equal_sql_on_odd_keys(spark, tmp_path, name):
     """Repeated and null keys, null and empty texts, one symbol alone; byte rows and tables meet in no join."""
     import duckdb
