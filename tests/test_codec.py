@@ -326,3 +326,17 @@ def test_resolve():
     assert resolve("opinions", "/data") == "/data/opinions.bz2"
     assert resolve("x/y.bz2", "/data/") == "/data/x/y.bz2"
     assert resolve("/abs/z.bz2", "/data") == "/abs/z.bz2"
+
+
+def test_tree_and_packages_agree():
+    """The quick tree of two queues gives the lengths that packages of coins do, wherever it is shallow enough."""
+    r = random.Random(8)
+    for k in range(400):
+        coins = sorted(max(1, int(r.random() ** (1, 4, 12)[k % 3] * 300)) for _ in range(r.randrange(2, 80)))
+        depths = encoder.tree_depths(coins)
+        assert depths[0] > 17 or depths == encoder.packages(coins, 17)
+    deep = [1, 1]
+    while len(deep) < 30:
+        deep.append(sum(deep[-2:]))
+    lengths = encoder.code_lengths(deep)
+    assert max(lengths) == 17 and sum(2.0**-n for n in lengths) <= 1
