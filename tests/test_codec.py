@@ -340,3 +340,14 @@ def test_tree_and_packages_agree():
         deep.append(sum(deep[-2:]))
     lengths = encoder.code_lengths(deep)
     assert max(lengths) == 17 and sum(2.0**-n for n in lengths) <= 1
+
+
+def test_recency_across_stretches(monkeypatch):
+    values = np.array([random.Random(i).randrange(7) for i in range(500)])
+    recent, want = list(range(7)), []
+    for v in values.tolist():
+        want.append(recent.index(v))
+        recent.insert(0, recent.pop(want[-1]))
+    for stretch in (1, 70, 1 << 18):
+        monkeypatch.setattr(encoder, "STRETCH", stretch)
+        assert encoder.recency(values, 7).tolist() == want
