@@ -77,16 +77,36 @@ def _rows(name: str, found):
         yield pa.RecordBatch.from_arrays([pa.array([name if k == "file_id" else row.get(k)], t) for k, t in _FIELDS.items()], names=list(_FIELDS))
 
 
+def one_by_one(batch: pa.RecordBatch):
+    """A batch's rows as values, one at a time: a list of them would hold every file twice."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def candidates(files: DataFrame) -> DataFrame:
-    """Candidates (see `scanned`) of files that are rows (file_id, content)."""
+    """Candidates (see `scanned`) of files that are rows (file_id, content), or of their ranges where they have `lo` and
+    `hi`, too."""
+    whole = "lo" not in files.columns
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, data, lo, hi in one_by_one(batch):
                 data = data or b""
-                yield from _rows(name, scanned(io.BytesIO(data), 0, len(data), len(data)))
+                yield from _rows(name, scanned(io.BytesIO(data), lo, len(data) if hi is None else hi, len(data)))
+
+    edges = [F.lit(0).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")] if whole else ["lo", "hi"]
+    return files.select("file_id", "content", *edges).mapInArrow(run, _SCHEMA)
+
 
-    return files.select("file_id", "content").mapInArrow(run, _SCHEMA)
+def shared_out(files: DataFrame, parallelism: int) -> DataFrame:
+    """(file_id, content, lo, hi): each file in as many ranges of its bytes, dealt by file and range to the session's tasks."""
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+    step = F.greatest(F.ceil(size / parallelism), F.lit(1).cast("long"))
+    lo = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(size - 1, F.lit(0)), step)).alias("lo")
+    parts = files.select("file_id", "content", size.alias("size"), step.alias("step"), lo)
+    dealt = parts.select("file_id", "content", "lo", F.least(F.col("lo") + F.col("step"), "size").alias("hi"))
+    return dealt.repartition(n, "file_id", "lo")
 
 
 def ranges(spark: SparkSession, paths: list[str], step: int = RANGE_BYTES) -> DataFrame:
@@ -156,7 +176,7 @@ def serial(breaks: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for name, data, n, start, level, checksum in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, data, n, start, level, checksum in one_by_one(batch):
                 with opened(name) if data is None else io.BytesIO(data) as f:
                     f.seek(start >> 3)
                     pieces = walked(f, Walk(bit=start & 7, level=level, checksum=checksum, base=start >> 3))
@@ -193,10 +213,11 @@ def decode(files: DataFrame, parallelism: int | None = None) -> DataFrame:
 
     The plaintext of a file is its `out` in the order of block_idx. `fast` tells whether a block came by the chain. A
     file that is invalid has, after its valid blocks, a row with null `out` and the error's name; an empty file has no
-    row. `parallelism` is the number of tasks that decode, by default the session's; 1 is serial.
+    row. `parallelism` is the number of tasks that share a file, each with a range of its bytes; with 1, the default, a
+    file is decoded serially. Files are dealt to the session's tasks in any case: however few share a file, no task
+    gets more than its share of them.
     """
-    n = parallelism or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return assembled(candidates(files.repartition(n)), files)
+    return assembled(candidates(shared_out(files, parallelism or 1)), files)
 
 
 def decode_paths(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -210,3 +210,15 @@ def test_selectors_equal_sql_on_odd_keys(spark, tmp_path, name):
     columns = ", ".join(df.columns)
     assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {columns} FROM ({catalogue.ORACLE[name]})").fetchall())
     assert "Join" not in df._jdf.queryExecution().toString()
+
+
+def test_tasks_that_share_a_file_do_not_take_all_files(spark):
+    """However few tasks share a file, files are dealt to the session's; ranges tile each file."""
+    files = spark.createDataFrame([(f"f{i}", bytes(10 + i)) for i in range(40)] + [("none", None), ("empty", b"")], "file_id string, content binary")
+    for n in (1, 3):
+        rows = parallel.shared_out(files, n).withColumn("task", F.spark_partition_id()).collect()
+        assert len({r.task for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for i in range(40):
+            own = sorted((r.lo, r.hi) for r in rows if r.file_id == f"f{i}")
+            assert len(own) == n and own[0][0] == 0 and own[-1][1] == 10 + i and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+        assert {r.file_id for r in rows} >= {"none", "empty"}
