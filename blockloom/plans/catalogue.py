@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..functions.checksum import bz2_combined_crc, crc32_bzip2
-from ..functions.kernels import bz2_compress, bz2_decompress, bz2_encode, bz2_error
+from ..functions.kernels import bz2_compress, bz2_decompress, bz2_encode, bz2_error, compress_bytes
 from ..operators import stages
 from ..operators.format import BLOCK_SLACK, CRC_TABLE, LEVEL_UNIT
 from ..sources import bz2 as source
@@ -126,12 +127,15 @@ FILE_DOCUMENTS = 5_000
 
 
 def source_files(spark, sf_dir, level: int = 1) -> DataFrame:
-    """(file_id, content): the documents of each source and each FILE_DOCUMENTS ids in the order of doc_id, compressed."""
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
-    text = F.array_join(F.transform(parts, lambda x: x["text"]), "")
+    """(file_id, content): the documents of each source and each FILE_DOCUMENTS ids in the order of doc_id, compressed, a file at a time."""
+
+    def pack(docs: pa.Table) -> pa.Table:
+        text = "".join(docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])["text"].drop_null().to_pylist())
+        return pa.table({"file_id": docs["file_id"][:1], "content": pa.array([compress_bytes(text.encode(), level)], pa.binary())})
+
     file_id = F.concat_ws("/", "source", F.expr(f"doc_id div {FILE_DOCUMENTS}"))
-    docs = table(spark, sf_dir, "documents").groupBy(file_id.alias("file_id")).agg(text.alias("text"))
-    return docs.select("file_id", bz2_compress(utf8("text"), F.lit(level)).alias("content"))
+    docs = table(spark, sf_dir, "documents").select(file_id.alias("file_id"), "doc_id", "text")
+    return docs.groupBy("file_id").applyInArrow(pack, "file_id string, content binary")
 
 
 _FILE = f"concat_ws('/', source, doc_id // {FILE_DOCUMENTS})"
@@ -153,7 +157,7 @@ def parallel_fast_path(spark, sf_dir):
 
 @query(f"SELECT tasks, file_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM ({_SOURCES}), (VALUES (0), (1), (3)) AS p(tasks)")
 def parallel_pools(spark, sf_dir):
-    """The session's number of tasks (0), one task, three: the same bytes."""
+    """Files shared out as by default (0), each file in one task, each in three: the same bytes."""
     files = source.materialized(source_files(spark, sf_dir))
     out = None
     for tasks in (0, 1, 3):
@@ -210,12 +214,28 @@ def multi_stream(spark, sf_dir):
 _CHUNKS = "stream_id string, seq long, chunk binary, last boolean"
 
 
+#: Chunks that a streaming worker takes and gives at once: a chunk of 4096 bytes may stand for a whole block of plaintext.
+BATCH_CHUNKS = 256
+
+
+@contextmanager
+def few_records(spark):
+    """Arrow batches of BATCH_CHUNKS rows in streaming queries started here (each keeps the settings of its start)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_CHUNKS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pushed(spark, files: DataFrame, size: int = 4096) -> DataFrame:
     """The output of a streaming query over files (file_id, content) cut into chunks."""
 
     def cut(batches):
         for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, data in parallel.one_by_one(batch):
                 n = max(-(-len(data) // size), 1)
                 columns = [[name] * n, range(n), [data[size * i : size * i + size] for i in range(n)], [i == n - 1 for i in range(n)]]
                 kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_())
@@ -223,9 +243,10 @@ def pushed(spark, files: DataFrame, size: int = 4096) -> DataFrame:
 
     folder = source.shared_path(spark)
     files.select("file_id", "content").mapInArrow(cut, _CHUNKS).write.parquet(f"{folder}/in")
-    chunks = spark.readStream.schema(_CHUNKS).parquet(f"{folder}/in")
-    stream = push.decoded(chunks).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
-    stream.awaitTermination()
+    with few_records(spark):
+        chunks = spark.readStream.schema(_CHUNKS).parquet(f"{folder}/in")
+        stream = push.decoded(chunks).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+        stream.awaitTermination()
     return spark.read.schema(push.OUTPUT).parquet(f"{folder}/out")
 
 

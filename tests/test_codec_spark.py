@@ -222,3 +222,19 @@ def test_tasks_that_share_a_file_do_not_take_all_files(spark):
             own = sorted((r.lo, r.hi) for r in rows if r.file_id == f"f{i}")
             assert len(own) == n and own[0][0] == 0 and own[-1][1] == 10 + i and all(a[1] == b[0] for a, b in zip(own, own[1:]))
         assert {r.file_id for r in rows} >= {"none", "empty"}
+
+
+def test_streaming_batches_are_small_and_settings_stay(spark):
+    """Streaming workers take few chunks at a time; the session's own setting comes back, after an error, too."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(KeyError), catalogue.few_records(spark):
+        assert int(spark.conf.get(name)) == catalogue.BATCH_CHUNKS < int(before)
+        raise KeyError
+    assert spark.conf.get(name) == before
+
+
+def test_files_are_packed_one_at_a_time(spark):
+    """No row holds the documents of many files as one batch of texts: each group is packed by itself."""
+    plan = catalogue.source_files(spark, SF)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "collect_list" not in plan and "ArrowEvalPython" not in plan
