@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .encoder import MAX_RUN, TABLE_STEPS
 
-#: Rows that a kernel gathers before it gives them out as a batch.
-ROWS_OUT = 50_000
+#: Rows that a kernel gathers before it gives them out as a batch, and bytes of a buffer that stand for one at least.
+ROWS_OUT, BYTES_A_ROW = 50_000, 50
 
 
 def exploded_bytes(df: DataFrame, key: list[str], data: Column) -> DataFrame:
@@ -94,7 +94,7 @@ def by_buffer(docs: DataFrame, key: list[str], data: Column, fields: str, make)
                 if parts and (own != last or None in own):
                     keys.append(last)
                     made.append(make(last, parts))
-                    held, parts = held + len(made[-1][0]), []
+                    held, parts = held + max(len(made[-1][0]), sum(map(len, parts)) // BYTES_A_ROW), []
                 last = own
                 parts.append(value)
                 if held >= ROWS_OUT:
@@ -147,6 +147,19 @@ def canonical_codes(lengths: DataFrame, key: list[str], longest: int = 20) -> Da
     return lengths.select(*key, "sym", "len", code.alias("code"))
 
 
+def choices(parts: list[bytes], tables, group: int):
+    """(tbl, cost) of each group of a buffer's bytes: the table that codes it in the fewest bits, the first of equals."""
+    import numpy as np
+
+    values = [np.frombuffer(p, np.uint8) for p in parts]
+    bits = np.asarray(tables(sum(np.bincount(x, minlength=256) for x in values)), np.int64)
+    cost = np.zeros((len(bits), -(-max(map(len, values)) // group)), np.int64)
+    for x in values:
+        starts = np.arange(0, len(x), group)
+        cost[:, : len(starts)] += [np.add.reduceat(row[x], starts) for row in bits]
+    return cost.argmin(0), cost.min(0)
+
+
 def cheapest_tables(docs: DataFrame, key: list[str], data: Column, tables, group: int = 50) -> DataFrame:
     """(key, grp, tbl, cost): for each group of a buffer's bytes the table that codes it in the fewest bits, the first of
     equals. `tables` gives the code lengths of all tables (a row of 256 each) from the buffer's counts of bytes. By the
@@ -154,29 +167,27 @@ def cheapest_tables(docs: DataFrame, key: list[str], data: Column, tables, group
     import numpy as np
 
     def make(own, parts):
-        values = [np.frombuffer(p, np.uint8) for p in parts]
-        bits = np.asarray(tables(sum(np.bincount(x, minlength=256) for x in values)), np.int64)
-        cost = np.zeros((len(bits), -(-max(map(len, values)) // group)), np.int64)
-        for x in values:
-            starts = np.arange(0, len(x), group)
-            cost[:, : len(starts)] += [np.add.reduceat(row[x], starts) for row in bits]
-        return np.arange(cost.shape[1]), cost.argmin(0), cost.min(0)
+        tbl, cost = choices(parts, tables, group)
+        return np.arange(len(tbl)), tbl, cost
 
     return by_buffer(docs.dropna(subset=key), key, data, "grp long, tbl int, cost long", make)
 
 
-def unary_place(place: Column) -> Column:
-    """A selector's place as bits."""
-    return F.concat(F.repeat(F.lit("1"), place), F.lit("0"))
+def selector_bits(docs: DataFrame, key: list[str], data: Column, tables, group: int = 50) -> DataFrame:
+    """(key, bits): the cheapest tables of a buffer's groups (see `cheapest_tables`) as they are written: each one's place
+    in the list of the most recent ones, in unary. By the kernel too: selectors are no rows, and are dealt out no more."""
+    import numpy as np
+
+    from .encoder import recency
 
+    def make(own, parts):
+        tbl, _ = choices(parts, tables, group)
+        place = recency(tbl, int(tbl.max()) + 1)
+        bits = np.full(int(place.sum()) + len(place), ord("1"), np.uint8)
+        bits[np.cumsum(place + 1) - 1] = ord("0")
+        return (np.array([bits.tobytes().decode()], object),)
 
-def selector_places(rows: DataFrame, key: list[str], n_tables: int) -> DataFrame:
-    """(key, pos, tbl, place) of selectors (key, pos, tbl): how many of the tables were chosen since a table's last
-    choice, or would come before it at the start. One window, with the last place of each table."""
-    by = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.array(*(F.coalesce(F.max(F.when(F.col("tbl") == t, F.col("pos"))).over(by), F.lit(-1 - t)) for t in range(n_tables)))
-    own = F.get(F.col("last"), F.col("tbl"))
-    return rows.withColumn("last", last).withColumn("place", F.size(F.filter("last", lambda x: x > own))).drop("last")
+    return by_buffer(docs.dropna(subset=key), key, data, "bits string", make)
 
 
 def length_deltas(lengths: DataFrame, key: list[str]) -> DataFrame:

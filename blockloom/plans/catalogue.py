@@ -558,18 +558,14 @@ def own_and_flat(counts):
     return [np.maximum(np.frexp(ratio)[1], 1), np.full(256, 8)]
 
 
-def first_choices(spark, sf_dir) -> DataFrame:
-    """For each fifty bytes of a document, the cheaper of two tables: 0 has the document's own lengths, 1 eight bits each."""
-    return stages.cheapest_tables(table(spark, sf_dir, "documents"), ["doc_id"], utf8("text"), own_and_flat)
-
-
 _CHOICES = f"""WITH k AS (SELECT x.doc_id, pos // 50 AS grp, CAST(sum(len) AS BIGINT) AS own, 8 * count(*) AS flat FROM ({_bytes("documents", "doc_id", "text")}) AS x JOIN ({_LENGTHS}) AS l ON l.doc_id = x.doc_id AND l.sym = x.b GROUP BY ALL)
     SELECT doc_id, grp, CASE WHEN own <= flat THEN 0 ELSE 1 END AS tbl, least(own, flat) AS cost FROM k"""
 
 
 @query(_CHOICES)
 def selector_argmin(spark, sf_dir):
-    return first_choices(spark, sf_dir)
+    """For each fifty bytes of a document, the cheaper of two tables: 0 has the document's own lengths, 1 eight bits each."""
+    return stages.cheapest_tables(table(spark, sf_dir, "documents"), ["doc_id"], utf8("text"), own_and_flat)
 
 
 @query(
@@ -578,9 +574,7 @@ def selector_argmin(spark, sf_dir):
 )
 def selector_bits(spark, sf_dir):
     """A document's selectors as they are written: moved to front, in unary."""
-    placed = stages.selector_places(first_choices(spark, sf_dir).select("doc_id", F.col("grp").alias("pos"), "tbl"), ["doc_id"], 2)
-    parts = F.array_sort(F.collect_list(F.struct("pos", stages.unary_place(F.col("place")).alias("bits"))))
-    return placed.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["bits"]), "").alias("bits"))
+    return stages.selector_bits(table(spark, sf_dir, "documents"), ["doc_id"], utf8("text"), own_and_flat)
 
 
 _MAP = f"SELECT c_custkey, b // 16 AS high, CAST(bit_or(1 << (15 - b % 16)) AS INTEGER) AS word FROM (SELECT DISTINCT c_custkey, b FROM ({_bytes()})) GROUP BY ALL"

@@ -212,6 +212,12 @@ def test_selectors_equal_sql_on_odd_keys(spark, tmp_path, name):
     assert "Join" not in df._jdf.queryExecution().toString()
 
 
+def test_selectors_are_dealt_out_once(spark):
+    """Texts are shuffled by their keys; selectors are made bits where they are found, with no rows of them to sort or gather."""
+    plan = catalogue.QUERIES["selector_bits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Aggregate" not in plan
+
+
 def test_tasks_that_share_a_file_do_not_take_all_files(spark):
     """However few tasks share a file, files are dealt to the session's; ranges tile each file."""
     files = spark.createDataFrame([(f"f{i}", bytes(10 + i)) for i in range(40)] + [("none", None), ("empty", b"")], "file_id string, content binary")
