@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from blockloom.operators import decoder, encoder
+from blockloom.operators import batch, decoder, encoder
 from blockloom.operators.format import BLOCK_MAGIC, CodecError, combined, crc, magic_positions, rehomed
 from blockloom.operators.ranges import range_pieces, walked
 from blockloom.operators.walk import Walk
@@ -351,3 +351,35 @@ def test_recency_across_stretches(monkeypatch):
     for stretch in (1, 70, 1 << 18):
         monkeypatch.setattr(encoder, "STRETCH", stretch)
         assert encoder.recency(values, 7).tolist() == want
+
+
+@pytest.mark.parametrize("size", [1, 3000, 1 << 17])
+def test_texts_together_give_the_streams_of_each(monkeypatch, size):
+    """Many texts at once, of any number of blocks: the bytes that each gives alone."""
+    monkeypatch.setattr(batch, "BATCH_BYTES", size)
+    r = random.Random(6)
+    texts = [*samples(), *((b"abcab" * 30)[:n] for n in range(1, 60)), bytes(r.randrange(256) for _ in range(210_000)), b"ab" * 120_000]
+    texts += [bytes(r.choice(b"aab\n" * (i % 2 + 1) + b"cdefgh") for _ in range(r.randrange(900))) for i in range(80)]
+    r.shuffle(texts)
+    assert batch.compress_all(texts, 1) == [encoder.compress(x, 1) for x in texts]
+
+
+def test_texts_together_take_few_array_calls(monkeypatch):
+    """Tables of all texts are fitted at once: one call in each pass at most, not one for each table."""
+    calls = []
+    one = batch.code_lengths
+    monkeypatch.setattr(batch, "code_lengths", lambda *a: calls.append(1) or one(*a))
+    texts = [b"text %d of many, " % i * 20 for i in range(100)]
+    assert [bz2.decompress(x) for x in batch.compress_all(texts, 9)] == texts and len(calls) <= encoder.PASSES
+
+
+def test_codes_of_many_tables_at_once():
+    """Deep trees and any numbers of symbols: the lengths that each table gets alone."""
+    r = random.Random(4)
+    rows = [[max(1, int(r.random() ** (1, 4, 30)[i % 3] * 900_000)) for _ in range(r.randrange(3, 259))] for i in range(60)]
+    rows.append([1, 1, *(x := [2, 3]), *(x.append(x[-1] + x[-2]) or x[-1] for _ in range(24))])
+    weights = np.ones((len(rows), batch.WIDTH), np.int64)
+    for i, own in enumerate(rows):
+        weights[i, : len(own)] = own
+    got = batch.code_lengths(weights, np.array([len(own) for own in rows]))
+    assert [g[: len(own)].tolist() for g, own in zip(got, rows, strict=True)] == [encoder.code_lengths(own) for own in rows]
