@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import parallel
+from ..sources.bz2 import materialized_singly
 
 
 def bz2_candidates(files: DataFrame) -> DataFrame:
@@ -13,7 +14,7 @@ def bz2_candidates(files: DataFrame) -> DataFrame:
     if it decodes up to the next one (a block), or is whole (an end)."""
     found = parallel.candidates(files).where("start_bit >= 0")
     kind = F.when(F.col("head").isNull(), "block").otherwise("end")
-    return found.select("file_id", "start_bit", "end_bit", kind.alias("kind"), "crc", "good")
+    return materialized_singly(found.select("file_id", "start_bit", "end_bit", kind.alias("kind"), "crc", "good"))
 
 
 def bz2_blocks(files: DataFrame) -> DataFrame:

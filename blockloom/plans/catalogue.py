@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -193,7 +192,7 @@ def blocks_checked(spark, sf_dir):
 @query(f"SELECT file_id, CAST(1 AS BIGINT) AS ends, true AS blocks, true AS whole FROM ({_SOURCES})")
 def candidates_whole(spark, sf_dir):
     """One end in each file; every candidate decodes, and they lie end to end behind the header."""
-    found = tables.bz2_candidates(source_files(spark, sf_dir))
+    found = tables.bz2_candidates(source.materialized(source_files(spark, sf_dir)))
     by = Window.partitionBy("file_id").orderBy("start_bit")
     found = found.withColumn("tiled", F.coalesce(F.lag("end_bit").over(by), F.lit(32)) == F.col("start_bit"))
     ends = F.count_if(F.col("kind") == "end").alias("ends")
@@ -218,16 +217,9 @@ _CHUNKS = "stream_id string, seq long, chunk binary, last boolean"
 BATCH_CHUNKS = 256
 
 
-@contextmanager
 def few_records(spark):
-    """Arrow batches of BATCH_CHUNKS rows in streaming queries started here (each keeps the settings of its start)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_CHUNKS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    """Arrow batches of BATCH_CHUNKS rows in streaming queries started here."""
+    return source.records_at_once(spark, BATCH_CHUNKS)
 
 
 def pushed(spark, files: DataFrame, size: int = 4096) -> DataFrame:
@@ -242,7 +234,8 @@ def pushed(spark, files: DataFrame, size: int = 4096) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["stream_id", "seq", "chunk", "last"])
 
     folder = source.shared_path(spark)
-    files.select("file_id", "content").mapInArrow(cut, _CHUNKS).write.parquet(f"{folder}/in")
+    with source.records_at_once(spark, 1):
+        files.select("file_id", "content").mapInArrow(cut, _CHUNKS).write.parquet(f"{folder}/in")
     with few_records(spark):
         chunks = spark.readStream.schema(_CHUNKS).parquet(f"{folder}/in")
         stream = push.decoded(chunks).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
@@ -253,7 +246,7 @@ def pushed(spark, files: DataFrame, size: int = 4096) -> DataFrame:
 @query(_SOURCES)
 def push_stream_chunks(spark, sf_dir):
     """Files cut into chunks of 4096 bytes and decoded by a streaming query."""
-    rows = pushed(spark, source_files(spark, sf_dir))
+    rows = pushed(spark, source.materialized(source_files(spark, sf_dir)))
     text = F.expr("decode(unhex(array_join(transform(array_sort(collect_list(struct(seq, hex(data) AS h))), x -> x.h), '')), 'UTF-8')")
     return rows.groupBy(F.col("stream_id").alias("file_id")).agg(text.alias("text"))
 

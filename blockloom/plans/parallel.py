@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.format import BLOCK_MAGIC, END_MAGIC, MAGIC_BITS, WORD, CodecError, bits_at, first_magic, magic_positions
 from ..operators.ranges import first_level, read_at, walked
 from ..operators.walk import MAX_PACKED, Walk, decoded_block
-from ..sources.bz2 import listed, materialized, opened
+from ..sources.bz2 import listed, materialized, materialized_singly, opened
 
 #: Candidates that a range may have: one in so many bytes, and a few more (fixed values). Beyond that its file goes to
 #: the strict walk at once, or hostile input could be decoded many times over.
@@ -198,14 +198,15 @@ def serial(breaks: DataFrame) -> DataFrame:
 
 def assembled(found: DataFrame, contents: DataFrame | None) -> DataFrame:
     """(file_id, block_idx, start_bit, out, crc, fast, error) from candidates."""
-    tried = materialized(found)
+    tried = materialized_singly(found)
     chained = materialized(tried.drop("out").groupBy("file_id").applyInArrow(followed, "file_id string, block_idx long, start_bit long, level int, checksum long"))
     blocks = tried.where("out IS NOT NULL").select("file_id", "start_bit", "out", "crc")
     fast = chained.where("level IS NULL").select("file_id", "block_idx", "start_bit").join(blocks, ["file_id", "start_bit"])
     breaks = chained.where("level IS NOT NULL")
     breaks = breaks.withColumn("content", F.lit(None).cast("binary")) if contents is None else breaks.join(contents.select("file_id", "content"), "file_id")
+    rest = serial(breaks) if contents is None else materialized_singly(serial(breaks))
     names = ("file_id", "block_idx", "start_bit", "out", "crc")
-    return fast.select(*names, F.lit(True).alias("fast"), F.lit(None).cast("string").alias("error")).unionByName(serial(breaks).select(*names, F.lit(False).alias("fast"), "error"))
+    return fast.select(*names, F.lit(True).alias("fast"), F.lit(None).cast("string").alias("error")).unionByName(rest.select(*names, F.lit(False).alias("fast"), "error"))
 
 
 def decode(files: DataFrame, parallelism: int | None = None) -> DataFrame:

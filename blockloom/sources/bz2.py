@@ -16,6 +16,7 @@ import glob
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -47,6 +48,25 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def records_at_once(spark: SparkSession, n: int):
+    """Arrow batches of up to n rows in what is run here (a streaming query keeps the settings of its start)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialized_singly(df: DataFrame) -> DataFrame:
+    """`materialized` for a kernel over whole files as rows: a worker is given one at a time, or a batch would hold all
+    files of a task."""
+    with records_at_once(df.sparkSession, 1):
+        return materialized(df)
+
+
 def resolve(name: str, base: str) -> str:
     """A path: URLs and absolute paths as they are, a key ending in .bz2 under `base`, and a bare table name as the
     .bz2 file of that name under `base`."""

@@ -4,9 +4,11 @@ import bz2
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from blockloom.functions import tables
 from blockloom.functions.checksum import bz2_combined_crc, crc32_bzip2
 from blockloom.functions.kernels import bz2_compress, bz2_decompress, bz2_error
 from blockloom.operators.format import combined, crc
@@ -244,3 +246,21 @@ def test_files_are_packed_one_at_a_time(spark):
     """No row holds the documents of many files as one batch of texts: each group is packed by itself."""
     plan = catalogue.source_files(spark, SF)._jdf.queryExecution().toString()
     assert "FlatMapGroupsInArrow" in plan and "collect_list" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_workers_are_given_one_file_at_a_time(spark, monkeypatch):
+    """Kernels over whole files run with batches of one row, however many files a task has; the setting comes back."""
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], source.materialized
+    before = spark.conf.get(name)
+    monkeypatch.setattr(source, "materialized", lambda df: seen.append(spark.conf.get(name)) or write(df))
+    files = spark.createDataFrame([(f"f{i}", bz2.compress(b"text %d" % i) + b"zzzz" * (i % 2)) for i in range(40)], "file_id string, content binary")
+    assert parallel.decode(files).where("error = 'InvalidMagic'").count() == 20
+    assert tables.bz2_candidates(files).count() == 80
+    assert seen == ["1", "1", "1"] and spark.conf.get(name) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, pa.schema([("n", pa.int64())]))
+
+    with source.records_at_once(spark, 1):
+        assert {r.n for r in files.mapInArrow(sizes, "n long").collect()} == {1}
