@@ -105,17 +105,21 @@ def encode_drained(spark, sf_dir):
     """Texts pushed to the incremental encoder in chunks; what it drains on the way and at the end is one stream."""
     import bz2
 
+    from ..operators.batch import finish_all
     from ..operators.encoder import Encoder
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            texts, encoders, drained = batch.column(1).cast(pa.binary()).to_pylist(), [], []
+            for text in texts:
                 e, parts = Encoder(1), []
                 for i in range(0, len(text or b""), 10_000):
                     e.push(text[i : i + 10_000])
                     parts.append(e.drain())
-                out.append(None if text is None else bz2.decompress(b"".join(parts) + e.finish()))
+                encoders.append(e)
+                drained.append(b"".join(parts))
+            ends = finish_all(encoders)
+            out = [None if t is None else bz2.decompress(d + end) for t, d, end in zip(texts, drained, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
 
     return spread(table(spark, sf_dir, "documents")).select("doc_id", "text").mapInArrow(run, "doc_id long, text string")

@@ -383,3 +383,19 @@ def test_codes_of_many_tables_at_once():
         weights[i, : len(own)] = own
     got = batch.code_lengths(weights, np.array([len(own) for own in rows]))
     assert [g[: len(own)].tolist() for g, own in zip(got, rows, strict=True)] == [encoder.code_lengths(own) for own in rows]
+
+
+def test_encoders_finish_together(monkeypatch):
+    """Encoders that have drained blocks, hold a block or two, or nothing: the streams that each ends alone."""
+    monkeypatch.setattr(batch, "BATCH_BYTES", 150_000)
+    r = random.Random(9)
+    texts = [b"", b"a", bytes(r.randrange(256) for _ in range(330_000)), *(b"some text %d " % i * i for i in range(30)), b"", b"z" * 120_000]
+    encoders, drained = [encoder.Encoder(1) for _ in texts], []
+    for e, x in zip(encoders, texts, strict=True):
+        parts = []
+        for i in range(0, len(x), 10_000):
+            e.push(x[i : i + 10_000])
+            parts.append(e.drain())
+        drained.append(b"".join(parts))
+    got = [d + end for d, end in zip(drained, batch.finish_all(encoders), strict=True)]
+    assert got == [encoder.compress(x, 1) for x in texts]
